@@ -18,6 +18,8 @@ def local_session(cores: int | str = "*", name: str = "rolecast", **conf: str) -
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        # call-site capture on every column call slows down large expressions
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
