@@ -29,6 +29,11 @@ def ingest_seq(source_ord: Column, page_no: Column, position: Column) -> Column:
     return source_ord.cast("bigint") * SOURCE_SHIFT + page_no.cast("bigint") * PAGE_SHIFT + position.cast("bigint")
 
 
+def site_ordinal(seq: Column) -> Column:
+    """The source ordinal inside an ``ingest_seq``."""
+    return F.shiftright(seq, SOURCE_SHIFT.bit_length() - 1)
+
+
 def parse_pages(pages: DataFrame, alternate: bool = False) -> DataFrame:
     """Add ``doc``, ``readable``, the ``items`` of the page, how many it counts and its total."""
     parsed = pages.withColumn("doc", F.try_parse_json("payload"))

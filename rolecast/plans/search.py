@@ -17,6 +17,7 @@ from rolecast.operators.paging import (
     cut_fixed,
     facet_pages,
     parse_pages,
+    site_ordinal,
     summaries,
 )
 from rolecast.operators.postings import (
@@ -56,6 +57,11 @@ def scan(landed: Landed, max_pages: int | None = None, page_size: int = PAGE_SIZ
     return alternate_postings(items) if landed.alternate else summary_postings(items)
 
 
+def by_site(postings: DataFrame) -> DataFrame:
+    """Add ``site_ord``: site names repeat between employers, the ordinal does not."""
+    return postings.withColumn("site_ord", site_ordinal(F.col("ingest_seq")))
+
+
 def fill(landed: Landed, postings: DataFrame) -> DataFrame:
     return hydrate_missing(postings, landed.details) if landed.alternate else hydrate(postings, landed.details)
 
@@ -70,7 +76,7 @@ def discover(
     """Postings of every site; the limit per site is applied before any detail is read."""
     postings = scan(landed, max_pages, page_size)
     if max_jobs is not None:
-        postings = limit_per_group(postings, ["source"], "ingest_seq", max_jobs)
+        postings = limit_per_group(by_site(postings), ["site_ord"], "ingest_seq", max_jobs).drop("site_ord")
     return fill(landed, postings) if with_details else postings
 
 
@@ -84,10 +90,10 @@ def discover_filtered(
     with_details: bool = True,
 ) -> Found:
     """Filter on the list pages first, keep the first ``max_jobs`` matches, then read details."""
-    postings = scan(landed, max_pages, page_size)
+    postings = by_site(scan(landed, max_pages, page_size))
     match = browser_match(locations, titles)
-    kept = limit_per_group(postings.where(match), ["source"], "ingest_seq", max_jobs)
-    counts = scan_counts(postings, match, ["source"], "ingest_seq", max_jobs)
+    kept = limit_per_group(postings.where(match), ["site_ord"], "ingest_seq", max_jobs).drop("site_ord")
+    counts = scan_counts(postings, match, ["site_ord"], "ingest_seq", max_jobs)
     return Found(fill(landed, kept) if with_details else kept, counts)
 
 
@@ -148,7 +154,7 @@ def browser_search(
     else:
         postings = discover(landed, max_pages, page_size, max_jobs, with_details)
         n = F.count("*")
-        found = Found(postings, postings.groupBy("source").agg(n.alias("scanned"), n.alias("kept")))
+        found = Found(postings, by_site(postings).groupBy("site_ord").agg(n.alias("scanned"), n.alias("kept")))
     return Found(top(rank(found.postings, tables), top_rows), found.counts)
 
 
@@ -156,5 +162,6 @@ def older_records(landed: Landed, n_pages: int = 29, max_jobs: int = 200) -> Dat
     """Older chain: fixed pages, strict details, digest; six flat values per posting."""
     pages = cut_fixed(parse_pages(landed.pages), n_pages)
     items = with_site(summaries(pages), site_table(landed.sites), spread_by="page_no")
-    postings = limit_per_group(summary_postings(items), ["source"], "ingest_seq", max_jobs)
+    postings = by_site(summary_postings(items))
+    postings = limit_per_group(postings, ["site_ord"], "ingest_seq", max_jobs)
     return flat_records(postings, landed.details)

@@ -43,4 +43,4 @@ def spread(df: DataFrame) -> DataFrame:
     with at least as many splits as cores is not moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, F.xxhash64(*df.columns[:1]))
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
