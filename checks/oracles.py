@@ -52,29 +52,30 @@ def _pattern(term: str, literal: bool) -> str:
 
 def scored(profiles: dict, literal: bool = False, text: str = "text", raw_length: bool = False) -> str:
     """CTEs ending in ``scored``: doc_id, profile, raw, core, nice, neg."""
-    terms, knobs = [], []
+    tests, knobs = [], []
     for name, spec in profiles.items():
         boost, cap, divisor = spec[3:]
         knobs.append(f"({quote(name)}, {cap}::DOUBLE, {divisor}::DOUBLE)")
         for bucket, weights in zip(BUCKETS, spec):
             for i, (term, weight) in enumerate(weights.items()):
                 value = weight * boost
-                terms.append(
-                    f"({quote(name)}, '{bucket}', {i}, {weight}::DOUBLE, {value!r}::DOUBLE, "
-                    f"{quote(f'{term}({weight:+.1f})')}, {quote(f'{term}({value:+.1f})')}, "
-                    f"{quote(_pattern(term, literal))})"
+                # one branch per term: a constant pattern is compiled once
+                pattern = quote(_pattern(term, literal))
+                in_title = "false" if bucket == "neg" else f"regexp_matches(t, {pattern})"
+                tests.append(
+                    f"SELECT doc_id, {quote(name)} AS profile, '{bucket}' AS bucket, {i} AS ord, {weight}::DOUBLE AS weight, "
+                    f"{value!r}::DOUBLE AS boosted, {quote(f'{term}({weight:+.1f})')} AS label, "
+                    f"{quote(f'{term}({value:+.1f})')} AS title_label, {in_title} AS in_title "
+                    f"FROM docs WHERE regexp_matches(t || chr(10) || b, {pattern})"
                 )
-    length = f"length({text})" if raw_length else "length(b)"
+    length = f"length({text})" if raw_length else f"length({fold(text)})"
     lists = ",\n".join(
         f"coalesce(string_agg(shown, '; ' ORDER BY both_scope, ord) FILTER (bucket = '{b}'), '') AS {b}" for b in BUCKETS
     )
     return f"""
-docs AS (SELECT doc_id, {fold("split_part(text, chr(10), 1)")} AS t, {fold(text)} AS b, {length.replace('length(b)', 'length(' + fold(text) + ')')} AS n
-         FROM documents),
-terms(profile, bucket, ord, weight, boosted, label, title_label, pattern) AS (VALUES {", ".join(terms)}),
+docs AS MATERIALIZED (SELECT doc_id, {fold("split_part(text, chr(10), 1)")} AS t, {fold(text)} AS b, {length} AS n FROM documents),
 knobs(profile, cap, divisor) AS (VALUES {", ".join(knobs)}),
-found AS (SELECT doc_id, terms.*, bucket <> 'neg' AND regexp_matches(t, pattern) AS in_title
-          FROM docs JOIN terms ON regexp_matches(t || chr(10) || b, pattern)),
+found AS ({" UNION ALL ".join(tests)}),
 scopes AS (SELECT doc_id, profile, bucket, ord, 1 AS both_scope, weight AS value, label AS shown FROM found
            UNION ALL
            SELECT doc_id, profile, bucket, ord, 0, boosted, title_label FROM found WHERE in_title),

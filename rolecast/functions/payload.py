@@ -114,6 +114,12 @@ def whole_number(v: str) -> str:
     )
 
 
+def parse_whole(text: str) -> str:
+    """JSON text to VARIANT; null when it is no JSON or anything follows the value."""
+    wrapped = f"try_cast(try_parse_json(concat('[', {text}, ']')) as array<variant>)"
+    return bind(wrapped, lambda a: f"if(size({a}) = 1, get({a}, 0), null)")
+
+
 # --- list pages ----------------------------------------------------------------
 
 _ALTERNATE_LISTS = ("$.positions", "$.records", "$.jobs")
@@ -254,7 +260,7 @@ def json_ld_posting(block: str) -> str:
         first = bind(f"get({items}, 0)", lambda f: f"if({is_object(f)}, {f}, null)")
         return f"case when {is_object(data)} then {data} when {is_array(data)} then coalesce(get({typed}, 0), {first}) end"
 
-    return bind(f"try_parse_json(nullif({block}, ''))", choose)
+    return bind(parse_whole(block), choose)
 
 
 def json_ld_strict(page_html: Column) -> Column:

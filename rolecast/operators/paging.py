@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolecast.functions.payload import alternate_items, alternate_total, is_object, posting_items
+from rolecast.functions.payload import alternate_items, alternate_total, is_object, parse_whole, posting_items
 from rolecast.operators.joins import lookup_join
 
 # running totals are built over runs of this many pages, then chained
@@ -36,7 +36,7 @@ def site_ordinal(seq: Column) -> Column:
 
 def parse_pages(pages: DataFrame, alternate: bool = False) -> DataFrame:
     """Add ``doc``, ``readable``, the ``items`` of the page, how many it counts and its total."""
-    parsed = pages.withColumn("doc", F.try_parse_json("payload"))
+    parsed = pages.withColumn("doc", F.expr(parse_whole("payload")))
     items = alternate_items("doc") if alternate else posting_items("doc")
     total = alternate_total("doc") if alternate else "cast(null as bigint)"
     return (
@@ -108,8 +108,7 @@ def summaries(pages: DataFrame) -> DataFrame:
 
 def facet_pages(pages: DataFrame) -> DataFrame:
     """Facet metadata per source: only the first page is read, and only for its facets."""
-    doc = F.try_parse_json("payload")
-    return pages.where(F.col("page_no") == 1).select("source", doc.alias("doc"))
+    return pages.where(F.col("page_no") == 1).select("source", F.expr(parse_whole("payload")).alias("doc"))
 
 
 def search_text(postings: DataFrame, text: str, *columns: str) -> DataFrame:

@@ -21,6 +21,7 @@ from rolecast.functions.payload import (
     json_ld_posting,
     json_ld_strict,
     nested_description,
+    parse_whole,
     place_text,
     posted_date,
     posted_text,
@@ -188,7 +189,7 @@ def hydrate_missing(postings: DataFrame, details: DataFrame, hot_rows: int | Non
     """
     options = {} if hot_rows is None else {"hot_rows": hot_rows}
     order = F.col("landed_seq") if "landed_seq" in details.columns else F.xxhash64("payload")
-    doc = F.try_parse_json("payload")
+    doc = F.expr(parse_whole("payload"))
     usable = (
         details.select("job_id", order.alias("_order"), doc.alias("_doc"))
         .where((F.col("job_id") != "") & F.expr(is_object("_doc")))
