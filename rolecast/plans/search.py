@@ -31,6 +31,7 @@ from rolecast.operators.postings import (
 from rolecast.operators.profiles import Profiles, override_weights
 from rolecast.operators.ranking import RankRules, rank, top
 from rolecast.plans.older import flat_records
+from rolecast.session import materialize
 
 PAGE_SIZE = 20
 
@@ -77,7 +78,8 @@ def discover(
     postings = scan(landed, max_pages, page_size)
     if max_jobs is not None:
         postings = limit_per_group(by_site(postings), ["site_ord"], "ingest_seq", max_jobs).drop("site_ord")
-    return fill(landed, postings) if with_details else postings
+    # written once: the detail join looks at the postings twice
+    return fill(landed, materialize(postings)) if with_details else postings
 
 
 def discover_filtered(
@@ -90,7 +92,8 @@ def discover_filtered(
     with_details: bool = True,
 ) -> Found:
     """Filter on the list pages first, keep the first ``max_jobs`` matches, then read details."""
-    postings = by_site(scan(landed, max_pages, page_size))
+    # written once: matches, counts and the detail join all start from the scan
+    postings = materialize(by_site(scan(landed, max_pages, page_size)))
     match = browser_match(locations, titles)
     kept = limit_per_group(postings.where(match), ["site_ord"], "ingest_seq", max_jobs).drop("site_ord")
     counts = scan_counts(postings, match, ["site_ord"], "ingest_seq", max_jobs)
