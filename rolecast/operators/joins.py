@@ -35,7 +35,7 @@ def lookup_join(
     if small.count() <= broadcast_rows:
         return big.join(F.broadcast(small), list(keys), how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+    copies = small.withColumn("_salt", F.expr(f"explode(sequence(0L, {salts - 1}L))"))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -21,6 +21,7 @@ from rolecast.operators.limits import top_per_group
 from rolecast.operators.profiles import BUCKETS, Profiles
 
 INLINE_TERMS = 2_000
+PACK = 1_000
 NOT_WORD = WORD.replace("[", "[^") + "+"
 
 # whitespace as in rolecast.functions.text, with the other separators
@@ -256,14 +257,9 @@ def _rank_joined(postings: DataFrame, tables: Profiles, rules: RankRules) -> Dat
     ).withColumn("in_title", F.col("in_title") & (F.col("bucket") != "neg"))
     hit = F.struct("ord", "bucket", "in_title", "weight", "boosted", "label", "title_label")
     grouped = per_profile.groupBy("ingest_seq", "profile").agg(F.array_sort(F.collect_list(hit)).alias("_hits"))
-    # one output row per posting and profile is the result itself
-    profile_list = tables.profiles.agg(
-        F.array_sort(F.collect_list(F.struct("profile", "title_boost", "length_cap", "length_divisor"))).alias("_ps")
-    ).collect()[0]["_ps"]
-    pairs = texts.withColumn("_p", F.explode(literal_json([p.asDict() for p in profile_list], _PROFILES)))
+    pairs = _paired(texts.drop("_title", "_both"), tables.profiles)
     joined = (
-        pairs.drop("_title", "_both")
-        .withColumn("profile", F.col("_p.profile"))
+        pairs.withColumn("profile", F.col("_p.profile"))
         .join(grouped, ["ingest_seq", "profile"], "left")
         .withColumn("_hits", F.coalesce("_hits", F.expr("filter(array(" + _NO_HIT + "), h -> false)")))
     )
@@ -280,6 +276,23 @@ def _rank_joined(postings: DataFrame, tables: Profiles, rules: RankRules) -> Dat
     return _finish(scored, postings.columns, rules)
 
 
+def _paired(texts: DataFrame, profiles: DataFrame) -> DataFrame:
+    """One row per posting and profile, which is the size of the result itself.
+
+    The profiles are packed into rows of about ``PACK`` and joined by pack number,
+    so neither the driver nor one task ever holds the whole list.
+    """
+    packs = -(-profiles.count() // PACK) or 1
+    packed = (
+        profiles.withColumn("_pack", F.pmod(F.xxhash64("profile"), F.lit(packs)))
+        .groupBy("_pack")
+        .agg(F.collect_list(F.struct("profile", "title_boost", "length_cap", "length_divisor")).alias("_ps"))
+    )
+    each_pack = texts.withColumn("_pack", F.expr(f"explode(sequence(0L, {packs - 1}L))"))
+    paired = lookup_join(each_pack, packed, ["_pack"], spread_by="ingest_seq", how="inner", broadcast_rows=100)
+    return paired.withColumn("_p", F.explode("_ps")).drop("_pack", "_ps")
+
+
 _NO_HIT = (
     "named_struct('ord', 0, 'bucket', '', 'in_title', false, 'weight', 0D, 'boosted', 0D, 'label', '', 'title_label', '')"
 )

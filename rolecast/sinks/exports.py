@@ -36,7 +36,7 @@ def write_csv(ranked: DataFrame, path: str, mode: str = "errorifexists") -> None
     """Ranked CSV with header; quotes are doubled as spreadsheets expect."""
     csv_view(_in_rank_order(ranked)).write.mode(mode).csv(
         path, header=True, quote='"', escape='"', encoding="UTF-8", emptyValue="", ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False, multiLine=True,
+        ignoreTrailingWhiteSpace=False,
     )
 
 
