@@ -8,41 +8,23 @@ functions that return a Column say so in their signature.
 
 from __future__ import annotations
 
-import itertools
 import json
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rolecast.functions.sql import bind, each, those
 from rolecast.functions.text import strip, unescape
 
 # Where an alternate listing may keep its description.
 DESCRIPTION_KEYS = ("job_description", "description", "description_html")
 DESCRIPTION_CONTAINERS = ("position", "job", "data", "details")
 
-_names = itertools.count()
 NO_ITEMS = "cast(array() as array<variant>)"
 
 
-def bind(value: str, body: Callable[[str], str]) -> str:
-    """Evaluate ``value`` once and use it in ``body`` under a fresh name."""
-    name = f"v{next(_names)}"
-    return f"get(transform(array({value}), {name} -> {body(name)}), 0)"
-
-
-def each(array: str, body: Callable[[str], str]) -> str:
-    name = f"v{next(_names)}"
-    return f"transform({array}, {name} -> {body(name)})"
-
-
-def those(array: str, test: Callable[[str], str]) -> str:
-    name = f"v{next(_names)}"
-    return f"filter({array}, {name} -> {test(name)})"
-
-
 def field(v: str, path: str, kind: str = "variant") -> str:
     return f"try_variant_get({v}, r'{path}', '{kind}')"
 

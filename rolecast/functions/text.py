@@ -12,12 +12,12 @@ import json
 import re
 import sys
 from collections.abc import Callable, Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rolecast.functions.sql import apply, bind, constant, each, quoted
+
 # Java's \s and \w are ASCII; these classes cover the Unicode sets of Python's re.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
@@ -82,61 +82,61 @@ _BARE_RE = "^&(" + "|".join(_BARE_NAMES) + ")"
 _BARE_VALUES = {n: html.entities.html5[n] for n in _BARE_NAMES}
 
 
-def _number_to_char(digits: Column, base: int) -> Column:
-    odd = literal_json(_ODD_NUMBERS, "map<string,string>")
-    significant = F.ltrim(digits, F.lit("0"))
+def _number(digits: str, base: int) -> str:
+    def char(code: str) -> str:
+        odd = constant({str(n): c for n, c in _ODD_NUMBERS.items()}, "map<string,string>")
+        return (
+            f"coalesce(element_at({odd}, cast({code} as string)), "
+            f"if({code} > 1114111 or {code} between 55296 and 57343, '�', "
+            f"decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32')))"
+        )
+
     # nine digits hold every code point in either base; longer ones are out of range
-    code = F.when(
-        F.length(significant) <= 9,
-        F.conv(F.concat(F.lit("0"), significant), base, 10).cast("bigint"),
-    ).otherwise(F.lit(1 << 40))
-    regular = F.when((code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit("�")).otherwise(
-        F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    )
-    return F.coalesce(F.element_at(odd, code.cast("string")), regular)
+    value = f"ltrim('0', {digits})"
+    code = f"if(length({value}) <= 9, cast(conv(concat('0', {value}), {base}, 10) as bigint), 2000000L)"
+    return bind(code, char)
 
 
-def _decode_piece(piece: Column) -> Column:
+def _reference(piece: str) -> str:
     """Decode the reference a piece starts with; pieces are cut in front of each ``&``."""
-    name = F.regexp_extract(piece, "^&([A-Za-z0-9]{1,32};)", 1)
-    decimal = F.regexp_extract(piece, "^&#([0-9]+)", 1)
-    hexa = F.regexp_extract(piece, "^&#[xX]([0-9a-fA-F]+)", 1)
-    bare = F.regexp_extract(piece, _BARE_RE, 1)
+    name = f"regexp_extract({piece}, '^&([A-Za-z0-9]{{1,32}};)', 1)"
+    bare = f"regexp_extract({piece}, '{_BARE_RE}', 1)"
+    names = constant(_NAMES, "map<string,map<string,string>>")
+    values = constant(_BARE_VALUES, "map<string,string>")
+    without_number = f"regexp_replace({piece}, '^&#(?:[0-9]+|[xX][0-9a-fA-F]+);?', '')"
 
-    def tail(skip: Column) -> Column:
-        return F.substring(piece, skip + 1, F.length(piece))
+    def numbered(pattern: str, base: int) -> str:
+        return f"concat({_number(f'regexp_extract({piece}, {quoted(pattern)}, 1)', base)}, {without_number})"
 
-    def number(value: Column) -> Column:
-        return F.concat(value, F.regexp_replace(piece, "^&#(?:[0-9]+|[xX][0-9a-fA-F]+);?", ""))
+    def unnamed(text: str) -> str:
+        known = f"concat(element_at({values}, {text}), substring({piece}, length({text}) + 2))"
+        return f"if({text} <> '', {known}, {piece})"
 
-    def named_or_bare(value: Column) -> Column:
-        bare_values = literal_json(_BARE_VALUES, "map<string,string>")
-        return (
-            F.when(value.isNotNull(), F.concat(value, tail(F.length(name) + 1)))
-            .when(bare != "", F.concat(F.element_at(bare_values, bare), tail(F.length(bare) + 1)))
-            .otherwise(piece)
-        )
+    def named(value: str) -> str:
+        return f"if({value} is not null, concat({value}, substring({piece}, length({name}) + 2)), {bind(bare, unnamed)})"
 
-    names = literal_json(_NAMES, "map<string,map<string,string>>")
-    named = F.element_at(F.element_at(names, F.substring(name, 1, 1)), name)
     return (
-        F.when(~piece.startswith("&"), piece)
-        .when(piece.startswith("&amp;"), F.concat(F.lit("&"), tail(F.lit(5))))
-        .when(piece.startswith("&lt;"), F.concat(F.lit("<"), tail(F.lit(4))))
-        .when(piece.startswith("&gt;"), F.concat(F.lit(">"), tail(F.lit(4))))
-        .when(decimal != "", number(_number_to_char(decimal, 10)))
-        .when(hexa != "", number(_number_to_char(hexa, 16)))
-        .otherwise(let(named, named_or_bare))
+        f"case when not startswith({piece}, '&') then {piece} "
+        f"when startswith({piece}, '&amp;') then concat('&', substring({piece}, 6)) "
+        f"when startswith({piece}, '&lt;') then concat('<', substring({piece}, 5)) "
+        f"when startswith({piece}, '&gt;') then concat('>', substring({piece}, 5)) "
+        f"when {piece} rlike '^&#[0-9]' then {numbered('^&#([0-9]+)', 10)} "
+        f"when {piece} rlike '^&#[xX][0-9a-fA-F]' then {numbered('^&#[xX]([0-9a-fA-F]+)', 16)} "
+        f"else {bind(f'element_at(element_at({names}, substring({name}, 1, 1)), {name})', named)} end"
     )
 
 
+def unescape_sql(text: str) -> str:
+    def decode(t: str) -> str:
+        pieces = each(f"split({t}, '(?=&)')", _reference)
+        return f"if(contains({t}, '&'), array_join({pieces}, ''), {t})"
+
+    return bind(text, decode)
+
+
 def unescape(col: Column) -> Column:
     """Decode HTML character references once, the way HTML5 readers do."""
-    def decode(text: Column) -> Column:
-        pieces = F.transform(F.split(text, "(?=&)"), _decode_piece)
-        return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
-
-    return let(col, decode)
+    return apply(col, unescape_sql)
 
 
 # --- case folding --------------------------------------------------------------
@@ -167,32 +167,40 @@ def _ranges(chars: str) -> str:
 _FOLD_ONE, _FOLD_MANY = _fold_tables()
 
 
+def fold_case_sql(text: str) -> str:
+    odd = quoted(_ranges("".join(_FOLD_ONE) + "".join(_FOLD_MANY)))
+    many = quoted(_ranges("".join(_FOLD_MANY)))
+    table = constant(_FOLD_MANY, "map<string,string>")
+
+    def expand(t: str) -> str:
+        chars = each(f"split({t}, '')", lambda c: f"coalesce(element_at({table}, {c}), {c})")
+        return f"if({t} rlike {many}, array_join({chars}, ''), {t})"
+
+    def fold(low: str) -> str:
+        singles = f"translate({low}, {quoted(''.join(_FOLD_ONE))}, {quoted(''.join(_FOLD_ONE.values()))})"
+        plain = f"octet_length({low}) = length({low}) or not {low} rlike {odd}"
+        return f"if({plain}, {low}, {bind(singles, expand)})"
+
+    return bind(f"replace(lower(coalesce({text}, '')), 'ß', 'ss')", fold)
+
+
 def fold_case(col: Column) -> Column:
     """Unicode case folding; null becomes ``""``.
 
     Almost every text needs ``lower`` and the sharp s only. The rest is reached
     by the rows that hold such characters.
     """
-    table = literal_json(_FOLD_MANY, "map<string,string>")
-    odd = _ranges("".join(_FOLD_ONE) + "".join(_FOLD_MANY))
-    many = _ranges("".join(_FOLD_MANY))
+    return apply(col, fold_case_sql)
 
-    def expand(text: Column) -> Column:
-        chars = F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(table, c), c))
-        return F.when(text.rlike(many), F.array_join(chars, "")).otherwise(text)
 
-    def fold(low: Column) -> Column:
-        singles = F.translate(low, "".join(_FOLD_ONE), "".join(_FOLD_ONE.values()))
-        plain = (F.octet_length(low) == F.length(low)) | ~low.rlike(odd)
-        return F.when(plain, low).otherwise(let(singles, expand))
-
-    return let(F.replace(F.lower(or_empty(col)), F.lit("ß"), F.lit("ss")), fold)
+def match_key_sql(text: str) -> str:
+    spelled = f"replace({fold_case_sql(text)}, '&', ' and ')"
+    return f"btrim(regexp_replace({spelled}, '[^a-z0-9]+', ' '))"
 
 
 def match_key(col: Column) -> Column:
     """Text reduced to ASCII words for loose comparison (labels, titles, places)."""
-    spelled = F.replace(fold_case(col), F.lit("&"), F.lit(" and "))
-    return F.btrim(F.regexp_replace(spelled, "[^a-z0-9]+", " "))
+    return apply(col, match_key_sql)
 
 
 # --- whitespace and tags -------------------------------------------------------
@@ -203,21 +211,35 @@ BULLET = "•"
 BLOCK_TAGS = ("p", "div", "br", "li", "ul", "ol", "section", "h1", "h2", "h3", "h4", "tr")
 
 
-def tidy(col: Column) -> Column:
-    """Decode references, unify bullets and spaces, tighten slashes and line breaks."""
-    text = unescape(or_empty(col))
-    text = F.replace(F.replace(text, F.lit(MOJIBAKE_BULLET), F.lit("-")), F.lit(BULLET), F.lit("-"))
-    text = F.replace(text, F.lit(" "), F.lit(" "))
+def strip_sql(text: str) -> str:
+    return f"btrim({text}, {quoted(SPACE_CHARS)})"
+
+
+def _unify_bullets(text: str) -> str:
+    return f"replace(replace({text}, {quoted(MOJIBAKE_BULLET)}, '-'), {quoted(BULLET)}, '-')"
+
+
+def _replace(text: str, pattern: str, new: str) -> str:
+    return f"regexp_replace({text}, {quoted(pattern)}, {quoted(new)})"
+
+
+def _tight_slashes(text: str) -> str:
+    return f"if(contains({text}, '/'), {_replace(text, f'{SPACE}*+/{SPACE}*+', '/')}, {text})"
+
+
+def tidy_sql(text: str) -> str:
+    out = _unify_bullets(unescape_sql(f"coalesce({text}, '')"))
+    out = f"replace({out}, chr(160), ' ')"
     # a run of blanks that is not one space already
-    text = F.regexp_replace(text, r" [ \t\r\f\x0b]++|[\t\r\f\x0b][ \t\r\f\x0b]*+", " ")
-    text = F.regexp_replace(text, rf"\n{SPACE}*\n", "\n")
-    text = F.regexp_replace(text, r" \n ?|\n ", "\n")
-    return strip(let(text, tight_slashes))
+    out = _replace(out, r" [ \t\r\f\x0b]++|[\t\r\f\x0b][ \t\r\f\x0b]*+", " ")
+    out = _replace(out, rf"\n{SPACE}*\n", "\n")
+    out = _replace(out, r" \n ?|\n ", "\n")
+    return strip_sql(bind(out, _tight_slashes))
 
 
-def tight_slashes(text: Column) -> Column:
-    tight = F.regexp_replace(text, f"{SPACE}*+/{SPACE}*+", "/")
-    return F.when(F.contains(text, F.lit("/")), tight).otherwise(text)
+def tidy(col: Column) -> Column:
+    """Decode references, unify bullets and spaces, tighten slashes and line breaks."""
+    return apply(col, tidy_sql)
 
 
 _RAW_ELEMENT = r"<(?:script|style)\b[^>]*+(?<!/)>"
@@ -226,7 +248,7 @@ _MARKUP = "|".join(
         r"<script\b[^>]*+(?<!/)>.*?(?=</script[\s/>]|\z)",
         r"<style\b[^>]*+(?<!/)>.*?(?=</style[\s/>]|\z)",
         r"<!--.*?-->",
-        r"""</?[a-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>""",
+        r"</?[a-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>",
         r"<[a-z/!?][^>]*+>",
         r"[^<]++",
         r"<",
@@ -234,33 +256,36 @@ _MARKUP = "|".join(
 )
 
 
-def strip_tags(col: Column, drop_scripts: bool = False) -> Column:
-    """Markup to raw text: block tags break lines, list items start with a dash.
-
-    Script and style bodies are text to the parser this follows; ``drop_scripts``
-    removes them instead.
-    """
-    block = "(?i)^</?(?:" + "|".join(BLOCK_TAGS) + r")[\s/>]"
+def strip_tags_sql(text: str, drop_scripts: bool = False) -> str:
+    item = quoted(r"(?i)^<li[\s/>]")
+    block = quoted("(?i)^</?(?:" + "|".join(BLOCK_TAGS) + r")[\s/>]")
     raw = f"(?i)^{_RAW_ELEMENT}"
 
-    def piece(token: Column) -> Column:
-        body = F.lit("") if drop_scripts else F.regexp_replace(token, raw, "")
+    def piece(token: str) -> str:
+        body = "''" if drop_scripts else _replace(token, raw, "")
         return (
-            F.when(~token.startswith("<"), unescape(token))
-            .when(token.rlike(r"(?i)^<li[\s/>]"), F.when(token.endswith("/>"), "\n- \n").otherwise("\n- "))
-            .when(token.rlike(block), F.lit("\n"))
-            .when(token.rlike(raw), body)
-            .when(token.rlike("^<[a-zA-Z/!?]"), F.lit(""))
-            .otherwise(token)
+            f"case when not startswith({token}, '<') then {unescape_sql(token)} "
+            f"when {token} rlike {item} then if(endswith({token}, '/>'), '\\n- \\n', '\\n- ') "
+            f"when {token} rlike {block} then '\\n' "
+            f"when {token} rlike {quoted(raw)} then {body} "
+            f"when {token} rlike '^<[a-zA-Z/!?]' then '' else {token} end"
         )
 
-    tokens = F.regexp_extract_all(col, F.lit(f"(?is){_MARKUP}"), F.lit(0))
-    return F.array_join(F.transform(tokens, piece), "")
+    tokens = f"regexp_extract_all({text}, {quoted('(?is)' + _MARKUP)}, 0)"
+    return f"array_join({each(tokens, piece)}, '')"
+
+
+def html_text_sql(text: str, drop_scripts: bool = False) -> str:
+    return tidy_sql(strip_tags_sql(unescape_sql(f"coalesce({text}, '')"), drop_scripts))
 
 
 def html_text(col: Column, drop_scripts: bool = False) -> Column:
-    """HTML (possibly escaped once more) to tidy plain text; null gives ``""``."""
-    return tidy(strip_tags(unescape(or_empty(col)), drop_scripts))
+    """HTML (possibly escaped once more) to tidy plain text; null gives ``""``.
+
+    Block tags break lines and list items start with a dash. Script and style
+    bodies are text to the parser this follows; ``drop_scripts`` removes them.
+    """
+    return apply(col, lambda t: html_text_sql(t, drop_scripts))
 
 
 # --- description cut -----------------------------------------------------------
@@ -329,54 +354,53 @@ def _required(pattern: str, first_word: bool = False) -> str | None:
     return text.lower() or None
 
 
-def _may_match(low: Column, pattern: str, first_word: bool = False) -> Column:
+def _may_match(low: str, pattern: str, first_word: bool = False) -> str:
     needed = _required(pattern, first_word)
-    return F.contains(low, F.lit(needed)) if needed else F.lit(True)
+    return f"contains({low}, {quoted(needed)})" if needed else "true"
 
 
-def _low(text: Column) -> Column:
+def _low(text: str) -> str:
     """Lower case as case-blind matching sees it (the long s equals s)."""
-    return F.replace(F.lower(text), F.lit("ſ"), F.lit("s"))
+    return f"replace(lower({text}), 'ſ', 's')"
 
 
-def after_first_cue(text: Column, cues: Sequence[str]) -> Column:
+def _after_first_cue(text: str, cues: Sequence[str]) -> str:
     """Text behind the first match of the first cue (in list order) that occurs; else null."""
 
-    def tail(low: Column) -> Column:
-        return F.coalesce(
-            *[F.when(_may_match(low, cue), F.get(F.split(text, _java(cue), 2), F.lit(1))) for cue in cues]
-        )
+    def tail(low: str) -> str:
+        tries = [f"if({_may_match(low, c)}, get(split({text}, {quoted(_java(c))}, 2), 1), null)" for c in cues]
+        return f"coalesce({', '.join(tries)}, null)"
 
-    return let(_low(text), tail)
+    return bind(_low(text), tail)
 
 
-def before_any_cue(text: Column, cues: Sequence[str]) -> Column:
+def _before_any_cue(text: str, cues: Sequence[str]) -> str:
     """Text in front of the earliest match of any cue."""
 
-    def head(low: Column) -> Column:
-        possible = reduce(or_, [_may_match(low, cue) for cue in cues])
-        return F.when(possible, F.get(F.split(text, _java("|".join(cues)), 2), F.lit(0))).otherwise(text)
+    def head(low: str) -> str:
+        possible = " or ".join(_may_match(low, c) for c in cues)
+        return f"if({possible}, get(split({text}, {quoted(_java('|'.join(cues)))}, 2), 0), {text})"
 
-    return let(_low(text), head)
+    return bind(_low(text), head)
 
 
-def relabel(text: Column, labels: Sequence[tuple[str, str]]) -> Column:
+def _relabel(text: str, labels: Sequence[tuple[str, str]]) -> str:
     """Apply the label edits in order.
 
     An edit never creates the first word of a later label, so one look at the
     incoming text decides which edits can matter.
     """
 
-    def one(pattern: str, label: str, possible: Column) -> Callable[[Column], Column]:
-        return lambda t: F.when(possible, F.regexp_replace(t, _java(pattern), label)).otherwise(t)
+    def one(pattern: str, label: str, possible: str) -> Callable[[str], str]:
+        return lambda t: f"if({possible}, {_replace(t, _java(pattern), label)}, {t})"
 
-    def edit(low: Column) -> Column:
+    def edit(low: str) -> str:
         result = text
         for pattern, label in labels:
-            result = let(result, one(pattern, label, _may_match(low, pattern, first_word=True)))
+            result = bind(result, one(pattern, label, _may_match(low, pattern, first_word=True)))
         return result
 
-    return let(_low(text), edit)
+    return bind(_low(text), edit)
 
 
 def description_text(
@@ -386,12 +410,13 @@ def description_text(
     drop_scripts: bool = False,
 ) -> Column:
     """Clean a posting's HTML description; without a cue the whole text stays."""
-    def cut(text: Column) -> Column:
-        kept = F.coalesce(after_first_cue(text, start_cues or START_CUES), text)
-        kept = let(kept, lambda t: before_any_cue(t, stop_cues or STOP_CUES))
-        return tidy(let(kept, lambda t: relabel(t, LABELS)))
 
-    return let(html_text(col, drop_scripts), cut)
+    def cut(text: str) -> str:
+        kept = f"coalesce({_after_first_cue(text, start_cues or START_CUES)}, {text})"
+        kept = bind(kept, lambda t: _before_any_cue(t, stop_cues or STOP_CUES))
+        return tidy_sql(bind(kept, lambda t: _relabel(t, LABELS)))
+
+    return apply(col, lambda t: bind(html_text_sql(t, drop_scripts), cut))
 
 
 def digest_cut(
@@ -400,15 +425,21 @@ def digest_cut(
     stop_cues: Sequence[str] = DIGEST_STOP,
 ) -> Column:
     """Older cut: only what follows the start cue, null when it is missing."""
-    tail = let(col, lambda text: after_first_cue(text, start_cues))
-    return strip(let(tail, lambda text: before_any_cue(text, stop_cues)))
+
+    def head(text: str) -> str:
+        return strip_sql(bind(_after_first_cue(text, start_cues), lambda t: _before_any_cue(t, stop_cues)))
+
+    return apply(col, head)
 
 
 def digest_tidy(col: Column) -> Column:
     """Older tidy: all whitespace to one space, three label edits; null stays null."""
-    text = F.replace(F.replace(unescape(col), F.lit(MOJIBAKE_BULLET), F.lit("-")), F.lit(BULLET), F.lit("-"))
-    text = let(F.regexp_replace(text, rf" {SPACE}++|(?! ){SPACE}{SPACE}*+", " "), tight_slashes)
-    return strip(let(text, lambda t: relabel(t, DIGEST_LABELS)))
+
+    def tidy_digest(text: str) -> str:
+        out = _replace(_unify_bullets(unescape_sql(text)), rf" {SPACE}++|(?! ){SPACE}{SPACE}*+", " ")
+        return strip_sql(bind(bind(out, _tight_slashes), lambda t: _relabel(t, DIGEST_LABELS)))
+
+    return apply(col, tidy_digest)
 
 
 def split_overviews(col: Column, head: str = OVERVIEW_HEAD) -> Column:

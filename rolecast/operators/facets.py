@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolecast.functions.payload import (
-    bind,
     elements,
     field,
     first_filled,
@@ -18,9 +17,9 @@ from rolecast.functions.payload import (
     is_array,
     is_object,
     objects,
-    those,
     whole_number,
 )
+from rolecast.functions.sql import bind, those
 from rolecast.functions.places import is_location_facet, option_score
 from rolecast.operators.limits import top_per_group
 

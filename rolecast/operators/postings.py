@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolecast.functions.payload import (
-    bind,
-    each,
     elements,
     field,
     first_filled,
@@ -25,8 +23,8 @@ from rolecast.functions.payload import (
     place_text,
     posted_date,
     posted_text,
-    those,
 )
+from rolecast.functions.sql import bind, each, those
 from rolecast.functions.text import blank_to_null, description_text
 from rolecast.functions.urls import infer_site, posting_address, public_prefix, requisition_id
 from rolecast.operators.joins import hot_key_join, lookup_join, one_per_key

@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from rolecast.functions import forms, payload, places
+from rolecast.functions.sql import bind
 from rolecast.operators import filters
 
 
@@ -44,7 +45,7 @@ def test_posted_date(spark):
              True: "", 1e300: "", -5: "1969-12-31", "Posted today": "Posted ", "": "", "x": "x"}
     cases["Posted today"] = "Posted today"
     for raw, expected in cases.items():
-        assert evaluate(spark, {"t": raw}, payload.bind(payload.field("v", "$.t"), payload.posted_date)) == (expected,), raw
+        assert evaluate(spark, {"t": raw}, bind(payload.field("v", "$.t"), payload.posted_date)) == (expected,), raw
     assert evaluate(spark, {"t": None}, payload.posted_date(payload.field("v", "$.t"))) == ("",)
 
 
