@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rolecast.functions.text import let, literal_json, match_key, or_empty
+from rolecast.functions.sql import apply, bind, constant, each, quoted
+from rolecast.functions.text import match_key, match_key_sql, or_empty
 
 # Names that stand for the same place.
 _US = ("us", "u.s.", "u.s", "usa", "u.s.a.", "united states", "united states of america", "america", "(us)")
@@ -58,44 +57,49 @@ _ALIASES = _alias_table()
 _COUNTRY_WORDS = sorted({_key(w) for k, v in COUNTRIES.items() for w in (k, *v)})
 
 
+def aliases_sql(query: str) -> str:
+    table = constant(_ALIASES, "map<string,array<string>>")
+    none = "cast(array() as array<string>)"
+    return bind(match_key_sql(query), lambda k: f"if({k} = '', {none}, coalesce(element_at({table}, {k}), array({k})))")
+
+
 def aliases(query: Column) -> Column:
     """Array of the reduced query and every name of the same place; empty for a blank query."""
-    table = literal_json(_ALIASES, "map<string,array<string>>")
-    none = F.array().cast("array<string>")
-    return let(
-        match_key(query),
-        lambda k: F.when(k == "", none).otherwise(F.coalesce(F.element_at(table, k), F.array(k))),
-    )
+    return apply(query, aliases_sql)
+
+
+def _country_query(query: str) -> str:
+    return f"{match_key_sql(query)} in ({', '.join(map(quoted, _COUNTRY_WORDS))})"
+
+
+def _country_label(label: str) -> str:
+    return f"{match_key_sql(label)} in ({', '.join(map(quoted, COUNTRY_LABELS))})"
 
 
 def is_country_query(query: Column) -> Column:
-    return match_key(query).isin(*_COUNTRY_WORDS)
+    return apply(query, _country_query)
 
 
 def is_country_label(label: Column) -> Column:
-    return match_key(label).isin(*COUNTRY_LABELS)
+    return apply(label, _country_label)
 
 
 def is_location_facet(facet_key: Column, facet_label: Column) -> Column:
     return F.contains(match_key(F.concat_ws(" ", or_empty(facet_key), or_empty(facet_label))), F.lit("location"))
 
 
-def place_matches(blob: Column, query: Column) -> Column:
+def _place_matches(blob: str, query: str) -> str:
     """Test of reduced location text: whole words for a country, substring otherwise."""
-    padded = F.concat(F.lit(" "), blob, F.lit(" "))
 
-    def test(names: Column) -> Column:
+    def test(names: str) -> str:
+        word = f"exists({names}, a -> contains(concat(' ', {blob}, ' '), concat(' ', a, ' ')))"
+        part = f"exists({names}, a -> contains({blob}, a))"
         return (
-            F.when(blob == "", False)
-            .when(F.size(names) == 0, True)
-            .when(
-                is_country_query(query),
-                F.exists(names, lambda a: F.contains(padded, F.concat(F.lit(" "), a, F.lit(" ")))),
-            )
-            .otherwise(F.exists(names, lambda a: F.contains(blob, a)))
+            f"case when {blob} = '' then false when size({names}) = 0 then true "
+            f"when {_country_query(quoted(query))} then {word} else {part} end"
         )
 
-    return let(aliases(query), test)
+    return bind(aliases_sql(quoted(query)), test)
 
 
 def any_place_matches(blob: Column, queries: Sequence[str]) -> Column:
@@ -103,46 +107,48 @@ def any_place_matches(blob: Column, queries: Sequence[str]) -> Column:
     kept = [q.strip() for q in queries if q.strip()]
     if not kept:
         return F.lit(True)
-    return let(blob, lambda b: reduce(or_, [place_matches(b, F.lit(q)) for q in kept]))
+    return apply(blob, lambda b: " or ".join(_place_matches(b, q) for q in kept))
 
 
 def title_matches(title: Column, keywords: Sequence[str]) -> Column:
     """True when any keyword occurs in the reduced title, or there is no keyword."""
     if not keywords:
         return F.lit(True)
-    return let(match_key(title), lambda t: reduce(or_, [F.contains(t, match_key(F.lit(k))) for k in keywords]))
+
+    def test(reduced: str) -> str:
+        return " or ".join(f"contains({reduced}, {match_key_sql(quoted(k))})" for k in keywords)
+
+    return apply(title, lambda t: bind(match_key_sql(t), test))
 
 
-def option_score(label: Column, path: Column, count: Column, query: Column, strict: bool = False) -> Column:
+def option_score(label: str, path: str, count: str, query: str, strict: bool = False) -> Column:
     """How well a facet option fits a location query, 0 for not at all.
 
-    The count and country bonuses only rank options that match; ``strict`` adds
-    them to every option, matching or not.
+    The arguments are column names. The count and country bonuses only rank
+    options that match; ``strict`` adds them to every option, matching or not.
     """
-    a_country, a_country_label = is_country_query(query), is_country_label(label)
-    facts = F.struct(
-        match_key(label).alias("label"),
-        match_key(F.array_join(path, " ")).alias("path"),
-        aliases(query).alias("names"),
-    )
 
-    def tier(f: Column, name: Column) -> Column:
-        lab, pad = f["label"], F.lit(" ")
+    def tier(f: str, name: str) -> str:
         return (
-            F.when(lab == name, EXACT)
-            .when(F.startswith(lab, F.concat(name, pad)) | F.endswith(lab, F.concat(pad, name)), EDGE_WORD)
-            .when(F.contains(F.concat(pad, lab, pad), F.concat(pad, name, pad)), INNER_WORD)
-            .when(F.contains(lab, name), SUBSTRING)
-            .when(F.contains(f["path"], name), IN_PATH)
-            .otherwise(0.0)
+            f"case when {f}.label = {name} then {EXACT}D "
+            f"when startswith({f}.label, concat({name}, ' ')) or endswith({f}.label, concat(' ', {name})) then {EDGE_WORD}D "
+            f"when contains(concat(' ', {f}.label, ' '), concat(' ', {name}, ' ')) then {INNER_WORD}D "
+            f"when contains({f}.label, {name}) then {SUBSTRING}D "
+            f"when contains({f}.path, {name}) then {IN_PATH}D else 0D end"
         )
 
-    def total(f: Column) -> Column:
-        best = F.array_max(F.transform(f["names"], lambda n: tier(f, n)))
-        bonus = F.when(a_country & a_country_label, COUNTRY_BONUS).otherwise(0.0) + F.coalesce(
-            F.least(count / COUNT_UNIT, F.lit(COUNT_CAP)), F.lit(0.0)
+    def total(f: str) -> str:
+        best = f"array_max({each(f'{f}.names', lambda n: tier(f, n))})"
+        bonus = (
+            f"(if({f}.country and {f}.country_label, {COUNTRY_BONUS}D, 0D) "
+            f"+ coalesce(least({count} / {COUNT_UNIT}D, {COUNT_CAP}D), 0D))"
         )
-        scored = let(best, lambda b: b + bonus if strict else F.when(b > 0, b + bonus).otherwise(0.0))
-        return F.when((F.size(f["names"]) == 0) | (a_country & ~a_country_label), 0.0).otherwise(scored)
+        scored = bind(best, lambda b: f"{b} + {bonus}" if strict else f"if({b} > 0, {b} + {bonus}, 0D)")
+        return f"if(size({f}.names) = 0 or ({f}.country and not {f}.country_label), 0D, {scored})"
 
-    return let(facts, total)
+    joined = f"array_join({path}, ' ')"
+    facts = (
+        f"named_struct('label', {match_key_sql(label)}, 'path', {match_key_sql(joined)}, "
+        f"'names', {aliases_sql(query)}, 'country', {_country_query(query)}, 'country_label', {_country_label(label)})"
+    )
+    return F.expr(bind(facts, total))

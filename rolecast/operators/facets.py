@@ -122,7 +122,7 @@ def search_options(
     if location_only:
         options = options.where(is_location_facet(F.col("facet_key"), F.get("path", F.lit(0))))
     asked = options.withColumn("query", F.explode(F.array(*[F.lit(q) for q in queries])))
-    score = option_score(F.col("label"), F.col("path"), F.col("count"), F.col("query"), strict)
+    score = option_score("label", "path", "count", "query", strict)
     matched = asked.withColumn("score", score).where("score > 0").withColumn("score", F.round("score", 3))
     order = [F.desc("score"), F.desc(F.coalesce("count", F.lit(0))), F.desc("label")]
     return top_per_group(matched, ["source", "query"], order, limit, unique=["seq"], rank="rank")

@@ -107,14 +107,16 @@ def compiled_terms(tables: Profiles, rules: RankRules) -> DataFrame:
     return _boosted(tables).mapInPandas(_compiler(rules.separators), _TERM)
 
 
-def _inline_terms(tables: Profiles, rules: RankRules, most: int) -> list[dict] | None:
+def _inline_terms(terms: DataFrame, profiles: list[dict], rules: RankRules, most: int) -> list[dict] | None:
     """The compiled terms as constants, or None when there are more than ``most``."""
-    rows = _boosted(tables).limit(most + 1).collect()
+    rows = terms.limit(most + 1).collect()
     if len(rows) > most:
         return None
-    rows.sort(key=lambda r: (r.profile, BUCKETS.index(r.bucket), r.ord))
-    raw = pd.DataFrame([r.asDict() for r in rows], columns=list(_RAW_TERM))
-    return next(_compiler(rules.separators)(iter([raw]))).to_dict("records")
+    boosts = {p["profile"]: p["title_boost"] for p in profiles}
+    raw = [{**r.asDict(), "title_boost": boosts[r.profile]} for r in rows if r.profile in boosts]
+    raw.sort(key=lambda r: (r["profile"], BUCKETS.index(r["bucket"]), r["ord"]))
+    batch = pd.DataFrame(raw, columns=list(_RAW_TERM))
+    return next(_compiler(rules.separators)(iter([batch]))).to_dict("records")
 
 
 def _texts(postings: DataFrame, rules: RankRules) -> DataFrame:
@@ -159,11 +161,11 @@ def rank(
 
     ``postings`` needs ``ingest_seq``, ``title``, ``description_text`` and ``url``.
     """
-    profiles = tables.profiles.limit(inline_terms + 1).collect()
-    terms = _inline_terms(tables, rules, inline_terms) if len(profiles) <= inline_terms else None
+    profiles = [p.asDict() for p in tables.profiles.limit(inline_terms + 1).collect()]
+    terms = _inline_terms(tables.terms, profiles, rules, inline_terms) if len(profiles) <= inline_terms else None
     if terms is None:
         return _rank_joined(postings, tables, rules)
-    return _rank_inline(postings, [p.asDict() for p in profiles], terms, rules)
+    return _rank_inline(postings, profiles, terms, rules)
 
 
 def _rank_inline(postings: DataFrame, profiles: list[dict], terms: list[dict], rules: RankRules) -> DataFrame:
