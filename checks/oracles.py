@@ -436,6 +436,11 @@ best AS (SELECT * FROM placed WHERE rank <= {limit})"""
 
 
 ORACLES["facet_flatten"] = f"WITH {_TREE} SELECT * FROM options"
+ORACLES["facet_scan"] = f"""
+WITH {_TREE} SELECT source, count(*) AS options, sum(count)::BIGINT AS postings FROM options GROUP BY source"""
+ORACLES["site_kinds"] = """
+SELECT CASE WHEN page_id % 4 = 0 THEN 'https://explore.jobs.netflix.net/careers' ELSE url END AS source,
+       page_id AS source_ord, page_id % 4 = 0 AS alternate FROM pages"""
 ORACLES["facet_search_topk"] = f"WITH {found_options(False, 4)} SELECT source, query, rank, value, score FROM best"
 ORACLES["facet_search_strict"] = f"WITH {found_options(True, 3)} SELECT source, query, rank, value, score FROM best"
 ORACLES["facet_resolve"] = f"""

@@ -610,6 +610,24 @@ def facet_flatten(spark, folder):
     return options.select("source", "seq", "facet_key", "value", "label", "count", F.array_join("path", " > ").alias("path"))
 
 
+@query
+def facet_scan(spark, folder):
+    """Facet metadata of landed pages: only page one counts."""
+    docs = facet_docs(spark, folder).select("source", F.to_json("doc").alias("payload"))
+    numbered = docs.withColumn("page_no", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    found = facets.facet_options(paging.facet_pages(numbered))
+    return found.groupBy("source").agg(F.count("*").alias("options"), F.sum("count").alias("postings"))
+
+
+@query
+def site_kinds(spark, folder):
+    """Sites split by the listing interface they use."""
+    address = F.when(F.col("page_id") % 4 == 0, F.lit("https://explore.jobs.netflix.net/careers")).otherwise(F.col("url"))
+    given = table(spark, folder, "pages").select(address.alias("source"), F.col("page_id").alias("source_ord"))
+    usual, alternate = search.split_sites(given)
+    return usual.withColumn("alternate", F.lit(False)).unionByName(alternate.withColumn("alternate", F.lit(True)))
+
+
 @query
 def facet_search_topk(spark, folder):
     found = facets.search_options(facets.facet_options(facet_docs(spark, folder)), FACET_QUERIES, 4, location_only=True)

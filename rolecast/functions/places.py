@@ -121,10 +121,10 @@ def title_matches(title: Column, keywords: Sequence[str]) -> Column:
     return apply(title, lambda t: bind(match_key_sql(t), test))
 
 
-def option_score(label: str, path: str, count: str, query: str, strict: bool = False) -> Column:
-    """How well a facet option fits a location query, 0 for not at all.
+def option_score(label: str, path: str, count: str, query: str, strict: bool = False) -> str:
+    """How well a facet option fits a location query, 0 for not at all (SQL text).
 
-    The arguments are column names. The count and country bonuses only rank
+    The arguments are SQL texts. The count and country bonuses only rank
     options that match; ``strict`` adds them to every option, matching or not.
     """
 
@@ -151,4 +151,4 @@ def option_score(label: str, path: str, count: str, query: str, strict: bool = F
         f"named_struct('label', {match_key_sql(label)}, 'path', {match_key_sql(joined)}, "
         f"'names', {aliases_sql(query)}, 'country', {_country_query(query)}, 'country_label', {_country_label(label)})"
     )
-    return F.expr(bind(facts, total))
+    return bind(facts, total)

@@ -19,7 +19,7 @@ from rolecast.functions.payload import (
     objects,
     whole_number,
 )
-from rolecast.functions.sql import bind, those
+from rolecast.functions.sql import bind, quoted, those
 from rolecast.functions.places import is_location_facet, option_score
 from rolecast.operators.limits import top_per_group
 
@@ -121,9 +121,14 @@ def search_options(
         options = options.where(F.col("facet_key").isin(*facet_keys))
     if location_only:
         options = options.where(is_location_facet(F.col("facet_key"), F.get("path", F.lit(0))))
-    asked = options.withColumn("query", F.explode(F.array(*[F.lit(q) for q in queries])))
-    score = option_score("label", "path", "count", "query", strict)
-    matched = asked.withColumn("score", score).where("score > 0").withColumn("score", F.round("score", 3))
+    score = option_score("label", "path", "count", "q", strict)
+    asked = ", ".join(map(quoted, queries))
+    scored = f"transform(array({asked}), q -> named_struct('query', q, 'score', {score}))"
+    # scored before the explode, so a pair is looked at once and only matches become rows
+    found = F.explode(F.expr(f"filter({scored}, s -> s.score > 0)"))
+    matched = options.withColumn("_s", found).select(
+        *options.columns, "_s.query", F.round("_s.score", 3).alias("score")
+    )
     order = [F.desc("score"), F.desc(F.coalesce("count", F.lit(0))), F.desc("label")]
     return top_per_group(matched, ["source", "query"], order, limit, unique=["seq"], rank="rank")
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,9 +12,10 @@ from pyspark.sql import functions as F
 from rolecast.session import materialize
 
 BROADCAST_ROWS = 100_000
-SALTS = 32
 HOT_KEYS = 10_000
 HOT_ROWS = 100_000
+# rows with a null key match nothing and are spread over this many slices
+NULL_SLICES = 1_024
 
 
 def lookup_join(
@@ -22,49 +25,51 @@ def lookup_join(
     spread_by: str,
     how: str = "left",
     broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Join wide rows to a narrow table holding one row per key.
+    """Join wide rows to a narrow table.
 
     The small side is written once and its rows are counted. Up to
     ``broadcast_rows`` it is broadcast, so the wide rows stay where they are.
-    Beyond that both sides are shuffled with a salt taken from ``spread_by``,
-    so a hot key is spread over ``salts`` tasks.
+    Beyond that it is a shuffled join whose hot keys are spread.
     """
     small = materialize(small)
     if small.count() <= broadcast_rows:
         return big.join(F.broadcast(small), list(keys), how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
-    copies = small.withColumn("_salt", F.expr(f"explode(sequence(0L, {salts - 1}L))"))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return hot_key_join(big, small, keys, spread_by, how, hot_rows)
 
 
 def hot_key_join(
     left: DataFrame,
     right: DataFrame,
-    key: str,
+    keys: Sequence[str],
     spread_by: str,
+    how: str = "left",
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
-    """Left join on a key where few left keys may be very frequent.
+    """Inner or left join on keys of which some may be very frequent on the left.
 
-    ``right`` holds one row per key. Only the hot keys (at most ``HOT_KEYS``, so
-    their list can be broadcast) are salted, and only their right rows copied.
-    A key outside that list owns less than 1/``HOT_KEYS`` of the rows.
+    A key with more than ``hot_rows`` left rows is cut into slices of about that
+    many rows, by ``spread_by``, and its right rows are copied once per slice:
+    all in all at most one copy per ``hot_rows`` left rows. The list of hot keys
+    is broadcast; it holds at most ``HOT_KEYS`` rows, and a key outside it owns
+    less than 1/``HOT_KEYS`` of the left side.
     """
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).count()
-    hot = materialize(counts.where(F.col("count") > hot_rows).orderBy(F.desc("count")).limit(HOT_KEYS).select(key))
+    keys = list(keys)
+    if left.isStreaming:
+        return left.join(right, keys, how)
+    lacking = reduce(or_, [F.col(k).isNull() for k in keys])
+    counts = left.where(~lacking).groupBy(*keys).count().where(F.col("count") > hot_rows)
+    slices = F.ceil(F.col("count") / hot_rows).alias("_slices")
+    hot = materialize(counts.orderBy(F.desc("count")).limit(HOT_KEYS).select(*keys, slices))
     if hot.isEmpty():
-        return left.join(right, key, "left")
-    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
-    salted = left.join(marked, key, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0))
-    copies = right.join(marked, key, "left").withColumn(
-        "_salt",
-        F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
+        return left.join(right, keys, how)
+    n = F.when(lacking, NULL_SLICES).otherwise(F.coalesce("_slices", F.lit(1)))
+    sliced = left.join(F.broadcast(hot), keys, "left").withColumn("_slice", F.pmod(F.xxhash64(spread_by), n))
+    copies = right.join(F.broadcast(hot), keys, "left").withColumn(
+        "_slice", F.expr("explode(sequence(0L, coalesce(_slices, 1L) - 1))")
     )
-    return salted.drop("_hot").join(copies.drop("_hot"), [key, "_salt"], "left").drop("_salt")
+    return sliced.drop("_slices").join(copies.drop("_slices"), [*keys, "_slice"], how).drop("_slice")
 
 
 def one_per_key(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rolecast.operators.joins import lookup_join
 
-SALTS = 32
+MIN_SLICES = 32
 
 
 def top_per_group(
@@ -19,21 +19,23 @@ def top_per_group(
     k: int,
     unique: Sequence[str],
     rank: str | None = None,
-    salts: int = SALTS,
+    slices: int | None = None,
 ) -> DataFrame:
     """First ``k`` rows of every group, exactly, also when one group is huge.
 
-    A group is cut to ``k`` rows in each of ``salts`` slices first; the final
-    cut then sees at most ``salts * k`` rows per group. ``unique`` names columns
-    that tell the rows of a group apart: they spread the rows over the slices
-    and break ties. ``rank`` keeps the 1-based position.
+    A group is cut to ``k`` rows in each of its slices first (as many as there
+    are shuffle partitions, so a huge group uses all of them); the final cut then
+    sees at most ``slices * k`` rows per group. ``unique`` names columns that tell
+    the rows of a group apart: they spread the rows over the slices and break
+    ties. ``rank`` keeps the 1-based position.
     """
+    slices = slices or max(MIN_SLICES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     place = rank or "_place"
     by = [*order, *unique]
     within = Window.partitionBy(*keys, "_slice").orderBy(*by)
     whole = Window.partitionBy(*keys).orderBy(*by)
     cut = (
-        df.withColumn("_slice", F.pmod(F.xxhash64(*unique), F.lit(salts)))
+        df.withColumn("_slice", F.pmod(F.xxhash64(*unique), F.lit(slices)))
         .withColumn(place, F.row_number().over(within))
         .where(F.col(place) <= k)
         .withColumn(place, F.row_number().over(whole))

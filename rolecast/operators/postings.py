@@ -112,7 +112,7 @@ def detail_facts(details: DataFrame, strict: bool = False) -> DataFrame:
 def hydrate(postings: DataFrame, details: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Fill summary postings from their detail pages; a posting without one stays."""
     options = {} if hot_rows is None else {"hot_rows": hot_rows}
-    joined = hot_key_join(postings, detail_facts(details), "url", spread_by="ingest_seq", **options)
+    joined = hot_key_join(postings, detail_facts(details), ["url"], spread_by="ingest_seq", **options)
     filled = {
         "title": F.expr(first_filled("title", "ld_title")),
         "location": F.expr(first_filled("location", "ld_place")),
@@ -196,7 +196,7 @@ def hydrate_missing(postings: DataFrame, details: DataFrame, hot_rows: int | Non
     blank = F.col("description_text") == ""
     lacking = postings.where(blank)
     joined = hot_key_join(
-        lacking, one_per_key(usable, "job_id", "_order"), "job_id", spread_by="ingest_seq", **options
+        lacking, one_per_key(usable, "job_id", "_order"), ["job_id"], spread_by="ingest_seq", **options
     )
     html = F.coalesce(blank_to_null(F.col("_found")), F.col("description_html"))
     filled = {

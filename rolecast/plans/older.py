@@ -23,7 +23,7 @@ def flat_records(postings: DataFrame, details: DataFrame) -> DataFrame:
     readable block ends the job, as the older reading does.
     """
     facts = detail_facts(details, strict=True).select("url", "ld_description")
-    joined = hot_key_join(postings, facts, "url", spread_by="ingest_seq")
+    joined = hot_key_join(postings, facts, ["url"], spread_by="ingest_seq")
     return joined.select(
         "ingest_seq",
         "title",

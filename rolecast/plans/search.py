@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rolecast.functions.urls import infer_site
 from rolecast.operators import facets as facet_ops
 from rolecast.operators.filters import browser_match
 from rolecast.operators.limits import limit_per_group, scan_counts
@@ -21,6 +22,7 @@ from rolecast.operators.paging import (
     summaries,
 )
 from rolecast.operators.postings import (
+    ALTERNATE_SOURCE,
     alternate_postings,
     hydrate,
     hydrate_missing,
@@ -50,6 +52,13 @@ class Found(NamedTuple):
     counts: DataFrame
 
 
+def split_sites(sites: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sites with the usual listing, and those with the alternate one (by tenant and site name)."""
+    parts = sites.withColumn("_s", infer_site(F.col("source")))
+    alternate = F.coalesce((F.col("_s.tenant") == "netflix") & (F.col("_s.site") == ALTERNATE_SOURCE), F.lit(False))
+    return parts.where(~alternate).drop("_s"), parts.where(alternate).drop("_s")
+
+
 def scan(landed: Landed, max_pages: int | None = None, page_size: int = PAGE_SIZE) -> DataFrame:
     """Posting rows from the list pages alone, in scan order (``ingest_seq``)."""
     pages = parse_pages(landed.pages, landed.alternate)

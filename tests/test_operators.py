@@ -100,11 +100,11 @@ def test_scan_counts_and_limits(spark):
     assert limits.limit_per_group(df, ["g"], "seq", 0).count() == 4
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 1000])
-def test_lookup_join_paths_agree(spark, broadcast_rows):
+@pytest.mark.parametrize("broadcast_rows,hot_rows", [(1000, 10), (0, 10), (0, 10**6)])
+def test_lookup_join_paths_agree(spark, broadcast_rows, hot_rows):
     big = spark.range(1000).select((F.col("id") % 7).alias("k"), F.col("id").alias("n"))
     small = spark.createDataFrame([(k, f"v{k}") for k in range(5)], "k bigint, v string")
-    got = joins.lookup_join(big, small, ["k"], spread_by="n", broadcast_rows=broadcast_rows)
+    got = joins.lookup_join(big, small, ["k"], spread_by="n", broadcast_rows=broadcast_rows, hot_rows=hot_rows)
     assert sorted(map(tuple, got.select("k", "n", "v").collect())) == sorted(
         (n % 7, n, f"v{n % 7}" if n % 7 < 5 else None) for n in range(1000)
     )
@@ -114,8 +114,10 @@ def test_lookup_join_paths_agree(spark, broadcast_rows):
 def test_hot_key_join_paths_agree(spark, hot_rows):
     left = spark.range(600).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).when(F.col("id") % 2 == 0, F.concat(F.lit("k"), "id")).alias("u"), F.col("id").alias("n"))
     right = spark.createDataFrame([("hot", 1), ("k6", 2), ("unused", 3)], "u string, v int")
-    got = {r.n: r.v for r in joins.hot_key_join(left, right, "u", spread_by="n", hot_rows=hot_rows).collect()}
+    got = {r.n: r.v for r in joins.hot_key_join(left, right, ["u"], spread_by="n", hot_rows=hot_rows).collect()}
     assert got == {n: 1 if n % 3 else (2 if n == 6 else None) for n in range(600)}
+    inner = joins.hot_key_join(left, right, ["u"], spread_by="n", how="inner", hot_rows=hot_rows)
+    assert sorted(r.n for r in inner.collect()) == sorted(n for n in range(600) if n % 3 or n == 6)
 
 
 def landed(spark, n_sites=2):

@@ -28,7 +28,7 @@ def test_unescape_follows_html5(spark):
 
 
 def test_fold_case_is_full_folding(spark):
-    cases = ["Straße ΣΊΣΥΦΟΣ ς ﬁn ŉ İ K ſ µ ẞ ᾳ", "ABC", "", "ꭰ և ǰ ΐ"]
+    cases = ["Straße ΣΊΣΥΦΟΣ ς ﬁn ŉ İ K ſ µ ẞ ᾳ", "ABC", "", "ꭰ և ǰ ΐ", "😀ﬁ𝐀ǰ😀"]
     assert values(spark, cases, text.fold_case) == [c.casefold() for c in cases]
     assert values(spark, [None], text.fold_case) == [""]
 
