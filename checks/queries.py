@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.standins import (
-    DEMO,
     SITE,
     demo_profiles,
     documents,
@@ -763,5 +762,3 @@ def legacy_records(spark, folder):
     )
     return older.flat_records(kept, pages)
 
-
-__all__ = ["DEMO", "REGISTERED"]

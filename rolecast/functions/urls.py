@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rolecast.functions.text import blank_to_null, first_filled, let, literal_json, or_empty
+from rolecast.functions.text import blank_to_null, let, literal_json, or_empty
 
 # Branded hosts and the (base address, tenant, site) behind them.
 BRANDED_HOSTS = {
@@ -211,7 +211,3 @@ def requisition_id(path: Column, query_suffix: bool = True) -> Column:
     """Requisition number at the end of a posting path, ``""`` when there is none."""
     tail = r"(?:\?.*)?" if query_suffix else ""
     return F.regexp_extract(or_empty(path), rf"_([A-Za-z]*\p{{Nd}}+){tail}\n?\z", 1)
-
-
-def posting_path(summary_path: Column, path_and_query: Column) -> Column:
-    return first_filled(summary_path, path_and_query)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rolecast.functions.text import digest_cut, digest_tidy
 from rolecast.functions.urls import requisition_id
-from rolecast.operators.joins import hot_key_join
+from rolecast.operators.joins import hot_key_join, lookup_join
 from rolecast.operators.postings import detail_facts
 from rolecast.operators.profiles import Profiles, override_weights
 from rolecast.operators.ranking import OLDER_RULES, rank
@@ -19,10 +19,12 @@ def flat_records(postings: DataFrame, details: DataFrame) -> DataFrame:
     """``title, req_id, location, posted, url, digest`` of every posting.
 
     Only what follows the start heading makes the digest, null without it. The
-    requisition number takes no query suffix, and a landed page without a
-    readable block ends the job, as the older reading does.
+    requisition number takes no query suffix, and a posting whose landed page has
+    no readable block ends the job, as the older reading does.
     """
-    facts = detail_facts(details, strict=True).select("url", "ld_description")
+    wanted = postings.select("url").distinct()
+    read = lookup_join(details, wanted, ["url"], spread_by="html", how="left_semi")
+    facts = detail_facts(read, strict=True).select("url", "ld_description")
     joined = hot_key_join(postings, facts, ["url"], spread_by="ingest_seq")
     return joined.select(
         "ingest_seq",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 LIST_PAGE = "source string, page_no bigint, payload string"
 DETAIL_PAGE = "url string, html string"

@@ -162,3 +162,23 @@ def test_alternate_details_fill_blank_descriptions_only(spark):
         ("1", "A", "", "own", "Netflix"), ("2", "B", "X", "late", "Netflix"), ("3", "C", "Y, 5", "", "Netflix"),
     ]
     assert rows[1].url == "https://explore.jobs.netflix.net/careers/job/2"
+
+
+def test_older_chain_is_strict_about_the_pages_it_reads(spark):
+    given = landed(spark, 1)
+    block = '<script type="application/ld+json">{"description": "a What you will be doing: b / c"}</script>'
+    url = "https://s0.example.com/en-US/Careers/job/x_0"
+    pages = spark.createDataFrame([(f"{url}0", block), ("unread", "no block")], "url string, html string")
+    rows = search.older_records(given._replace(details=pages), n_pages=2, max_jobs=5).orderBy("ingest_seq").collect()
+    assert [(r.req_id, r.digest) for r in rows] == [("00", "b/c"), ("01", None), ("02", None), ("10", None), ("11", None)]
+    bad = spark.createDataFrame([(f"{url}1", "no block")], "url string, html string")
+    with pytest.raises(Exception, match="block not found"):
+        search.older_records(given._replace(details=bad)).collect()
+
+
+def test_locations_resolve_per_site(spark):
+    body = {"facets": [{"facetParameter": "locations", "values": [{"descriptor": "Rome", "id": "R"}, {"descriptor": "Oslo", "id": "O"}]}]}
+    pages = spark.createDataFrame([("s", 1, json.dumps(body)), ("s", 2, json.dumps({"facets": [{"name": "locations", "items": [{"label": "Rome", "id": "no"}]}]}))], LIST_PAGE)
+    given = search.Landed(None, pages, None)
+    assert [(r.facet_key, r.value) for r in search.resolve(given, ["rome"]).collect()] == [("locations", "R")]
+    assert search.resolve(given._replace(alternate=True), ["rome"]).count() == 0
