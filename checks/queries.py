@@ -484,8 +484,8 @@ def compact_posted(spark, folder):
 @query
 def posted_dates(spark, folder):
     shape = (
-        "case event_id % 6 when 0 then cast(unix_seconds(cast(ts as timestamp)) as string) when 1 then cast(unix_millis(cast(ts as timestamp)) as string) "
-        "when 2 then concat('\"', unix_seconds(cast(ts as timestamp)), '\"') when 3 then concat('\"', date_format(ts, \"yyyy-MM-dd'T'HH:mm\"), '\"') "
+        "case event_id % 6 when 0 then cast(timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts) as string) when 1 then cast(timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts) as string) "
+        "when 2 then concat('\"', timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts), '\"') when 3 then concat('\"', date_format(ts, \"yyyy-MM-dd'T'HH:mm\"), '\"') "
         "when 4 then 'true' else '\"Posted 3 days ago\"' end"
     )
     rows = table(spark, folder, "events").select("event_id", F.parse_json(F.expr(shape)).alias("raw"))

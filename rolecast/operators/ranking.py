@@ -258,14 +258,18 @@ def _rank_joined(postings: DataFrame, tables: Profiles, rules: RankRules) -> Dat
         how="inner",
     ).withColumn("in_title", F.col("in_title") & (F.col("bucket") != "neg"))
     hit = F.struct("ord", "bucket", "in_title", "weight", "boosted", "label", "title_label")
-    grouped = per_profile.groupBy("ingest_seq", "profile").agg(F.array_sort(F.collect_list(hit)).alias("_hits"))
+    value = F.col("weight") + F.when(F.col("in_title"), F.col("boosted")).otherwise(0.0)
+    # two aggregates: a reader of scores alone never pays for the hit lists
+    grouped = per_profile.groupBy("ingest_seq", "profile").agg(
+        F.sum(value).alias("_sum"), F.array_sort(F.collect_list(hit)).alias("_hits")
+    )
     pairs = _paired(texts.drop("_title", "_both"), tables.profiles)
     joined = (
         pairs.withColumn("profile", F.col("_p.profile"))
         .join(grouped, ["ingest_seq", "profile"], "left")
         .withColumn("_hits", F.coalesce("_hits", F.expr("filter(array(" + _NO_HIT + "), h -> false)")))
     )
-    total = F.expr("aggregate(_hits, 0D, (s, h) -> s + h.weight + if(h.in_title, h.boosted, 0D))")
+    total = F.coalesce("_sum", F.lit(0.0))
 
     def labels(bucket: str) -> str:
         return (

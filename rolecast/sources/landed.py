@@ -35,11 +35,16 @@ def site_list(spark: SparkSession, addresses: Iterable[str]) -> DataFrame:
     )
 
 
+# an input of fewer splits than this is small whatever the cluster's size
+SMALL_SPLITS = 32
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on an input of few splits; a large input is left as it is.
 
-    One small file is one task however costly the text work on it is. An input
-    with at least as many splits as cores is not moved.
+    One small file is one task however costly the text work on it is. Only an
+    input of fewer splits than cores, and fewer than ``SMALL_SPLITS``, is moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    few = min(cores, SMALL_SPLITS)
+    return df if df.rdd.getNumPartitions() >= few else df.repartition(few)
