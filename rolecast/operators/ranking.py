@@ -49,23 +49,31 @@ class RankRules:
 OLDER_RULES = RankRules(separators=LITERAL, digits=None, folded_length=False, null_text="None", older_notes=True)
 
 
-def term_pattern(term: str, separators: str = LOOSE) -> str:
-    """Java regex of a folded term between word boundaries."""
+def _pattern_maker():
+    # functions made here travel to the workers by value: they need no copy of this package
 
     def quoted(text: str) -> str:
         return re.sub(r"([^\w\s])", r"\\\1", text)
 
-    if separators == LOOSE:
-        body = rf"[{_BLANK}\-/]+".join(quoted(p) for p in re.split(r"[ \-/]+", term))
-    elif separators == STRICT:
-        body = re.sub(r"\\-", lambda _: rf"[{_BLANK}\-/]+", quoted(term)).replace(" ", rf"[{_BLANK}\[\-/]+/\]+")
-    else:
-        body = quoted(term)
-    if body.startswith("["):
-        return f"(?<!{WORD}){body}(?!{WORD})"
-    # the look-behind stands after the first character: most positions fail on that sooner
-    first = re.match(r"\\?.", body, re.S)[0]
-    return f"{first}(?<!{WORD}{first}){body[len(first):]}(?!{WORD})"
+    def make(term: str, separators: str = LOOSE) -> str:
+        """Java regex of a folded term between word boundaries."""
+        if separators == LOOSE:
+            body = rf"[{_BLANK}\-/]+".join(quoted(p) for p in re.split(r"[ \-/]+", term))
+        elif separators == STRICT:
+            body = re.sub(r"\\-", lambda _: rf"[{_BLANK}\-/]+", quoted(term))
+            body = body.replace(" ", rf"[{_BLANK}\[\-/]+/\]+")
+        else:
+            body = quoted(term)
+        if body.startswith("["):
+            return f"(?<!{WORD}){body}(?!{WORD})"
+        # the look-behind stands after the first character: most positions fail on that sooner
+        first = re.match(r"\\?.", body, re.S)[0]
+        return f"{first}(?<!{WORD}{first}){body[len(first):]}(?!{WORD})"
+
+    return make
+
+
+term_pattern = _pattern_maker()
 
 
 def _compiler(separators: str):
