@@ -7,6 +7,7 @@ import string
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,15 +59,26 @@ def texts(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
-def arrow_map(df: DataFrame, rows, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, rows, schema: str, limit: int = SLICE_BYTES) -> DataFrame:
     """``rows(batch)`` makes the columns of ``schema``, as a dict, from each slice of (key, text, ...) rows."""
 
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        for part in slices(batches):
+        for part in slices(batches, limit=limit):
             made = rows(part)
             yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
 
+
+
+def arrow_filter(df: DataFrame, stays, column: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
+    """The rows of ``df``, all columns, for which ``stays(texts)`` is true; no row moves."""
+    at = df.columns.index(column)
+
+    def run(batches):
+        for part in slices(batches, at, limit):
+            yield part.filter(pa.array(stays(part.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

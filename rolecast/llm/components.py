@@ -1,4 +1,4 @@
-"""Connected components of a table of links between integer nodes."""
+"""Connected components of a table of links between nodes of any type with an order."""
 
 from __future__ import annotations
 

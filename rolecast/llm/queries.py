@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecast.llm import bpe, exact_dedup, line_dedup, packing, simhash, token_count
+from rolecast.llm import (
+    bpe,
+    exact_dedup,
+    html_text,
+    langid,
+    licenses,
+    line_dedup,
+    packing,
+    quality,
+    simhash,
+    token_count,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -62,3 +73,32 @@ def op10_bpe(spark, folder):
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op1_licenses(spark, folder):
+    return licenses.scan(documents(spark, folder))
+
+
+@query
+def op3_html_text(spark, folder):
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    return html_text.extract(pages, html_text.fit(pages))
+
+
+@query
+def op6_langid(spark, folder):
+    return langid.identify(documents(spark, folder)).select(
+        "doc_id",
+        F.coalesce(langid.remainder() == 1, F.lit(False)).alias("held_out"),
+        "lang_pred",
+        "score",
+        "rejected",
+    )
+
+
+@query
+def op8_quality(spark, folder):
+    docs = documents(spark, folder)
+    model = quality.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    return quality.assess(docs, model)
