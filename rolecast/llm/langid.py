@@ -30,6 +30,8 @@ CALIBRATION_SHARE = 0.1
 SHORT_CUT = 40
 #: A text is rejected when it is this many times further off its language than nearly all calibration texts.
 SLACK = 3.0
+#: No text is rejected that costs less than this more than usual, in bits times the root of its characters.
+LEAST_LIMIT = 30.0
 #: Characters beyond which a longer text does not make the mean cost surer.
 SURE_CHARS = 400
 #: Characters looked up at a time, and counted sequences that a task holds before it hands them on.
@@ -156,7 +158,8 @@ class Model:
         self.table = SortedHashes(known)
         known = known[self.table.order]
         self.logs = np.stack([m.log2(known) for m in self.parts], axis=1).astype(np.float32)
-        self.sharpness, self.usual, self.limit = 1.0, np.zeros(len(self.languages)), np.inf
+        # a language without calibration rows rejects nothing
+        self.sharpness, self.usual, self.limit = 1.0, np.full(len(self.languages), np.inf), np.inf
 
     def costs(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Mean bits a character for each text and language; characters; whether there is a letter."""
@@ -205,7 +208,7 @@ class Model:
             if (truth == i).any():
                 self.usual[i] = np.average(own[truth == i], weights=chars[truth == i])
         off = (own - self.usual[truth]) * np.sqrt(np.minimum(chars, SURE_CHARS))
-        self.limit = SLACK * max(float(np.quantile(off, 0.999)), 1.0)
+        self.limit = max(SLACK * float(np.quantile(off, 0.999)), LEAST_LIMIT)
 
 
 def count_grams(rows: DataFrame) -> DataFrame:

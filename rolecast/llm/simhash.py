@@ -298,7 +298,8 @@ def near_duplicates(
         F.coalesce("root", "node").alias("component"),
         F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("low")).alias("component_id"),
     )
-    return stored.join(named, "node").select("doc_id", "tag", "fp", "component", "component_id")
+    # both sides are read from files, so that a partition with very many copies of a text can be split
+    return stored.join(materialize(named), "node").select("doc_id", "tag", "fp", "component", "component_id")
 
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
