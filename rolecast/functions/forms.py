@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from rolecast.functions.text import fold_case, or_empty, strip
 
+# digits may be grouped by single underscores
+_DIGITS = r"\d+(?:_\d+)*"
+_DECIMAL = rf"(?i)^[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf(?:inity)?|nan)$"
+
 WEIGHT_LINE = "array<struct<line:int,term:string,weight:double,error:string>>"
 
 
@@ -16,8 +20,25 @@ def term_list(raw: Column) -> Column:
 
 
 def number(text: Column) -> Column:
-    """Text as DOUBLE, null when it is no number."""
-    return strip(text).try_cast("double")
+    """Text in the decimal grammar as DOUBLE, null when it is no number."""
+    bare = strip(text)
+    return F.when(bare.rlike(_DECIMAL), F.replace(bare, F.lit("_"), F.lit("")).try_cast("double"))
+
+
+def weight_entry(entry: Column, fold: bool = True) -> Column:
+    """``term = number`` to a struct of ``term``, ``weight`` and ``error``."""
+    term = strip(F.substring_index(entry, "=", 1))
+    weight = number(F.regexp_replace(entry, "(?s)^[^=]*=", ""))
+    error = (
+        F.when(~F.contains(entry, F.lit("=")), F.lit("must look like term = weight"))
+        .when(term == "", F.lit("has an empty term"))
+        .when(weight.isNull(), F.lit("has a non-numeric weight"))
+    )
+    return F.struct(
+        (fold_case(term) if fold else term).alias("term"),
+        F.when(error.isNull(), weight).alias("weight"),
+        error.alias("error"),
+    )
 
 
 def weight_lines(raw: Column, fold: bool = True) -> Column:
@@ -25,19 +46,8 @@ def weight_lines(raw: Column, fold: bool = True) -> Column:
     lines = F.split(F.replace(or_empty(raw), F.lit(","), F.lit("\n")), r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85  ]")
 
     def parse(chunk: Column, index: Column) -> Column:
-        term = strip(F.substring_index(chunk, "=", 1))
-        weight = F.regexp_replace(chunk, "(?s)^[^=]*=", "")
-        error = (
-            F.when(~F.contains(chunk, F.lit("=")), F.lit("must look like term = weight"))
-            .when(term == "", F.lit("has an empty term"))
-            .when(number(weight).isNull(), F.lit("has a non-numeric weight"))
-        )
-        return F.struct(
-            (index + 1).alias("line"),
-            (fold_case(term) if fold else term).alias("term"),
-            F.when(error.isNull(), number(weight)).alias("weight"),
-            error.alias("error"),
-        )
+        entry = weight_entry(chunk, fold)
+        return F.struct((index + 1).alias("line"), *[entry[c].alias(c) for c in ("term", "weight", "error")])
 
     parsed = F.transform(F.transform(lines, strip), lambda c, i: F.when(c != "", parse(c, i)))
     return F.filter(parsed, lambda p: p.isNotNull()).cast(WEIGHT_LINE)

@@ -166,6 +166,8 @@ def posted_date(v: str) -> str:
     digits = rf"({is_text(v)} and {text} rlike r'^\d+$')"
     return (
         f"case when coalesce({text}, '') = '' then '' when {is_number(v)} or {digits} then {epoch} "
+        # truth values count as one and zero seconds
+        f"when {kind_of(v)} = 'BOOLEAN' then '1970-01-01' "
         f"when {is_text(v)} then substring_index({text}, 'T', 1) else '' end"
     )
 

@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecast.functions.forms import weight_lines, weight_number
+from rolecast.functions.forms import number, weight_entry, weight_lines, weight_number
 from rolecast.functions.text import fold_case, literal_json, strip
 from rolecast.sources.presets import (
     DEFAULT_PROFILE,
@@ -21,7 +21,6 @@ from rolecast.sources.presets import (
     PRESETS,
     PROPERTY_PROFILE,
     TITLE_BOOST,
-    weights,
 )
 
 BUCKETS = ("core", "nice", "neg")
@@ -71,7 +70,7 @@ def profile_tables(spark: SparkSession, profiles: Mapping[str, tuple]) -> Profil
 
 def preset_tables(spark: SparkSession, *names: str) -> Profiles:
     chosen = names or (DEFAULT_PROFILE,)
-    return profile_tables(spark, {n: (*map(weights, PRESETS[n][:3]), *PRESETS[n][3:]) for n in chosen})
+    return profile_tables(spark, {n: PRESETS[n] for n in chosen})
 
 
 def preset_key(key: Column) -> Column:
@@ -132,14 +131,14 @@ def profile_errors(files: DataFrame) -> DataFrame:
             for t in _TABLES
         ],
         *[
-            F.when(F.col(f"_p.{k}").isNotNull() & F.col(f"_p.{k}").try_cast("double").isNull(), F.lit(f"{k} is not a number"))
+            F.when(F.col(f"_p.{k}").isNotNull() & number(F.col(f"_p.{k}")).isNull(), F.lit(f"{k} is not a number"))
             for k in ("title_boost", "length_bonus_cap", "length_bonus_divisor")
         ],
     ]
     whole = entries.select("path", F.explode(F.array_compact(F.array(*shape))).alias("error"))
     terms = _exploded_terms(entries)
     bad_term = F.when(strip(F.col("key")) == "", F.concat("table", F.lit(" contains a blank term"))).when(
-        F.col("value").try_cast("double").isNull(),
+        number(F.col("value")).isNull(),
         F.concat("table", F.lit(" contains a non-numeric weight for "), "key"),
     )
     return whole.unionByName(terms.select("path", bad_term.alias("error")).where("error is not null"))
@@ -154,7 +153,7 @@ def parse_profiles(files: DataFrame, check: bool = True) -> Profiles:
     entries = _profile_entries(files)
 
     def knob(name: str, default: float) -> Column:
-        return F.coalesce(F.col(f"_p.{name}").try_cast("double"), F.lit(default))
+        return F.coalesce(number(F.col(f"_p.{name}")), F.lit(default))
 
     profiles = entries.select(
         "profile",
@@ -163,7 +162,7 @@ def parse_profiles(files: DataFrame, check: bool = True) -> Profiles:
         knob("length_bonus_divisor", LENGTH_DIVISOR).alias("length_divisor"),
     )
     terms = _exploded_terms(entries).select(
-        "profile", "bucket", F.col("key").alias("term"), F.col("value").try_cast("double").alias("weight"), "ord"
+        "profile", "bucket", F.col("key").alias("term"), number(F.col("value")).alias("weight"), "ord"
     )
     return Profiles(profiles, merge_folded(terms))
 
@@ -212,8 +211,10 @@ def override_weights(tables: Profiles, changes: Mapping[str, float], new_bucket:
     if not changes:
         return tables
     folded: dict[str, float] = {}
+    placed: dict[str, str] = {}  # by the first weight given, also when a later one replaces it
     for term, weight in changes.items():
         folded[term.casefold()] = float(weight)
+        placed.setdefault(term.casefold(), new_bucket or ("neg" if weight < 0 else "nice"))
     table = literal_json(folded, "map<string,double>")
     order = bucket_order(F.col("bucket"))
     owners = tables.terms.where(F.col("term").isin(*folded)).groupBy("profile", "term").agg(
@@ -226,9 +227,9 @@ def override_weights(tables: Profiles, changes: Mapping[str, float], new_bucket:
         F.when(order == F.col("_owner"), F.element_at(table, F.col("term"))).otherwise(F.col("weight")).alias("weight"),
         "ord",
     )
+    after = (tables.terms.agg(F.max("ord")).first()[0] or 0) + 1
     rows = [
-        {"term": t, "weight": w, "ord": 1_000_000 + i, "bucket": new_bucket or ("neg" if w < 0 else "nice")}
-        for i, (t, w) in enumerate(folded.items())
+        {"term": t, "weight": w, "ord": after + i, "bucket": placed[t]} for i, (t, w) in enumerate(folded.items())
     ]
     additions = literal_json(rows, "array<struct<term:string,weight:double,ord:int,bucket:string>>")
     added = (
@@ -241,8 +242,8 @@ def override_weights(tables: Profiles, changes: Mapping[str, float], new_bucket:
 
 
 def weight_arguments(arguments: DataFrame) -> DataFrame:
-    """``term=number`` texts (column ``argument``) to term, weight and error; terms keep their case."""
-    line = F.get(weight_lines(F.replace("argument", F.lit(","), F.lit(" ")), fold=False), F.lit(0))
-    return arguments.select("argument", line.alias("_l")).select(
+    """``term=number`` texts (column ``argument``) to term, weight and error; terms keep their case and commas."""
+    read = weight_entry(F.col("argument"), fold=False)
+    return arguments.select("argument", F.when(F.col("argument").isNotNull(), read).alias("_l")).select(
         "argument", "_l.term", "_l.weight", F.coalesce("_l.error", F.when(F.col("_l").isNull(), F.lit("is empty"))).alias("error")
     )
