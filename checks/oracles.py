@@ -41,8 +41,10 @@ def _escape(term: str) -> str:
     return "".join(c if c.isalnum() or c in " _" else "\\" + c for c in term)
 
 
-def _pattern(term: str, literal: bool) -> str:
-    if literal:
+def _pattern(term: str, literal: bool | str) -> str:
+    if literal == "strict":  # a blank asks for separators or brackets, a slash and a closing bracket
+        body = _escape(term).replace("\\-", SEP.replace("\\-/", "\\-/")).replace(" ", SEP.replace("\\-/", "\\[\\-/").replace("]+", "]+/\\]+"))
+    elif literal:
         body = _escape(term)
     else:
         parts = term.replace("-", " ").replace("/", " ").split()
@@ -50,7 +52,7 @@ def _pattern(term: str, literal: bool) -> str:
     return r"(?:^|[^\p{L}\p{N}_])" + body + r"(?:$|[^\p{L}\p{N}_])"
 
 
-def scored(profiles: dict, literal: bool = False, text: str = "text", raw_length: bool = False) -> str:
+def scored(profiles: dict, literal: bool | str = False, text: str = "text", raw_length: bool = False) -> str:
     """CTEs ending in ``scored``: doc_id, profile, raw, core, nice, neg."""
     tests, knobs = [], []
     for name, spec in profiles.items():
@@ -103,9 +105,12 @@ SELECT * FROM placed WHERE rank <= {TOP}"""
 
 ORACLES["rank_hits"] = f"WITH {scored(DEMO)} SELECT doc_id, profile, round(raw, 3) AS score, core, nice, neg FROM scored"
 ORACLES["rank_joined_profiles"] = ORACLES["rank_hits"]
+ORACLES["rank_joined_repeats"] = f"""
+WITH {scored(DEMO)} SELECT doc_id, profile, round(raw, 3) AS score, core, neg FROM scored CROSS JOIN (VALUES (1), (2)) twice(n)"""
+ORACLES["rank_strict"] = f"WITH {scored(DEMO, 'strict')} SELECT doc_id, profile, round(raw, 3) AS score, core, nice FROM scored"
 
 _PRESETS = {
-    n: (*map(presets.weights, presets.PRESETS[n][:3]), *presets.PRESETS[n][3:])
+    n: presets.PRESETS[n]
     for n in (presets.DEFAULT_PROFILE, presets.PROPERTY_PROFILE)
 }
 ORACLES["rank_preset_profiles"] = f"WITH {scored(_PRESETS)} SELECT doc_id, profile, round(raw, 3) AS score FROM scored"
@@ -224,7 +229,7 @@ ORACLES["split_overviews"] = r"""
 WITH marked AS (SELECT doc_id, string_split(regexp_replace(text, '(?i)(of\s*the\b)', chr(1) || '\1', 'g'), chr(1)) AS parts FROM documents),
 kept AS (SELECT doc_id, list_filter(list_transform(parts, lambda p: trim(p, ' ' || chr(10) || chr(13) || chr(9))), lambda p: p <> '') AS parts FROM marked)
 SELECT doc_id, unnest(range(len(parts)))::INT AS chunk_no, unnest(parts) AS chunk FROM kept"""
-ORACLES["match_key"] = f"SELECT doc_id, {key('split_part(text, chr(10), 1)')} AS key FROM documents"
+ORACLES["match_key"] = f"SELECT doc_id, {key('text')} AS key FROM documents"
 ORACLES["folded_text"] = f"SELECT doc_id, md5({fold('text')}) AS digest, length({fold('text')}) AS length FROM documents"
 ORACLES["term_patterns"] = f"""
 SELECT doc_id, regexp_matches({fold('text')}, {quote(_pattern('of the', False))}) AS loose,
@@ -237,9 +242,13 @@ UNION ALL SELECT p_partkey, 3, lower(p_brand), NULL, 'must look like term = weig
 UNION ALL SELECT p_partkey, 4, '', NULL, 'has an empty term' FROM part
 UNION ALL SELECT p_partkey, 5, 'x', NULL, 'has a non-numeric weight' FROM part"""
 ORACLES["weight_arguments"] = """
-WITH a AS (SELECT CASE WHEN p_partkey % 5 = 0 THEN p_name ELSE p_name || '=' || p_size END AS argument, p_name AS term,
-                  CASE WHEN p_partkey % 5 > 0 THEN p_size::DOUBLE END AS weight,
-                  CASE WHEN p_partkey % 5 = 0 THEN 'must look like term = weight' END AS error FROM part)
+WITH a AS (SELECT CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN p_name || ', x = ' || p_size || 'd'
+                       WHEN 2 THEN ' ' || p_name || ',y = 1_' || p_size || 'e-1 ' WHEN 3 THEN p_name || '=0x1p3'
+                       WHEN 4 THEN ' =' || p_size ELSE p_name || '=' || p_size END AS argument,
+                  CASE p_partkey % 6 WHEN 1 THEN p_name || ', x' WHEN 2 THEN p_name || ',y' WHEN 4 THEN '' ELSE p_name END AS term,
+                  CASE p_partkey % 6 WHEN 2 THEN ('1' || p_size || 'e-1')::DOUBLE WHEN 5 THEN p_size::DOUBLE END AS weight,
+                  CASE p_partkey % 6 WHEN 0 THEN 'must look like term = weight' WHEN 4 THEN 'has an empty term'
+                       WHEN 5 THEN NULL WHEN 2 THEN NULL ELSE 'has a non-numeric weight' END AS error FROM part)
 SELECT argument, term, weight, error, count(*) AS n FROM a GROUP BY ALL"""
 ORACLES["clamped_numbers"] = """
 SELECT event_id, CASE WHEN event_id % 4 < 2 THEN 10 ELSE greatest(1, least(500, event_id - 50)) END::INT AS whole,
@@ -312,34 +321,42 @@ SELECT event_type AS source, count(*) FILTER (event_id % 9 = 0) AS bad, count(*)
 
 # scan order: source ordinal, page, position on the page
 _SEQ = f"""
-(regexp_extract(source, '(\\d+)$', 1)::BIGINT << 40) + ((doc_id // {DOCS_PER_PAGE} + 1) << 16)
- + row_number() OVER (PARTITION BY source, doc_id // {DOCS_PER_PAGE} ORDER BY doc_id) - 1"""
+regexp_extract(source, '(\\d+)$', 1)::BIGINT AS source_ord, doc_id // {DOCS_PER_PAGE} + 1 AS page_no,
+row_number() OVER (PARTITION BY source, doc_id // {DOCS_PER_PAGE} ORDER BY doc_id) - 1 AS position"""
 _TITLE = "split_part(text, chr(10), 1)"
 ORACLES["list_postings"] = f"""
-SELECT {_SEQ} AS ingest_seq, 'Careers' AS source, 'JR' || doc_id AS req_id, {_TITLE} AS title,
+SELECT {_SEQ}, 'Careers' AS source, 'JR' || doc_id AS req_id, {_TITLE} AS title,
        CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'in ' || lang END AS location, 'day ' || doc_id AS posted,
        'https://' || source || '.example.com/en-US/Careers/job/Doc_JR' || doc_id AS url,
        CASE WHEN doc_id = 0 THEN '' ELSE doc_id::VARCHAR END AS job_id
 FROM documents"""
 ORACLES["alternate_postings"] = f"""
-WITH {_PAGES}, running AS (SELECT *, sum(n_items) OVER (PARTITION BY source ORDER BY page_no) AS total FROM landed),
-cuts AS (SELECT source, min(page_no) FILTER (total >= 25) AS cut FROM running GROUP BY source),
-every AS (SELECT *, {_SEQ} AS ingest_seq FROM documents)
-SELECT ingest_seq, 'Netflix' AS source, CASE WHEN doc_id = 0 THEN '' ELSE doc_id::VARCHAR END AS req_id, {_TITLE} AS title,
+WITH every AS (SELECT *, {_SEQ} FROM documents)
+SELECT source_ord, page_no, position, 'Netflix' AS source, CASE WHEN doc_id = 0 THEN '' ELSE doc_id::VARCHAR END AS req_id, {_TITLE} AS title,
        lang || ', ' || every.source AS location,
        strftime(make_timestamp((1600000000 + doc_id * 86400) * 1000000), '%Y-%m-%d') AS posted,
        'https://explore.jobs.netflix.net/careers' || CASE WHEN doc_id = 0 THEN '' ELSE '/job/' || doc_id END AS url,
        'Netflix' AS hiring_organization, md5('<p>' || text || '</p>') AS html_digest
-FROM every JOIN cuts ON cuts.source = 'https://' || every.source || '.example.com/Careers'
-WHERE cut IS NULL OR doc_id // {DOCS_PER_PAGE} + 1 <= cut"""
+FROM every"""
+
+ORACLES["broken_pages"] = f"""
+WITH every AS (SELECT *, {_SEQ} FROM documents)
+SELECT source_ord, page_no, position, 'Careers' AS source, 'JR' || doc_id AS req_id FROM every WHERE page_no <> 2"""
+ORACLES["mixed_sites"] = f"""
+WITH every AS (SELECT *, {_SEQ} FROM documents), {_PAGES}
+SELECT source_ord, page_no, position, CASE WHEN source = 'src0' THEN 'Netflix' ELSE 'Careers' END AS source,
+       CASE WHEN source <> 'src0' THEN 'JR' || doc_id WHEN doc_id = 0 THEN '' ELSE doc_id::VARCHAR END AS req_id, {_TITLE} AS title
+FROM every WHERE source <> 'src1'
+UNION ALL
+SELECT -1, count(*), 0, source, '', 'site is not listed' FROM landed WHERE source = 'https://src1.example.com/Careers' GROUP BY source"""
 
 ORACLES["compact_location"] = """
-SELECT conv_id, turn, CASE turn WHEN 0 THEN role WHEN 1 THEN coalesce(nullif(split_part(text, chr(10), 1), ''), role || ', ' || conv_id)
+SELECT conv_id, turn, CASE turn WHEN 0 THEN role WHEN 1 THEN coalesce(nullif(text, ''), role || ', ' || conv_id)
                       ELSE role || ', ' || conv_id END AS location FROM conversations"""
 ORACLES["compact_posted"] = """
-SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN split_part(text, chr(10), 1) WHEN 1 THEN '' ELSE 'turn ' || turn END AS posted FROM conversations"""
+SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN '' ELSE 'turn ' || turn END AS posted FROM conversations"""
 ORACLES["posted_dates"] = """
-SELECT event_id, CASE event_id % 6 WHEN 4 THEN '' WHEN 5 THEN 'Posted 3 days ago' ELSE strftime(ts, '%Y-%m-%d') END AS posted FROM events"""
+SELECT event_id, CASE event_id % 6 WHEN 4 THEN '1970-01-01' WHEN 5 THEN 'Posted 3 days ago' ELSE strftime(ts, '%Y-%m-%d') END AS posted FROM events"""
 ORACLES["nested_descriptions"] = "SELECT conv_id, turn, CASE WHEN conv_id % 5 = 2 THEN '' ELSE text END AS description FROM conversations"
 
 _LD = r"""
@@ -445,7 +462,9 @@ ORACLES["facet_search_topk"] = f"WITH {found_options(False, 4)} SELECT source, q
 ORACLES["facet_search_strict"] = f"WITH {found_options(True, 3)} SELECT source, query, rank, value, score FROM best"
 ORACLES["facet_resolve"] = f"""
 WITH {found_options(False, 2)}
-SELECT source, facet_key, value, min(query_no::BIGINT * 1048576 + rank) AS ord FROM best GROUP BY ALL"""
+SELECT source, facet_key, value, min_by(query_no::BIGINT, (query_no, rank)) AS query_no, min_by(rank::BIGINT, (query_no, rank)) AS place
+FROM best GROUP BY ALL"""
+ORACLES["facet_resolve_strict"] = ORACLES["facet_resolve"].replace(found_options(False, 2), found_options(True, 2))
 ORACLES["facet_unresolved"] = f"""
 WITH {found_options(False, 1)}
 SELECT s.source, a.query FROM (SELECT DISTINCT source FROM options) s CROSS JOIN asked a
@@ -525,17 +544,21 @@ postings AS (SELECT doc_id, source, {_TITLE} AS title FROM kept),
 {chain_scored("demo", _overridden(False), "postings", "title", "''")}
 SELECT 'Careers' AS source, 'JR' || doc_id AS req_id, title, 'https://' || source || '.example.com/en-US/Careers/job/Doc_JR' || doc_id AS url,
        round(raw, 3) AS score FROM scored JOIN postings USING (doc_id)"""
+ORACLES["search_chain_facets"] = (
+    ORACLES["search_chain"]
+    .replace("SELECT * FROM scanned QUALIFY", f"SELECT * FROM scanned WHERE lang IN ('en', 'fr') AND contains(lower({_TITLE}), 'the') QUALIFY")
+)
 ORACLES["browser_chain"] = f"""
-WITH every AS (SELECT doc_id, {_SEQ} AS ingest_seq, source, {_TITLE} AS title, doc_id // {DOCS_PER_PAGE} + 1 AS page_no,
+WITH every AS (SELECT doc_id, {_SEQ}, source, {_TITLE} AS title,
                       CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'in ' || lang END AS location FROM documents),
 matched AS (SELECT * FROM every WHERE page_no <= 9 AND (contains({key("title")}, 'the') OR contains({key("title")}, 'de'))
             AND (contains(location, 'en') OR contains(location, 'fr'))),
-postings AS (SELECT * FROM matched QUALIFY row_number() OVER (PARTITION BY source ORDER BY ingest_seq) <= 6),
+postings AS (SELECT * FROM matched QUALIFY row_number() OVER (PARTITION BY source ORDER BY page_no, position) <= 6),
 {chain_scored("demo", DEMO, "postings", "title", "''")}
-SELECT ingest_seq, 'JR' || doc_id AS req_id, location, round(raw, 3) AS score
-FROM scored JOIN postings USING (doc_id) ORDER BY score DESC, ingest_seq LIMIT 25"""
+SELECT source_ord, page_no, position, 'JR' || doc_id AS req_id, location, round(raw, 3) AS score
+FROM scored JOIN postings USING (doc_id) ORDER BY score DESC, source_ord, page_no, position LIMIT 25"""
 ORACLES["legacy_records"] = f"""
-WITH kept AS (SELECT doc_id, {_TITLE} AS title, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)
+WITH kept AS (SELECT doc_id, {_TITLE} AS title FROM documents)
 SELECT doc_id AS ingest_seq, title, 'JR' || doc_id AS req_id, '' AS location, '' AS posted, '{SITE}/job/Doc_JR' || doc_id AS url,
        CASE WHEN url IS NOT NULL THEN url || '/x' END AS digest
-FROM kept LEFT JOIN pages ON doc_id = page_id WHERE n <= 20"""
+FROM kept LEFT JOIN pages ON doc_id = page_id"""

@@ -12,7 +12,6 @@ from checks.standins import (
     demo_profiles,
     documents,
     facet_docs,
-    first_line,
     json_ld_pages,
     list_pages,
     placed_customers,
@@ -82,6 +81,21 @@ def rank_joined_profiles(spark, folder):
     )
 
 
+@query
+def rank_joined_repeats(spark, folder):
+    """The join again, with every document listed twice under the same number."""
+    docs = documents(spark, folder)
+    ranked = ranking.rank(docs.unionByName(docs), demo_profiles(spark), inline_terms=0)
+    return ranked.select(F.col("ingest_seq").alias("doc_id"), "profile", "score", joined("core"), joined("neg"))
+
+
+@query
+def rank_strict(spark, folder):
+    """Terms matched to the letter of the published rule."""
+    ranked = ranking.rank(documents(spark, folder), demo_profiles(spark), ranking.RankRules(ranking.STRICT))
+    return ranked.select(F.col("ingest_seq").alias("doc_id"), "profile", "score", joined("core"), joined("nice"))
+
+
 @query
 def rank_preset_profiles(spark, folder):
     tables = profiles.preset_tables(spark, presets.DEFAULT_PROFILE, presets.PROPERTY_PROFILE)
@@ -218,7 +232,7 @@ def split_overviews(spark, folder):
 @query
 def match_key(spark, folder):
     docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", text.match_key(first_line()).alias("key"))
+    return docs.select("doc_id", text.match_key(F.col("text")).alias("key"))
 
 
 @query
@@ -232,7 +246,7 @@ def folded_text(spark, folder):
 
 @query
 def term_patterns(spark, folder):
-    """Whole-word test of one loose term per document: the first two words of its title."""
+    """Whole-word test of a term of two words on every document, with loose and with literal separators."""
     docs = table(spark, folder, "documents").select("doc_id", text.fold_case(F.col("text")).alias("t"))
     pattern = ranking.term_pattern("of the")
     literal = ranking.term_pattern("of the", ranking.LITERAL)
@@ -257,8 +271,10 @@ def weight_lines(spark, folder):
 @query
 def weight_arguments(spark, folder):
     parts = table(spark, folder, "part")
-    argument = F.when(F.col("p_partkey") % 5 == 0, F.col("p_name")).otherwise(
-        F.concat("p_name", F.lit("="), F.col("p_size").cast("string"))
+    argument = F.expr(
+        "case p_partkey % 6 when 0 then p_name when 1 then concat(p_name, ', x = ', p_size, 'd') "
+        "when 2 then concat(' ', p_name, ',y = 1_', p_size, 'e-1 ') when 3 then concat(p_name, '=0x1p3') "
+        "when 4 then concat(' =', p_size) else concat(p_name, '=', p_size) end"
     )
     return profiles.weight_arguments(parts.select(argument.alias("argument"))).groupBy(
         "argument", "term", "weight", "error"
@@ -431,19 +447,51 @@ def unreadable_pages(spark, folder):
 def list_postings(spark, folder):
     landed = search.Landed(sites(spark, folder), list_pages(spark, folder), None)
     rows = search.scan(landed, page_size=1)
-    return rows.select("ingest_seq", "source", "req_id", "title", "location", "posted", "url", "job_id")
+    return rows.select("ingest_seq.*", "source", "req_id", "title", "location", "posted", "url", "job_id")
 
 
 @query
 def alternate_postings(spark, folder):
-    landed = search.Landed(sites(spark, folder), list_pages(spark, folder, alternate=True), None, alternate=True)
+    landed = search.Landed(sites(spark, folder), list_pages(spark, folder, True, None), None, alternate=True)
     rows = search.scan(landed)
     return rows.select(
-        "ingest_seq", "source", "req_id", "title", "location", "posted", "url", "hiring_organization",
+        "ingest_seq.*", "source", "req_id", "title", "location", "posted", "url", "hiring_organization",
         F.md5("description_html").alias("html_digest"),
     )
 
 
+@query
+def broken_pages(spark, folder):
+    """A scan whose second pages are unreadable and whose first ones are landed twice, with a repeated key."""
+    pages = list_pages(spark, folder)
+    payload_ = F.when(F.col("page_no") == 2, F.concat("payload", F.lit("{"))).when(
+        F.col("page_no") == 1, F.concat(F.lit('{"jobPostings": [],'), F.substr("payload", F.lit(2)))
+    )
+    pages = pages.withColumn("payload", F.coalesce(payload_, "payload"))
+    twice = pages.unionByName(pages.where("page_no = 1"))
+    rows = search.scan(search.Landed(sites(spark, folder), twice, None), page_size=1)
+    return rows.select("ingest_seq.*", "source", "req_id")
+
+
+@query
+def mixed_sites(spark, folder):
+    """One list of sites with the usual and with the alternate listing; pages of other sites are reported, not read."""
+    usual, other = "https://src0.example.com/Careers", "https://explore.jobs.netflix.net/careers"
+    known = sites(spark, folder).where(F.col("source") != "https://src1.example.com/Careers")
+    known = known.withColumn("source", F.when(F.col("source") == usual, other).otherwise(F.col("source")))
+    pages = list_pages(spark, folder).where(F.col("source") != usual)
+    pages = pages.unionByName(
+        list_pages(spark, folder, True, None).where(F.col("source") == usual).withColumn("source", F.lit(other))
+    )
+    landed = search.Landed(known, pages, None, alternate=None)
+    rows = search.scan(landed, page_size=1).select("ingest_seq.*", "source", "req_id", "title")
+    lost = search.unlisted(landed).select(
+        F.lit(-1).cast("bigint").alias("source_ord"), F.col("pages").alias("page_no"), F.lit(0).cast("bigint").alias("position"),
+        "source", F.lit("").alias("req_id"), F.col("error").alias("title"),
+    )
+    return rows.unionByName(lost)
+
+
 @query
 def compact_location(spark, folder):
     turns = table(spark, folder, "conversations")
@@ -453,7 +501,7 @@ def compact_location(spark, folder):
             F.when(F.col("turn") == 0, F.col("role")).alias("locationsText"),
             F.array(
                 F.struct(F.lit("Locations").alias("label"), F.lit("").alias("value")),
-                F.struct(F.concat(F.lit("LOCATION "), "role").alias("label"), F.when(F.col("turn") == 1, first_line()).alias("value")),
+                F.struct(F.concat(F.lit("LOCATION "), "role").alias("label"), F.when(F.col("turn") == 1, F.col("text")).alias("value")),
             ).alias("subtitles"),
             names.alias("locations"),
         )
@@ -471,7 +519,7 @@ def compact_posted(spark, folder):
                 F.struct(F.col("role").alias("label"), F.lit("no").alias("value")),
                 F.struct(
                     F.when(F.col("turn") % 3 == 0, "Date Posted").when(F.col("turn") % 3 == 1, "posted").otherwise("other").alias("label"),
-                    F.when(F.col("turn") % 3 == 0, first_line()).alias("value"),
+                    F.when(F.col("turn") % 3 == 0, F.col("text")).alias("value"),
                 ),
             ).alias("subtitles"),
             F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("postedOn"),
@@ -643,7 +691,15 @@ def facet_search_strict(spark, folder):
 @query
 def facet_resolve(spark, folder):
     options = facets.facet_options(facet_docs(spark, folder))
-    return facets.resolve_locations(options, FACET_QUERIES, 2).select("source", "facet_key", "value", "ord")
+    found = facets.resolve_locations(options, FACET_QUERIES, 2)
+    return found.select("source", "facet_key", "value", F.col("ord.a").alias("query_no"), F.col("ord.b").alias("place"))
+
+
+@query
+def facet_resolve_strict(spark, folder):
+    options = facets.facet_options(facet_docs(spark, folder))
+    found = facets.resolve_locations(options, FACET_QUERIES, 2, strict=True)
+    return found.select("source", "facet_key", "value", F.col("ord.a").alias("query_no"), F.col("ord.b").alias("place"))
 
 
 @query
@@ -741,24 +797,41 @@ def search_chain(spark, folder):
     return ranked.select("source", "req_id", "title", "url", "score")
 
 
+@query
+def search_chain_facets(spark, folder):
+    """Facets of the site addresses choose the postings before the limit, and search text does."""
+    asked = F.concat(F.col("source"), F.lit("?workerSubType=en&workerSubType=fr"))
+    landed = search.Landed(
+        sites(spark, folder).withColumn("source", asked), list_pages(spark, folder).withColumn("source", asked), None
+    )
+    docs = table(spark, folder, "documents")
+    address = F.concat(F.lit("https://"), "source", F.lit(".example.com/en-US/Careers/job/Doc_JR"), F.col("doc_id").cast("string"))
+    members = docs.select(
+        F.regexp_extract("source", r"(\d+)$", 1).cast("bigint").alias("source_ord"), address.alias("url"),
+        F.lit("workerSubType").alias("facet_key"), F.col("lang").alias("value"),
+    )
+    ranked = search.ranked_search(
+        landed, demo_profiles(spark, "demo"), OVERRIDE, max_pages=4, page_size=2, max_jobs=9, members=members, text="The"
+    )
+    return ranked.select("source", "req_id", "title", "url", "score")
+
+
 @query
 def browser_chain(spark, folder):
     landed = search.Landed(sites(spark, folder), list_pages(spark, folder), None)
     found = search.browser_search(
         landed, demo_profiles(spark, "demo"), ["en", "fr"], ["the", "de"], max_pages=9, page_size=1, max_jobs=6, with_details=False
     )
-    return found.postings.select("ingest_seq", "req_id", "location", "score")
+    return found.postings.select("ingest_seq.*", "req_id", "location", "score")
 
 
 @query
 def legacy_records(spark, folder):
     """Flat older records; every landed page here carries a readable block."""
-    docs = documents(spark, folder)
-    kept = limits.limit_per_group(docs, ["source"], "ingest_seq", 20)
     body = F.to_json(F.struct(F.concat(F.lit("Intro. What you will be doing:  "), "url", F.lit(" /  x  Job Location y")).alias("description")))
     pages = table(spark, folder, "pages").select(
         F.concat(F.lit(f"{SITE}/job/Doc_JR"), F.col("page_id").cast("string")).alias("url"),
         F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>")).alias("html"),
     )
-    return older.flat_records(kept, pages)
+    return older.flat_records(documents(spark, folder), pages)
 

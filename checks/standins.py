@@ -66,7 +66,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select(*[filled.get(c, null).alias(c) for c in POSTING_COLUMNS])
 
 
-def list_pages(spark: SparkSession, folder: str, alternate: bool = False) -> DataFrame:
+def list_pages(spark: SparkSession, folder: str, alternate: bool = False, announced: int | None = 25) -> DataFrame:
     """Landed list pages: the documents of a source, ``DOCS_PER_PAGE`` ids to a page.
 
     Pages are numbered per source without gaps. A page holds at most
@@ -98,7 +98,8 @@ def list_pages(spark: SparkSession, folder: str, alternate: bool = False) -> Dat
     pages = docs.groupBy(F.concat(F.lit("https://"), "source", F.lit(".example.com/Careers")).alias("source"),
                          (block + 1).alias("page_no")).agg(entries.alias("e"))
     items = F.transform("e", lambda e: e["item"])
-    total = F.lit(25).alias("count")
+    # a listing that announces no total ends where a page announces no more than has been read
+    total = F.lit(announced if announced is not None else 1 << 40).cast("bigint").alias("count")
     body = F.struct(items.alias("positions"), total) if alternate else F.struct(items.alias("jobPostings"))
     return pages.select("source", "page_no", F.to_json(body).alias("payload"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,11 @@ from rolecast.functions.sql import bind, quoted, those
 from rolecast.functions.places import is_location_facet, option_score
 from rolecast.operators.limits import top_per_group
 
+# facet keys that one number of bits stands for
+FACETS_PER_NUMBER = 62
+# levels of a facet tree that are unrolled first; twice as many while any tree is deeper
+LEVELS = 8
+
 # The names a payload may use for the parts of a facet.
 FACET_KEYS = ("$.facetParameter", "$.facetKey", "$.parameter", "$.name")
 FACET_LABELS = ("$.descriptor", "$.label", "$.displayName")
@@ -78,27 +84,29 @@ def _next_level(nodes: str) -> str:
     return f"cast(flatten(transform({nodes}, node -> {children})) as {_NODE})"
 
 
-def facet_options(pages: DataFrame, max_depth: int = 8) -> DataFrame:
+def facet_options(pages: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Flatten the facet trees of ``pages`` (``source``, ``doc``) to one row per option.
 
     A tree is part of one payload, so its levels are unrolled inside the row and
-    nothing is shuffled. A tree deeper than ``max_depth`` ends the job with an
-    error instead of losing options; raise ``max_depth`` for it.
-    ``seq`` is the position in a depth-first walk.
+    nothing is shuffled. One pass finds out whether any tree is deeper than
+    ``levels``; then twice as many are unrolled. ``seq`` is the position in a
+    depth-first walk.
     """
-    rows = pages.withColumn("_l0", F.expr(_first_level("doc")))
-    for depth in range(1, max_depth):
-        rows = rows.withColumn(f"_l{depth}", F.expr(_next_level(f"_l{depth - 1}")))
-    deeper = F.expr(f"exists(_l{max_depth - 1}, n -> exists(n.below, b -> {is_object('b')}))")
-    nodes = F.concat(*[F.col(f"_l{d}") for d in range(max_depth)])
+    while True:
+        rows = pages.withColumn("_l0", F.expr(_first_level("doc")))
+        for depth in range(1, levels):
+            rows = rows.withColumn(f"_l{depth}", F.expr(_next_level(f"_l{depth - 1}")))
+        deeper = F.expr(f"exists(_l{levels - 1}, n -> exists(n.below, b -> {is_object('b')}))")
+        if pages.isStreaming or rows.where(deeper).isEmpty():
+            break
+        levels *= 2
+    nodes = F.concat(*[F.col(f"_l{d}") for d in range(levels)])
     nodes = F.filter(nodes, lambda n: (n["facet_key"] != "") & (n["value"] != "") & (n["label"] != ""))
     light = F.transform(
         nodes,
         lambda n: F.struct(n["place"].alias("place"), *[n[c].alias(c) for c in ("facet_key", "value", "label", "count", "path")]),
     )
-    too_deep = F.raise_error(F.lit(f"facet tree deeper than {max_depth} levels: raise max_depth"))
-    safe = F.when(deeper, too_deep).otherwise(F.array_sort(light))
-    return rows.select("source", F.posexplode(safe).alias("seq", "_n")).select(
+    return rows.select("source", F.posexplode(F.array_sort(light)).alias("seq", "_n")).select(
         "source", F.col("seq").cast("bigint").alias("seq"),
         *[F.col(f"_n.{c}").alias(c) for c in ("facet_key", "value", "label", "count", "path")],
     )
@@ -172,7 +180,7 @@ def resolve_locations(
         F.lit(len(queries)),
     )
     rows = found.select(
-        "source", "facet_key", "value", (place.cast("bigint") * (1 << 20) + F.col("rank")).alias("ord")
+        "source", "facet_key", "value", F.struct(place.cast("bigint").alias("a"), F.col("rank").cast("bigint").alias("b")).alias("ord")
     )
     return merge_facet_rows(rows)
 
@@ -193,18 +201,15 @@ def apply_facets(members: DataFrame, facets: Mapping[str, Sequence[str]], key: s
     chosen = {k: list(v) for k, v in facets.items() if v}
     if not chosen:
         return members.select(key).distinct()
-    if len(chosen) > 62:
-        raise ValueError("at most 62 facet keys in one filter")
-    bit, wanted = F.lit(None).cast("bigint"), F.lit(False)
-    for i, (name, values) in enumerate(chosen.items()):
-        hit = (F.col("facet_key") == name) & F.col("value").isin(*values)
-        bit = F.when(hit, F.lit(1 << i).cast("bigint")).otherwise(bit)
-        wanted = wanted | hit
-    every = (1 << len(chosen)) - 1
-    return (
-        members.where(wanted)
-        .groupBy(key)
-        .agg(F.bit_or(bit).alias("_bits"))
-        .where(F.col("_bits") == every)
-        .select(key)
-    )
+    wanted, groups = F.lit(False), []
+    names = list(chosen)
+    for start in range(0, len(names), FACETS_PER_NUMBER):
+        part = names[start : start + FACETS_PER_NUMBER]
+        bit = F.lit(None).cast("bigint")
+        for i, name in enumerate(part):
+            hit = (F.col("facet_key") == name) & F.col("value").isin(*chosen[name])
+            bit = F.when(hit, F.lit(1 << i).cast("bigint")).otherwise(bit)
+            wanted = wanted | hit
+        groups.append((F.bit_or(bit), (1 << len(part)) - 1))
+    bits = members.where(wanted).groupBy(key).agg(*[g.alias(f"_bits{i}") for i, (g, _) in enumerate(groups)])
+    return bits.where(reduce(and_, [F.col(f"_bits{i}") == every for i, (_, every) in enumerate(groups)])).select(key)

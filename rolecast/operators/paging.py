@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 
 from rolecast.functions.payload import alternate_items, alternate_total, is_object, parse_whole, posting_items
 from rolecast.operators.joins import lookup_join
+from rolecast.session import materialize
 
 # running totals are built over runs of this many pages, then chained
 PAGES_PER_RUN = 4096
-# digits of ingest_seq: source ordinal, page number, position on the page
-PAGE_SHIFT, SOURCE_SHIFT = 1 << 16, 1 << 40
 
 
 def page_offset(page_no: Column, page_size: int) -> Column:
@@ -25,28 +24,50 @@ def page_offset(page_no: Column, page_size: int) -> Column:
 
 
 def ingest_seq(source_ord: Column, page_no: Column, position: Column) -> Column:
-    """Scan order as one number: source, page, position."""
-    return source_ord.cast("bigint") * SOURCE_SHIFT + page_no.cast("bigint") * PAGE_SHIFT + position.cast("bigint")
+    """Scan order as one value that sorts by source, page and position."""
+    parts = {"source_ord": source_ord, "page_no": page_no, "position": position}
+    return F.struct(*[part.cast("bigint").alias(name) for name, part in parts.items()])
 
 
 def site_ordinal(seq: Column) -> Column:
     """The source ordinal inside an ``ingest_seq``."""
-    return F.shiftright(seq, SOURCE_SHIFT.bit_length() - 1)
+    return seq["source_ord"]
 
 
 def parse_pages(pages: DataFrame, alternate: bool = False) -> DataFrame:
-    """Add ``doc``, ``readable``, the ``items`` of the page, how many it counts and its total."""
+    """Add ``doc``, ``readable``, the ``items`` of the page, how many it counts and its total.
+
+    An unreadable page has no count: it is reported by :func:`unreadable_pages`
+    and ends nothing. Of a repeated JSON key the last value is read.
+    """
+    pages.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     parsed = pages.withColumn("doc", F.expr(parse_whole("payload")))
     items = alternate_items("doc") if alternate else posting_items("doc")
     total = alternate_total("doc") if alternate else "cast(null as bigint)"
     return (
         parsed.withColumn("readable", F.col("doc").isNotNull())
         .withColumn("items", F.expr(items))
-        .withColumn("n_items", F.size("items"))
+        .withColumn("n_items", F.when(F.col("readable"), F.size("items")))
         .withColumn("total", F.expr(total))
     )
 
 
+def once(pages: DataFrame) -> DataFrame:
+    """Landed pages without repeats of a page number; of copies that with the smallest hash of its payload stays.
+
+    Only numbers move unless there are repeats, and then only the repeated pages.
+    """
+    keys = ["source", "page_no"]
+    repeated = materialize(pages.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys))
+    if repeated.isEmpty():
+        return pages
+    others = lookup_join(pages, repeated, keys, spread_by="page_no", how="left_anti")
+    again = lookup_join(pages, repeated, keys, spread_by="page_no", how="left_semi")
+    rest = [c for c in pages.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct(F.xxhash64("payload"), "payload")).alias("_row")
+    return others.unionByName(again.groupBy(*keys).agg(first).select(*keys, "_row.*").select(*pages.columns))
+
+
 def unreadable_pages(parsed: DataFrame) -> DataFrame:
     """How many landed pages per source are no JSON."""
     return parsed.groupBy("source").agg(F.count_if(~F.col("readable")).alias("bad"), F.count("*").alias("pages"))

@@ -109,10 +109,20 @@ def detail_facts(details: DataFrame, strict: bool = False) -> DataFrame:
     return one_per_key(facts, "url", "_order")
 
 
+def asked_for(details: DataFrame, postings: DataFrame, key: str) -> DataFrame:
+    """The detail rows whose ``key`` some posting has; copies of a hot key are spread by their place."""
+    numbered = details.withColumn("_place", F.monotonically_increasing_id())
+    return lookup_join(numbered, postings.select(key).distinct(), [key], spread_by="_place", how="left_semi").drop("_place")
+
+
 def hydrate(postings: DataFrame, details: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """Fill summary postings from their detail pages; a posting without one stays."""
+    """Fill summary postings from their detail pages; a posting without one stays.
+
+    Only pages that a posting asks for are read for their block.
+    """
     options = {} if hot_rows is None else {"hot_rows": hot_rows}
-    joined = hot_key_join(postings, detail_facts(details), ["url"], spread_by="ingest_seq", **options)
+    facts = detail_facts(asked_for(details, postings, "url"))
+    joined = hot_key_join(postings, facts, ["url"], spread_by="ingest_seq", **options)
     filled = {
         "title": F.expr(first_filled("title", "ld_title")),
         "location": F.expr(first_filled("location", "ld_place")),
@@ -188,13 +198,14 @@ def hydrate_missing(postings: DataFrame, details: DataFrame, hot_rows: int | Non
     options = {} if hot_rows is None else {"hot_rows": hot_rows}
     order = F.col("landed_seq") if "landed_seq" in details.columns else F.xxhash64("payload")
     doc = F.expr(parse_whole("payload"))
+    blank = F.col("description_text") == ""
+    lacking = postings.where(blank)
     usable = (
-        details.select("job_id", order.alias("_order"), doc.alias("_doc"))
+        asked_for(details, lacking, "job_id")
+        .select("job_id", order.alias("_order"), doc.alias("_doc"))
         .where((F.col("job_id") != "") & F.expr(is_object("_doc")))
         .select("job_id", "_order", nested_description("_doc").alias("_found"), F.to_json("_doc").alias("_json"))
     )
-    blank = F.col("description_text") == ""
-    lacking = postings.where(blank)
     joined = hot_key_join(
         lacking, one_per_key(usable, "job_id", "_order"), ["job_id"], spread_by="ingest_seq", **options
     )

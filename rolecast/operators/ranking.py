@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from rolecast.functions.text import WORD, fold_case, literal_json, or_empty
 from rolecast.operators.joins import lookup_join
 from rolecast.operators.limits import top_per_group
-from rolecast.operators.profiles import BUCKETS, Profiles
+from rolecast.operators.profiles import BUCKETS, Profiles, bucket_order
+from rolecast.session import materialize
 
 INLINE_TERMS = 2_000
 PACK = 1_000
@@ -220,10 +221,12 @@ def _rank_joined(postings: DataFrame, tables: Profiles, rules: RankRules) -> Dat
     """The same for profile tables of any size.
 
     A term is a candidate where all its words occur; terms that are more than
-    one word are then tested on the text. Frequent words and terms are spread
-    by the posting number.
+    one word are then tested on the text. The folded texts are stored once with
+    a number of their own, which tells rows with the same ``ingest_seq`` apart
+    and spreads frequent words and terms. Weights are added in the order of the
+    profile, as in the other way.
     """
-    texts = _texts(postings, rules)
+    texts = materialize(_texts(postings, rules).withColumn("_row", F.monotonically_increasing_id()))
     compiled = compiled_terms(tables, rules)
     distinct_terms = compiled.groupBy("term").agg(
         F.first("words").alias("words"), F.first("plain").alias("plain"), F.first("pattern").alias("pattern")
@@ -237,47 +240,47 @@ def _rank_joined(postings: DataFrame, tables: Profiles, rules: RankRules) -> Dat
     # the blank word stands for terms without any word; every text has it
     title_words = F.array_union(F.split("_title", NOT_WORD), no_words)
     tokens = texts.select(
-        "ingest_seq",
+        "_row",
         F.explode(F.array_union(F.split("_both", NOT_WORD), no_words)).alias("word"),
         title_words.alias("_title_words"),
-    ).select("ingest_seq", "word", F.array_contains("_title_words", F.col("word")).alias("in_title"))
+    ).select("_row", "word", F.array_contains("_title_words", F.col("word")).alias("in_title"))
     candidates = (
-        lookup_join(tokens, by_word, ["word"], spread_by="ingest_seq", how="inner")
-        .groupBy("ingest_seq", "term", "n_words")
+        lookup_join(tokens, by_word, ["word"], spread_by="_row", how="inner")
+        .groupBy("_row", "term", "n_words")
         .agg(F.count("*").alias("n"), F.count_if("in_title").alias("n_title"))
         .where(F.col("n") == F.col("n_words"))
-        .select("ingest_seq", "term", (F.col("n_title") == F.col("n_words")).alias("in_title"))
+        .select("_row", "term", (F.col("n_title") == F.col("n_words")).alias("in_title"))
     )
     known = lookup_join(
-        candidates, distinct_terms.select("term", "plain", "pattern"), ["term"], spread_by="ingest_seq", how="inner"
+        candidates, distinct_terms.select("term", "plain", "pattern"), ["term"], spread_by="_row", how="inner"
     )
     tested = (
         known.where(~F.col("plain"))
-        .join(texts.select("ingest_seq", "_title", "_both"), "ingest_seq")
+        .join(texts.select("_row", "_title", "_both"), "_row")
         .where(F.expr("_both rlike pattern"))
-        .select("ingest_seq", "term", F.expr("in_title and _title rlike pattern").alias("in_title"))
+        .select("_row", "term", F.expr("in_title and _title rlike pattern").alias("in_title"))
     )
-    hits = known.where("plain").select("ingest_seq", "term", "in_title").unionByName(tested)
+    hits = known.where("plain").select("_row", "term", "in_title").unionByName(tested)
     per_profile = lookup_join(
         hits,
         compiled.select("profile", "bucket", "term", "weight", "ord", "boosted", "label", "title_label"),
         ["term"],
-        spread_by="ingest_seq",
+        spread_by="_row",
         how="inner",
     ).withColumn("in_title", F.col("in_title") & (F.col("bucket") != "neg"))
-    hit = F.struct("ord", "bucket", "in_title", "weight", "boosted", "label", "title_label")
-    value = F.col("weight") + F.when(F.col("in_title"), F.col("boosted")).otherwise(0.0)
-    # two aggregates: a reader of scores alone never pays for the hit lists
-    grouped = per_profile.groupBy("ingest_seq", "profile").agg(
-        F.sum(value).alias("_sum"), F.array_sort(F.collect_list(hit)).alias("_hits")
-    )
+    place = bucket_order(F.col("bucket")).alias("place")
+    hit = F.struct(place, "ord", "bucket", "in_title", "weight", "boosted", "label", "title_label")
+    grouped = per_profile.groupBy("_row", "profile").agg(F.array_sort(F.collect_list(hit)).alias("_hits"))
     pairs = _paired(texts.drop("_title", "_both"), tables.profiles)
     joined = (
         pairs.withColumn("profile", F.col("_p.profile"))
-        .join(grouped, ["ingest_seq", "profile"], "left")
+        .join(grouped, ["_row", "profile"], "left")
         .withColumn("_hits", F.coalesce("_hits", F.expr("filter(array(" + _NO_HIT + "), h -> false)")))
     )
-    total = F.coalesce("_sum", F.lit(0.0))
+    total = F.expr(
+        "aggregate(filter(_hits, h -> h.in_title), 0D, (s, h) -> s + h.boosted)"
+        " + aggregate(_hits, 0D, (s, h) -> s + h.weight)"
+    )
 
     def labels(bucket: str) -> str:
         return (
@@ -303,12 +306,12 @@ def _paired(texts: DataFrame, profiles: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.struct("profile", "title_boost", "length_cap", "length_divisor")).alias("_ps"))
     )
     each_pack = texts.withColumn("_pack", F.expr(f"explode(sequence(0L, {packs - 1}L))"))
-    paired = lookup_join(each_pack, packed, ["_pack"], spread_by="ingest_seq", how="inner", broadcast_rows=100)
+    paired = lookup_join(each_pack, packed, ["_pack"], spread_by="_row", how="inner", broadcast_rows=100)
     return paired.withColumn("_p", F.explode("_ps")).drop("_pack", "_ps")
 
 
 _NO_HIT = (
-    "named_struct('ord', 0, 'bucket', '', 'in_title', false, 'weight', 0D, 'boosted', 0D, 'label', '', 'title_label', '')"
+    "named_struct('place', 0, 'ord', 0, 'bucket', '', 'in_title', false, 'weight', 0D, 'boosted', 0D, 'label', '', 'title_label', '')"
 )
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from rolecast.functions.text import digest_cut, digest_tidy
 from rolecast.functions.urls import requisition_id
-from rolecast.operators.joins import hot_key_join, lookup_join
-from rolecast.operators.postings import detail_facts
+from rolecast.operators.joins import hot_key_join
+from rolecast.operators.postings import asked_for, detail_facts
 from rolecast.operators.profiles import Profiles, override_weights
 from rolecast.operators.ranking import OLDER_RULES, rank
 
@@ -22,9 +22,7 @@ def flat_records(postings: DataFrame, details: DataFrame) -> DataFrame:
     requisition number takes no query suffix, and a posting whose landed page has
     no readable block ends the job, as the older reading does.
     """
-    wanted = postings.select("url").distinct()
-    read = lookup_join(details, wanted, ["url"], spread_by="html", how="left_semi")
-    facts = detail_facts(read, strict=True).select("url", "ld_description")
+    facts = detail_facts(asked_for(details, postings, "url"), strict=True).select("url", "ld_description")
     joined = hot_key_join(postings, facts, ["url"], spread_by="ingest_seq")
     return joined.select(
         "ingest_seq",

@@ -52,9 +52,20 @@ def test_other_payload_shapes(spark):
     assert [(r.source, r.value) for r in got] == [("a", "BOS_ID"), ("a", "RTP_ID")]
 
 
-def test_a_tree_deeper_than_allowed_is_loud(spark):
-    with pytest.raises(Exception, match="max_depth"):
-        facets.facet_options(docs(spark, a=NESTED), max_depth=2).collect()
+def test_deep_trees_are_unrolled_as_far_as_needed(spark):
+    assert facets.facet_options(docs(spark, a=NESTED), levels=1).collect() == facets.facet_options(docs(spark, a=NESTED)).collect()
+    deep = {"id": "12", "descriptor": "level 12"}
+    for i in range(11, -1, -1):
+        deep = {"id": str(i), "descriptor": f"level {i}", "children": [deep]}
+    tree = {"facets": [{"facetParameter": "f", "values": [deep]}]}
+    assert [r.value for r in facets.facet_options(docs(spark, a=tree)).orderBy("seq").collect()] == [str(i) for i in range(13)]
+
+
+def test_seventy_facet_keys(spark):
+    rows = [(i, f"k{k}", "v") for i in range(3) for k in range(70) if (i, k) != (1, 69)]
+    members = spark.createDataFrame(rows, "id int, facet_key string, value string")
+    kept = facets.apply_facets(members, {f"k{k}": ["v", "w"] for k in range(70)}, "id")
+    assert sorted(r.id for r in kept.collect()) == [0, 2]
 
 
 def search(spark, payload, *queries, **options):

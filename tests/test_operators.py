@@ -64,9 +64,13 @@ def test_total_ends_the_scan(spark, monkeypatch):
 
 
 def test_offsets_and_sequence(spark):
-    row = spark.range(1).select(paging.page_offset(F.lit(3), 20).alias("o"), paging.ingest_seq(F.lit(5), F.lit(7), F.lit(9)).alias("s")).first()
-    assert row.o == 40
-    assert spark.range(1).select(paging.site_ordinal(F.lit(row.s)).alias("x")).first().x == 5
+    assert spark.range(1).select(paging.page_offset(F.lit(3), 20).alias("o")).first().o == 40
+    places = [(0, 1, 70_000), (0, 2, 0), (0, (1 << 24) + 1, 3), (1, 1, 0)]
+    rows = spark.createDataFrame(places[::-1], "s long, p long, i long")
+    seq = paging.ingest_seq(F.col("s"), F.col("p"), F.col("i"))
+    got = rows.select(seq.alias("seq"), paging.site_ordinal(seq).alias("site")).orderBy("seq").collect()
+    assert [tuple(r.seq) for r in got] == places
+    assert [r.site for r in got] == [0, 0, 0, 1]
     with pytest.raises(Exception, match="page must be"):
         spark.range(1).select(paging.page_offset(F.col("id"), 20)).collect()
 
@@ -146,7 +150,8 @@ def test_filter_first_counts_what_was_read(spark):
 def test_addresses_give_facets(spark):
     sites = spark.createDataFrame([("https://h.example.com/S?a=1&b=2&a=3", 0)], "source string, source_ord bigint")
     base = search.address_facets(sites)
-    resolved = spark.createDataFrame([(sites.first().source, "b", "2", 1), (sites.first().source, "b", "9", 2)], "source string, facet_key string, value string, ord bigint")
+    rows = [(sites.first().source, "b", "2", (0, 1)), (sites.first().source, "b", "9", (0, 2))]
+    resolved = spark.createDataFrame(rows, "source string, facet_key string, value string, ord struct<a bigint, b bigint>")
     merged = search.runtime_facets(base, resolved).orderBy("ord").collect()
     assert [(r.facet_key, r.value) for r in merged] == [("a", "1"), ("a", "3"), ("b", "2"), ("b", "9")]
 

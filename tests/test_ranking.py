@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from rolecast.functions import forms
 from rolecast.operators import profiles, ranking
 from rolecast.operators.ranking import LITERAL, LOOSE, STRICT, RankRules
 from rolecast.plans.older import rank_older
@@ -106,7 +107,7 @@ def test_preset_sizes(spark):
     assert [counts[presets.DEFAULT_PROFILE, b] for b in profiles.BUCKETS] == [90, 27, 33]
     assert [counts[presets.PROPERTY_PROFILE, b] for b in profiles.BUCKETS] == [5, 3, 2]
     assert [counts[presets.OLDER_PROFILE, b] for b in profiles.BUCKETS] == [36, 17, 10]
-    assert "c " in presets.weights(presets.OLDER_NICE)
+    assert "c " in presets.OLDER_NICE
 
 
 SEPARATORS = {
@@ -169,3 +170,35 @@ def test_ties_keep_scan_order_and_top_per_profile(spark):
     assert [r.ingest_seq for r in ranking.top(ranked.where("profile = 'p'"), 3).collect()] == [1, 3, 0]
     best = ranking.top_by_profile(ranked, 2).orderBy("profile", "rank").collect()
     assert [(r.profile, r.ingest_seq) for r in best] == [("p", 1), ("p", 3), ("q", 2), ("q", 0)]
+
+
+def test_the_first_weight_of_a_new_term_places_it(spark):
+    tables = profiles.override_weights(profiles.profile_tables(spark, {"p": ({"a": 1.0}, {}, {}, 1.0, 1.0, 1.0)}), {"Foo": -1, "foo": 2, "A": 3})
+    got = sorted((r.bucket, r.term, r.weight) for r in tables.terms.collect())
+    assert got == [("core", "a", 3.0), ("neg", "foo", 2.0)]
+
+
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [("2", 2.0), (" -1.5e2 ", -150.0), ("+.5", 0.5), ("1_000", 1000.0), ("1.", 1.0), ("inf", float("inf"))]
+    + [(t, None) for t in ("2d", "1.5f", "0x1p3", "", "1__0", "_1", "1e", "true", "--1", "1 2")],
+)
+def test_numbers_follow_the_decimal_grammar(spark, text, value):
+    assert spark.createDataFrame([(text,)], "t string").select(forms.number(F.col("t"))).first()[0] == value
+
+
+def test_both_ways_of_ranking_agree_bit_by_bit(spark):
+    """Rows that share a number, many terms, unrounded scores."""
+    random.seed(4)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i // 2, " ".join(random.choices(words, k=4)), " ".join(random.choices(words, k=80)), f"u{i}") for i in range(80)]
+    terms = {f"{random.choice(words)} {random.choice(words)}": random.random() for _ in range(300)}
+    terms |= {w: random.random() * 3 for w in words}
+    tables = profiles.profile_tables(spark, {"p": (terms, {"w1 w2": 0.1}, {"w3": -0.7}, 1.3, 1.0, 900.0), "q": ({"w5": 0.1}, {}, {}, 1.0, 1.0, 1.0)})
+    posts = spark.createDataFrame(rows, "ingest_seq bigint, title string, description_text string, url string")
+    rules = ranking.RankRules(digits=None)
+    one, two = (
+        sorted(tuple(r) for r in ranking.rank(posts, tables, rules, inline_terms=n).select("url", "profile", "score", "matches.core", "matches.neg").collect())
+        for n in (5000, 0)
+    )
+    assert one == two
