@@ -8,12 +8,8 @@ functions that return a Column say so in their signature.
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rolecast.functions.sql import bind, each, those
 from rolecast.functions.text import strip, unescape
@@ -172,40 +168,34 @@ def posted_date(v: str) -> str:
     )
 
 
-def _deep_description(body: Column) -> Column:
-    """Depth-first search of a JSON object; null in, null out."""
-
-    def search(node: dict) -> str:
-        for key in DESCRIPTION_KEYS:
-            if isinstance(node.get(key), str) and node[key].strip():
-                return node[key]
-        nested = [node.get(key) for key in DESCRIPTION_CONTAINERS]
-        custom = node.get("custom_JD")
-        nested.append(custom.get("data_fields") if isinstance(custom, dict) else None)
-        return next(filter(None, (search(n) for n in nested if isinstance(n, dict))), "")
-
-    # a local function travels by value, so workers need no copy of this package
-    @F.pandas_udf(T.StringType())
-    def search_each(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda text: search(json.loads(text)) if text else None)
-
-    return search_each(body)
-
-
 def nested_description(v: str) -> Column:
     """Description of an alternate listing, at any depth of the known containers.
 
-    Nearly every payload has it on top. Only payloads without one there that
-    mention a description key at all travel to the Python search.
+    Nearly every payload has it on top. Below, the containers are searched depth
+    first with a stack, for as many steps as the payload names containers.
     """
 
-    def on_top(found: str) -> str:
+    def filled(found: str) -> str:
         return f"if({is_text(found)} and try_cast({found} as string) rlike r'(?U)\\S', try_cast({found} as string), null)"
 
-    top = F.expr("coalesce(" + ", ".join(bind(field(v, f"$.{k}"), on_top) for k in DESCRIPTION_KEYS) + ")")
-    body = F.expr(f"if({is_object(v)}, to_json({v}), null)")
-    mentions = body.rlike('"(?:' + "|".join(DESCRIPTION_KEYS) + ')":')
-    return F.coalesce(top, _deep_description(F.when(top.isNull() & mentions, body)), F.lit(""))
+    def own(node: str) -> str:
+        return "coalesce(" + ", ".join(bind(field(node, f"$.{k}"), filled) for k in DESCRIPTION_KEYS) + ")"
+
+    def step(state: str) -> str:
+        def taken(node: str) -> str:
+            # what is put on last is taken first
+            below = ", ".join(field(node, path) for path in ("$.custom_JD.data_fields", *(f"$.{c}" for c in DESCRIPTION_CONTAINERS[::-1])))
+            rest = f"slice({state}.stack, 1, size({state}.stack) - 1)"
+            return f"named_struct('stack', concat({rest}, {those(f'array({below})', is_object)}), 'found', {own(node)})"
+
+        return f"if({state}.found is not null or size({state}.stack) = 0, {state}, {bind(f'element_at({state}.stack, -1)', taken)})"
+
+    text, named = f"to_json({v})", "|".join((*DESCRIPTION_CONTAINERS, "data_fields"))
+    steps = f"""sequence(0, regexp_count({text}, r'"(?:{named})":'))"""
+    start = f"named_struct('stack', array({v}), 'found', cast(null as string))"
+    search = f"aggregate({steps}, {start}, (s, i) -> {step('s')}, s -> s.found)"
+    mentions = f"""{is_object(v)} and {text} rlike r'"(?:{"|".join(DESCRIPTION_KEYS)})":'"""
+    return F.expr(f"coalesce({own(v)}, if({mentions}, {search}, null), '')")
 
 
 def location_words(v: str) -> str:

@@ -42,7 +42,7 @@ def test_place_and_posted(spark):
 
 def test_posted_date(spark):
     cases = {1700000000: "2023-11-14", 1700000000000: "2023-11-14", "1700000000": "2023-11-14", "2024-01-02T10": "2024-01-02",
-             True: "", 1e300: "", -5: "1969-12-31", "Posted today": "Posted ", "": "", "x": "x"}
+             True: "1970-01-01", False: "1970-01-01", 1e300: "", -5: "1969-12-31", "Posted today": "Posted ", "": "", "x": "x"}
     cases["Posted today"] = "Posted today"
     for raw, expected in cases.items():
         assert evaluate(spark, {"t": raw}, bind(payload.field("v", "$.t"), payload.posted_date)) == (expected,), raw
@@ -58,6 +58,9 @@ def test_description_at_any_depth(spark):
     assert evaluate(spark, {"description": " ", "custom_JD": {"data_fields": {"description_html": "c"}}}, found) == ("c",)
     assert evaluate(spark, {"job": {"x": 1}, "data": {"description": "d"}}, found) == ("d",)
     assert evaluate(spark, {"other": {"description": "d"}}, found) == ("",)
+    both = {"data": {"description": "late"}, "job": {"details": {"job": {"description": "early"}}}}
+    assert evaluate(spark, both, found) == ("early",)
+    assert evaluate(spark, {"custom_JD": ["data_fields"], "job": [{"description": "no"}]}, found) == ("",)
 
 
 def test_alternate_listing(spark):
