@@ -339,6 +339,10 @@ SELECT source_ord, page_no, position, 'Netflix' AS source, CASE WHEN doc_id = 0
        'Netflix' AS hiring_organization, md5('<p>' || text || '</p>') AS html_digest
 FROM every"""
 
+ORACLES["landed_scan"] = f"""
+WITH every AS (SELECT *, {_SEQ} FROM documents)
+SELECT dense_rank() OVER (ORDER BY source) - 1 AS source_ord, page_no, position, 'JR' || doc_id AS req_id,
+       'https://' || source || '.example.com/en-US/Careers/job/Doc_JR' || doc_id AS url FROM every"""
 ORACLES["broken_pages"] = f"""
 WITH every AS (SELECT *, {_SEQ} FROM documents)
 SELECT source_ord, page_no, position, 'Careers' AS source, 'JR' || doc_id AS req_id FROM every WHERE page_no <> 2"""
@@ -557,6 +561,20 @@ postings AS (SELECT * FROM matched QUALIFY row_number() OVER (PARTITION BY sourc
 {chain_scored("demo", DEMO, "postings", "title", "''")}
 SELECT source_ord, page_no, position, 'JR' || doc_id AS req_id, location, round(raw, 3) AS score
 FROM scored JOIN postings USING (doc_id) ORDER BY score DESC, source_ord, page_no, position LIMIT 25"""
+ORACLES["browser_counts"] = f"""
+WITH every AS (SELECT doc_id, {_SEQ}, source, {_TITLE} AS title, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'in ' || lang END AS location
+               FROM documents),
+rows_ AS (SELECT *, (contains({key("title")}, 'the') OR contains({key("title")}, 'de')) AND (contains(location, 'en') OR contains(location, 'fr')) AS hit
+          FROM every WHERE page_no <= 9),
+numbered AS (SELECT *, count(*) FILTER (hit) OVER (PARTITION BY source_ord ORDER BY doc_id) AS hits FROM rows_),
+stops AS (SELECT source_ord, min(doc_id) FILTER (hits >= 6) AS stop FROM numbered GROUP BY source_ord)
+SELECT source_ord AS site_ord, count(*) FILTER (stop IS NULL OR doc_id <= stop) AS scanned, least(max(hits), 6) AS kept
+FROM numbered JOIN stops USING (source_ord) GROUP BY source_ord"""
+ORACLES["older_chain"] = f"""
+WITH every AS (SELECT *, {_SEQ} FROM documents),
+kept AS (SELECT * FROM every WHERE page_no <= 3 QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 11)
+SELECT source_ord, page_no, position, {_TITLE} AS title, 'JR' || doc_id AS req_id,
+       'https://' || source || '.example.com/en-US/Careers/job/Doc_JR' || doc_id AS url, source || '/x' AS digest FROM kept"""
 ORACLES["legacy_records"] = f"""
 WITH kept AS (SELECT doc_id, {_TITLE} AS title FROM documents)
 SELECT doc_id AS ingest_seq, title, 'JR' || doc_id AS req_id, '' AS location, '' AS posted, '{SITE}/job/Doc_JR' || doc_id AS url,

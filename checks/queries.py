@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +24,8 @@ from rolecast.operators import facets, filters, limits, paging, postings, profil
 from rolecast.plans import older, search
 from rolecast.sinks import exports
 from rolecast.sources import presets
-from rolecast.sources.landed import spread
+from rolecast.session import shared_folder
+from rolecast.sources.landed import read_list_pages, site_list, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -460,6 +462,16 @@ def alternate_postings(spark, folder):
     )
 
 
+@query
+def landed_scan(spark, folder):
+    """List pages read back from landed files, with a site list of plain addresses."""
+    path = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}"
+    list_pages(spark, folder).write.json(path)
+    addresses = sorted(r.source for r in sites(spark, folder).select("source").collect())
+    landed = search.Landed(site_list(spark, addresses), read_list_pages(spark, path, "json"), None)
+    return search.scan(landed, page_size=1).select("ingest_seq.*", "req_id", "url")
+
+
 @query
 def broken_pages(spark, folder):
     """A scan whose second pages are unreadable and whose first ones are landed twice, with a repeated key."""
@@ -825,6 +837,28 @@ def browser_chain(spark, folder):
     return found.postings.select("ingest_seq.*", "req_id", "location", "score")
 
 
+@query
+def browser_counts(spark, folder):
+    """How much of every site was read until its last kept match, and how much was kept."""
+    landed = search.Landed(sites(spark, folder), list_pages(spark, folder), None)
+    return search.browser_search(
+        landed, demo_profiles(spark, "demo"), ["en", "fr"], ["the", "de"], max_pages=9, page_size=1, max_jobs=6, with_details=False
+    ).counts
+
+
+@query
+def older_chain(spark, folder):
+    """The older chain over fixed pages; every listed posting has a page with a block."""
+    address = F.concat(F.lit("https://"), "source", F.lit(".example.com/en-US/Careers/job/Doc_JR"), F.col("doc_id").cast("string"))
+    body = F.to_json(F.struct(F.concat(F.lit("Intro. What you will be doing:  "), "source", F.lit(" /  x  Job Location y")).alias("description")))
+    pages = table(spark, folder, "documents").select(
+        address.alias("url"), F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>")).alias("html")
+    )
+    landed = search.Landed(sites(spark, folder), list_pages(spark, folder), pages)
+    records = search.older_records(landed, n_pages=3, max_jobs=11)
+    return records.select("ingest_seq.*", "title", "req_id", "url", "digest")
+
+
 @query
 def legacy_records(spark, folder):
     """Flat older records; every landed page here carries a readable block."""

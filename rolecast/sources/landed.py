@@ -6,6 +6,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rolecast.sources.presets import EXAMPLE_SITES
+
 LIST_PAGE = "source string, page_no bigint, payload string"
 DETAIL_PAGE = "url string, html string"
 ALTERNATE_DETAIL = "job_id string, payload string"
@@ -35,6 +37,11 @@ def site_list(spark: SparkSession, addresses: Iterable[str]) -> DataFrame:
     )
 
 
+def example_sites(spark: SparkSession, *names: str) -> DataFrame:
+    """The sites offered as examples, all or those named, in the order given."""
+    return site_list(spark, [EXAMPLE_SITES[n] for n in names or EXAMPLE_SITES])
+
+
 # an input of fewer splits than this is small whatever the cluster's size
 SMALL_SPLITS = 32
 

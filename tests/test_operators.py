@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from rolecast.operators import joins, limits, paging, postings
 from rolecast.plans import search
+from rolecast.sources import landed as landed_files
 from rolecast.sources.landed import LIST_PAGE
+from rolecast.sources.presets import EXAMPLE_SITES
 
 
 def pages_of(spark, sizes, total=None):
@@ -187,3 +189,20 @@ def test_locations_resolve_per_site(spark):
     given = search.Landed(None, pages, None)
     assert [(r.facet_key, r.value) for r in search.resolve(given, ["rome"]).collect()] == [("locations", "R")]
     assert search.resolve(given._replace(alternate=True), ["rome"]).count() == 0
+
+
+def test_landed_files_and_example_sites(spark, tmp_path):
+    pages = spark.createDataFrame([("https://h.example.com/S", 1, '{"jobPostings": [{"title": "A"}]}')], LIST_PAGE)
+    details = spark.createDataFrame([("u", "<p>")], landed_files.DETAIL_PAGE)
+    more = spark.createDataFrame([("1", "{}")], landed_files.ALTERNATE_DETAIL)
+    for kind in ("parquet", "json"):
+        for name, df, read in (("l", pages, landed_files.read_list_pages), ("d", details, landed_files.read_detail_pages), ("a", more, landed_files.read_alternate_details)):
+            df.write.format(kind).save(f"{tmp_path}/{kind}-{name}")
+            assert read(spark, f"{tmp_path}/{kind}-{name}", kind).collect() == df.collect()
+    known = landed_files.example_sites(spark)
+    assert known.count() == len(EXAMPLE_SITES)
+    assert {k for part in search.split_sites(known) for k in part.columns} == {"source", "source_ord"}
+    assert search.split_sites(known)[1].count() == 1
+    assert search.site_table(known).where("error is not null").count() == 0
+    named = landed_files.example_sites(spark, "Draper", "Cisco").orderBy("source_ord").collect()
+    assert [r.source for r in named] == [EXAMPLE_SITES["Draper"], EXAMPLE_SITES["Cisco"]]
