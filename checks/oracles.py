@@ -153,11 +153,11 @@ ORACLES["length_bonus"] = (
     f"SELECT doc_id, round(least(length({fold('text')}) / 900.0::DOUBLE, 1.25::DOUBLE), 3) AS bonus FROM documents"
 )
 
-ORACLES["profile_json"] = """
-SELECT p_brand AS profile, 'core' AS bucket, lower(p_name) AS term, max(p_size)::DOUBLE AS weight,
-       1.5::DOUBLE AS title_boost, 1.25::DOUBLE AS length_cap, 900.0::DOUBLE AS length_divisor
-FROM part GROUP BY p_brand, p_name"""
-
+ORACLES["profile_json"] = f"""
+WITH entries AS (
+    SELECT 'part ' || p_partkey AS profile, 'core' AS bucket, {fold("'a ' || p_name")} AS term, p_size + 1.0::DOUBLE AS weight FROM part
+    UNION ALL SELECT 'part ' || p_partkey, 'nice', {fold("p_type")}, 1.5::DOUBLE FROM part)
+SELECT profile, bucket, term, weight, 1.5::DOUBLE AS title_boost, 1.25::DOUBLE AS length_cap, 900.0::DOUBLE AS length_divisor FROM entries"""
 ORACLES["profile_errors"] = """
 SELECT o_orderkey::VARCHAR AS path,
        CASE o_orderkey % 4 WHEN 0 THEN 'nice contains a non-numeric weight for ' || o_orderstatus
@@ -561,6 +561,9 @@ postings AS (SELECT * FROM matched QUALIFY row_number() OVER (PARTITION BY sourc
 {chain_scored("demo", DEMO, "postings", "title", "''")}
 SELECT source_ord, page_no, position, 'JR' || doc_id AS req_id, location, round(raw, 3) AS score
 FROM scored JOIN postings USING (doc_id) ORDER BY score DESC, source_ord, page_no, position LIMIT 25"""
+ORACLES["browser_chain_facets"] = ORACLES["browser_chain"].replace(
+    "(contains(location, 'en') OR contains(location, 'fr'))", "lang IN ('en', 'fr')"
+).replace("WITH every AS (SELECT doc_id,", "WITH every AS (SELECT lang, doc_id,")
 ORACLES["browser_counts"] = f"""
 WITH every AS (SELECT doc_id, {_SEQ}, source, {_TITLE} AS title, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'in ' || lang END AS location
                FROM documents),

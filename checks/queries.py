@@ -145,12 +145,15 @@ def length_bonus(spark, folder):
 
 @query
 def profile_json(spark, folder):
-    """Profiles read from JSON texts, one per brand, with folded repeats."""
-    parts = table(spark, folder, "part").groupBy("p_brand", "p_name").agg(F.max("p_size").alias("size"))
-    entry = F.struct(F.initcap("p_name").alias("key"), F.col("size").cast("double").alias("value"))
-    files = parts.groupBy("p_brand").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("core"))
-    doc = F.to_json(F.struct(F.col("p_brand").alias("name"), F.col("core").alias("core_plus"), F.lit("1.5").alias("title_boost")))
-    tables = profiles.parse_profiles(files.select(F.col("p_brand").alias("path"), doc.alias("text")))
+    """Profiles read from JSON texts, one per part, with folded repeats."""
+    size = F.col("p_size").cast("double")
+    files = table(spark, folder, "part").select(
+        F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("name"),
+        F.create_map(F.concat(F.lit("A "), "p_name"), size, F.concat(F.lit("a "), "p_name"), size + 1).alias("core"),
+        F.create_map("p_type", F.lit("1.5")).alias("nice"),
+    )
+    doc = F.to_json(F.struct("name", F.col("core").alias("core_plus"), "nice", F.lit("1.5").alias("title_boost")))
+    tables = profiles.parse_profiles(files.select(F.col("name").alias("path"), doc.alias("text")))
     return tables.terms.join(tables.profiles, "profile").select(
         "profile", "bucket", "term", "weight", "title_boost", "length_cap", "length_divisor"
     )
@@ -809,9 +812,8 @@ def search_chain(spark, folder):
     return ranked.select("source", "req_id", "title", "url", "score")
 
 
-@query
-def search_chain_facets(spark, folder):
-    """Facets of the site addresses choose the postings before the limit, and search text does."""
+def _facetted(spark, folder) -> tuple[search.Landed, DataFrame]:
+    """Sites whose addresses ask for two languages, and the language of every posting."""
     asked = F.concat(F.col("source"), F.lit("?workerSubType=en&workerSubType=fr"))
     landed = search.Landed(
         sites(spark, folder).withColumn("source", asked), list_pages(spark, folder).withColumn("source", asked), None
@@ -822,6 +824,22 @@ def search_chain_facets(spark, folder):
         F.regexp_extract("source", r"(\d+)$", 1).cast("bigint").alias("source_ord"), address.alias("url"),
         F.lit("workerSubType").alias("facet_key"), F.col("lang").alias("value"),
     )
+    return landed, members
+
+
+@query
+def browser_chain_facets(spark, folder):
+    landed, members = _facetted(spark, folder)
+    found = search.browser_search(
+        landed, demo_profiles(spark, "demo"), [], ["the", "de"], max_pages=9, page_size=1, max_jobs=6, members=members
+    )
+    return found.postings.select("ingest_seq.*", "req_id", "location", "score")
+
+
+@query
+def search_chain_facets(spark, folder):
+    """Facets of the site addresses choose the postings before the limit, and search text does."""
+    landed, members = _facetted(spark, folder)
     ranked = search.ranked_search(
         landed, demo_profiles(spark, "demo"), OVERRIDE, max_pages=4, page_size=2, max_jobs=9, members=members, text="The"
     )

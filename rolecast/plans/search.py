@@ -151,10 +151,14 @@ def discover_filtered(
     max_jobs: int = 50,
     with_details: bool = True,
     text: str = "",
+    members: DataFrame | None = None,
 ) -> Found:
     """Filter on the list pages first, keep the first ``max_jobs`` matches, then read details."""
+    scanned = scan(landed, max_pages, page_size, text)
+    if members is not None:
+        scanned = chosen_by_facets(landed, scanned, members)
     # written once: matches, counts and the detail join all start from the scan
-    postings = materialize(by_site(scan(landed, max_pages, page_size, text)))
+    postings = materialize(by_site(scanned))
     match = browser_match(locations, titles)
     kept = limit_per_group(postings.where(match), ["site_ord"], "ingest_seq", max_jobs).drop("site_ord")
     counts = scan_counts(postings, match, ["site_ord"], "ingest_seq", max_jobs)
@@ -208,6 +212,16 @@ def narrowed(postings: DataFrame, members: DataFrame, facets: DataFrame) -> Data
     return free.unionByName(bound).select(*postings.columns)
 
 
+def chosen_by_facets(
+    landed: Landed, postings: DataFrame, members: DataFrame, locations: Sequence[str] = (), strict: bool = False
+) -> DataFrame:
+    """Postings that the facets of their site's address, and those that ``locations`` resolve to, leave."""
+    chosen = address_facets(landed.sites)
+    if locations:
+        chosen = runtime_facets(chosen, resolve(landed, locations, strict=strict))
+    return narrowed(postings, members, chosen.join(landed.sites.select("source", "source_ord"), "source"))
+
+
 def ranked_search(
     landed: Landed,
     tables: Profiles,
@@ -230,11 +244,7 @@ def ranked_search(
     if members is None:
         postings = discover(landed, max_pages, page_size, max_jobs, with_details, text)
     else:
-        ordinals = landed.sites.select("source", "source_ord")
-        chosen = address_facets(landed.sites)
-        if locations:
-            chosen = runtime_facets(chosen, resolve(landed, locations, strict=strict))
-        postings = materialize(narrowed(scan(landed, max_pages, page_size, text), members, chosen.join(ordinals, "source")))
+        postings = materialize(chosen_by_facets(landed, scan(landed, max_pages, page_size, text), members, locations, strict))
         if max_jobs is not None:
             postings = limit_per_group(by_site(postings), ["site_ord"], "ingest_seq", max_jobs).drop("site_ord")
         postings = fill(landed, materialize(postings)) if with_details else postings
@@ -252,10 +262,14 @@ def browser_search(
     top_rows: int = 25,
     with_details: bool = True,
     text: str = "",
+    members: DataFrame | None = None,
 ) -> Found:
-    """Browser chain: with any filter, details are read for matching postings only."""
-    if [q for q in locations if q.strip()] or titles:
-        found = discover_filtered(landed, locations, titles, max_pages, page_size, max_jobs, with_details, text)
+    """Browser chain: with any filter, details are read for matching postings only.
+
+    With ``members`` the facets of the site addresses choose the postings first.
+    """
+    if [q for q in locations if q.strip()] or titles or members is not None:
+        found = discover_filtered(landed, locations, titles, max_pages, page_size, max_jobs, with_details, text, members)
     else:
         # counted before any detail is read
         listed = materialize(discover(landed, max_pages, page_size, max_jobs, False, text))
