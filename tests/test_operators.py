@@ -206,3 +206,19 @@ def test_landed_files_and_example_sites(spark, tmp_path):
     assert search.site_table(known).where("error is not null").count() == 0
     named = landed_files.example_sites(spark, "Draper", "Cisco").orderBy("source_ord").collect()
     assert [r.source for r in named] == [EXAMPLE_SITES["Draper"], EXAMPLE_SITES["Cisco"]]
+
+
+def test_details_are_reduced_before_they_are_read(spark):
+    details = spark.createDataFrame([(f"u{i}", "<p>", i) for i in range(9)], "url string, html string, landed_seq int").repartition(3)
+    posts = spark.range(3).select(*[F.lit(None).cast("string").alias(c) for c in postings.POSTING_COLUMNS]).withColumn("url", F.lit("u1"))
+    posts = posts.withColumn("raw_summary", F.parse_json(F.lit("{}"))).withColumn("raw_json_ld", F.parse_json(F.lit("{}")))
+    plan = postings.hydrate(posts, details)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    at = next(i for i, line in enumerate(plan) if "Join LeftSemi" in line)
+    below = []
+    for line in plan[at + 1 :]:
+        if depth(line) <= depth(plan[at]):
+            break
+        below.append(line)
+    assert below and not any(word in line for line in below for word in ("regexp", "parse_json", "lambda", "AS _p"))
+    assert any("AS ld_title" in line for line in plan[:at])
