@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from rolecast.session import materialize
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 HOT_KEYS = 10_000
 HOT_ROWS = 100_000
 # rows with a null key match nothing and are spread over this many slices
@@ -29,16 +30,21 @@ def lookup_join(
 ) -> DataFrame:
     """Join wide rows to a narrow table.
 
-    The small side is written once and its rows are counted. Up to
-    ``broadcast_rows`` it is broadcast, so the wide rows stay where they are.
-    Beyond that it is a shuffled join whose hot keys are spread.
+    The small side is written once and measured. Up to ``broadcast_rows`` rows
+    and ``BROADCAST_BYTES`` of text it is broadcast, so the wide rows stay where
+    they are. Beyond that it is a shuffled join whose hot keys are spread.
     """
     small = materialize(small)
-    if small.count() <= broadcast_rows:
+    if small.count() <= broadcast_rows and text_bytes(small) <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), list(keys), how)
     return hot_key_join(big, small, keys, spread_by, how, hot_rows)
 
 
+def text_bytes(df: DataFrame) -> int:
+    """Bytes of all rows written as JSON."""
+    return df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))).first()[0] or 0
+
+
 def hot_key_join(
     left: DataFrame,
     right: DataFrame,
