@@ -25,9 +25,9 @@ LETTER, NUMBER, OTHER, BLANK = 1, 2, 3, 4
 #: Longer words, in bytes, are encoded one by one, in time in proportion to their length.
 LONG_WORD = 48
 #: Words that a task remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Characters worked on at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def byte_letters() -> dict[str, int]:
@@ -56,6 +56,10 @@ class Vocabulary:
         self.merges = [(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in pairs]
         self.bytes = [self.ids[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
 
+    def __getstate__(self):
+        """Tasks need labels and special tokens only."""
+        return {"labels": self.labels, "special": self.special, "size": self.size}
+
 
 class Automaton:
     """States and arcs: ``allowed[state[t], column[t2]]`` says whether token t2 may follow token t.

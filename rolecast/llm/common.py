@@ -15,7 +15,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: UTF-8 bytes of text that a task works on at a time; one longer text is a batch of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+#: Rows that Spark hands to a task's Python at a time. Whole texts are long, so the usual 10,000 are too many.
+ARROW_ROWS = 1_000
 
 
 def folded(text: Column | str) -> Column:
@@ -59,26 +61,35 @@ def texts(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of rows in an Arrow batch; it is read when a result is computed."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def arrow_map(df: DataFrame, rows, schema: str, limit: int = SLICE_BYTES) -> DataFrame:
     """``rows(batch)`` makes the columns of ``schema``, as a dict, from each slice of (key, text, ...) rows."""
-
+    short_batches(df.sparkSession)
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         for part in slices(batches, limit=limit):
             made = rows(part)
             yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in out], schema=out)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
-
 def arrow_filter(df: DataFrame, stays, column: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """The rows of ``df``, all columns, for which ``stays(texts)`` is true; no row moves."""
+    short_batches(df.sparkSession)
     at = df.columns.index(column)
 
     def run(batches):
         for part in slices(batches, at, limit):
             yield part.filter(pa.array(stays(part.column(at).to_pylist()), pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, df.schema)

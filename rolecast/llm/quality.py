@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolecast.llm.common import arrow_filter, arrow_map, shipped, slices
+from rolecast.llm.common import arrow_filter, arrow_map, shipped, short_batches, slices
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -191,6 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
             columns = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
+    short_batches(docs.sparkSession)
     found = rows.mapInArrow(run, "doc_id long, quality long, feature binary, share binary").collect()
     found = sorted(found, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.quality, bytes(r.feature)))
     model.fit([(r.quality, np.frombuffer(r.feature, np.int32), np.frombuffer(r.share, np.float32)) for r in found])

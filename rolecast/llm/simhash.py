@@ -26,6 +26,8 @@ WORD_BITS = 64
 #: Fingerprints of a usual shard, and of the largest shard tree; a larger shard is cut by further bits.
 USUAL_ROWS = 128
 SHARD_ROWS = 4_096
+#: Shard rows that a task takes at a time; a shard goes on until it ends.
+HELD_ROWS = 1 << 16
 #: Tree visits held at a time in a task.
 VISITS = 1 << 19
 
@@ -252,21 +254,24 @@ def links(nodes: DataFrame, radius: int, check_bits: int | None = None, limit: i
         return pa.RecordBatch.from_arrays(ends, schema=schema)
 
     def run(batches):
-        mask, part, raw = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            if not batch.num_rows:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < HELD_ROWS:
                 continue
-            mask = np.concatenate([mask, batch.column(0).to_numpy()])
-            part = np.concatenate([part, batch.column(1).to_numpy()])
-            raw += batch.column(2).to_pylist()
+            mask, part, raw = columns(held)
             # the last shard may go on in the next batch
             ended = np.flatnonzero((mask != mask[-1]) | (part != part[-1]))
             n = int(ended[-1]) + 1 if len(ended) else 0
             if n:
                 yield made(mask[:n], part[:n], raw[:n])
-            mask, part, raw = mask[n:], part[n:], raw[n:]
-        if raw:
-            yield made(mask, part, raw)
+            held = [pa.concat_batches(held).slice(n)]
+        if sum(b.num_rows for b in held):
+            yield made(*columns(held))
+
+    def columns(held):
+        mask, part = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
+        return mask, part, [x for b in held for x in b.column(2).to_pylist()]
 
     return dealt.mapInArrow(run, "a binary, b binary")
 

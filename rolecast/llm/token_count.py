@@ -16,7 +16,7 @@ MARK = "▁"
 #: An unknown character scores so much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Words that a task remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 
 
 def read_pieces(path: str) -> list[tuple[str, float]]:
