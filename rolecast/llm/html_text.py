@@ -10,13 +10,14 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolecast.llm.common import arrow_map, shipped, slices, texts
+from rolecast.llm.common import arrow_map, shipped, short_batches, slices, texts
 
 #: Elements whose content is no text at all.
 RAW = "script style noscript template iframe svg math object canvas title textarea select".split()
@@ -25,9 +26,12 @@ APART = set("nav aside form footer menu dialog button head".split())
 APART_NAMES = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside nav navbar"
     " navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent notice notices alert popup modal"
-    " newsletter subscribe signup login share sharing social related recommended comment comments respond disqus"
-    " search pagination pager widget copyright contentinfo complementary dialog".split()
+    " newsletter subscribe signup login share sharing social related recommended trending comment comments respond"
+    " responses replies discussion disqus search pagination pager widget rail toolbar topbar copyright contentinfo"
+    " complementary dialog".split()
 )
+#: Names of page headers; others, as entry-header, belong to an article.
+HEADER_NAMES = {"header", "site-header", "top-header", "global-header"}
 #: Beside such a word a name tells what the page has or lacks, as in no-sidebar.
 NEGATIONS = {"no", "without", "has", "with"}
 #: Elements that mark the content of a page; pages with exactly one are the labelled ones.
@@ -37,8 +41,10 @@ INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby s samp small span"
     " strike strong sub sup time tt u var wbr".split()
 )
-#: Weights without labelled pages: the classic balance of words and tags.
-WORD, TAG = 1.0, -3.25
+#: Elements that text is written in.
+WRITING = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd figure figcaption".split())
+#: Weights without labelled pages: the classic balance of words and tags, and one for the tags of written text.
+WORD, TAG, WRITING_TAG = 1.0, -3.25, -0.3
 #: Learned weights stay this far from zero, words above and tags below.
 LEAST = 0.05
 
@@ -66,6 +72,8 @@ def set_apart(name: str, rest: str, inside: bool) -> bool:
         return True
     for m in _NAMED.finditer(rest):
         for named in "".join(m.groups("")).lower().split():
+            if named in HEADER_NAMES and not inside:
+                return True
             parts = set(_PARTS.split(named))
             if not APART_NAMES.isdisjoint(parts) and NEGATIONS.isdisjoint(parts):
                 return True
@@ -76,13 +84,13 @@ class Page:
     """A page as a sequence of words and tags: ``kinds[i]`` with ``sizes[i]`` words, 1 for a tag; and its blocks.
 
     Kinds are ``w`` for words of plain text, ``link`` for those of links,
-    ``apart`` for those of page furniture, and ``<name>`` for tags.
+    ``<name>`` for tags, and ``apart`` for a piece of page furniture as a whole.
     """
 
     def __init__(self, source: str):
         self.kinds: list[str] = []
         self.sizes: list[int] = []
-        self.spans: list[tuple[int, int]] = []  # tokens of content elements
+        self.spans: list[tuple[int, int]] = []  # tokens of content elements that lie in no other
         self.pieces: list[tuple[int, int, str]] = []  # token, block, text of pieces that may be content
         block = at = link = 0
         apart, depth = "", 0  # the furniture element that is open, and how many of its name
@@ -90,24 +98,25 @@ class Page:
 
         def text(until: int) -> None:
             if until > at:
+                if apart:
+                    return
                 piece = html.unescape(source[at:until])
                 n = len(piece.split())
                 if n:
-                    self.kinds.append("apart" if apart else "link" if link else "w")
+                    self.kinds.append("link" if link else "w")
                     self.sizes.append(n)
-                if not apart:
-                    self.pieces.append((len(self.kinds) - bool(n), block, piece))
+                self.pieces.append((len(self.kinds) - bool(n), block, piece))
 
         for m in TOKEN.finditer(source):
             text(m.start())
             at = m.end()
             name = (m["name"] or m["raw"] or "").lower()
             if not m["name"]:
-                if name:
+                if name and not apart:
                     self.kinds.append(f"<{name}>")
                     self.sizes.append(1)
                 continue
-            closing, rest = bool(m["close"]), m["rest"]
+            closing, rest, was_apart = bool(m["close"]), m["rest"], apart
             if apart:
                 if closing and name == apart:
                     depth -= 1
@@ -119,10 +128,14 @@ class Page:
                     depth += 1
             elif not closing and not rest.endswith("/") and set_apart(name, rest, bool(content)):
                 apart, depth = name, 1
+                self.kinds.append("apart")
+                self.sizes.append(1)
             if name in CONTENT and not apart:
                 if closing:
                     if content and content[-1][0] == name:
-                        self.spans.append((content.pop()[1], len(self.kinds)))
+                        first = content.pop()[1]
+                        if not content:
+                            self.spans.append((first, len(self.kinds)))
                 else:
                     content.append((name, len(self.kinds)))
             if name == "a":
@@ -132,15 +145,12 @@ class Page:
             elif name not in INLINE:
                 block += 1
                 link = 0
-            self.kinds.append(f"<{name}>")
-            self.sizes.append(1)
+            if not apart and not was_apart:
+                self.kinds.append(f"<{name}>")
+                self.sizes.append(1)
         text(len(source))
-        while content:
-            self.spans.append((content.pop()[1], len(self.kinds)))
-
-    def outer(self) -> list[tuple[int, int]]:
-        """Content elements that lie in no other."""
-        return [s for s in self.spans if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in self.spans)]
+        if content:
+            self.spans.append((content[0][1], len(self.kinds)))
 
     def best_run(self, weight) -> tuple[int, int]:
         """The run of tokens with the largest sum, by one scan; of equal ones the first."""
@@ -160,11 +170,12 @@ class Page:
         element's own bounds are taken.
         """
         low, high = self.best_run(weight)
+        before = [0, *accumulate(n if k in ("w", "link") else 0 for k, n in zip(self.kinds, self.sizes, strict=True))]
 
         def words(a: int, b: int) -> int:
-            return sum(n for k, n in zip(self.kinds[a:b], self.sizes[a:b], strict=True) if k in ("w", "link"))
+            return before[b] - before[a]
 
-        for a, b in self.outer():
+        for a, b in self.spans:
             both = words(max(a, low), min(b, high)) if max(a, low) < min(b, high) else 0
             if both and 2 * both >= words(low, high) and 2 * both >= words(a, b):
                 low, high = a, b
@@ -196,7 +207,8 @@ class Weights:
         self.tag = TAG if len(self.known) == 3 else min(self.known[k] for k in self.known if k[0] == "<")
 
     def __call__(self, kind: str) -> float:
-        return self.known.get(kind, -LEAST if kind[1:-1] in INLINE or kind == "<br>" else self.tag)
+        name = kind[1:-1]
+        return self.known.get(kind, -LEAST if name in INLINE or name == "br" else WRITING_TAG if name in WRITING else self.tag)
 
 
 def fit(pages: DataFrame) -> Weights:
@@ -208,10 +220,9 @@ def fit(pages: DataFrame) -> Weights:
         for part in slices(batches, text=0):
             for source in texts(part.column(0)):
                 page = Page(source)
-                spans = page.outer()
-                if len(spans) != 1:
+                if len(page.spans) != 1:
                     continue
-                low, high = spans[0]
+                low, high = page.spans[0]
                 for i, (kind, n) in enumerate(zip(page.kinds, page.sizes, strict=True)):
                     counts[kind, low <= i < high] += n
             if len(counts) > 100_000:
@@ -223,6 +234,7 @@ def fit(pages: DataFrame) -> Weights:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
         counts.clear()
 
+    short_batches(pages.sparkSession)
     counted = pages.select("html").mapInArrow(run, "kind string, within boolean, n long")
     counted = counted.groupBy("kind", "within").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "kind").limit(10_000)
     return Weights({(r.kind, r.within): r.n for r in counted.collect()})

@@ -8,13 +8,14 @@ with a null id are not learned from. An empty table gives an empty result.
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolecast.llm.common import arrow_filter, arrow_map, shipped, slices, texts
+from rolecast.llm.common import arrow_filter, arrow_map, shipped, short_batches, slices, texts
 from rolecast.session import materialize
 
 UNKNOWN = "und"
@@ -69,6 +70,11 @@ class Letters:
         return code[keep], places[gaps], letters[gaps[1:]] > letters[gaps[:-1]]
 
 
+@cache
+def letters() -> Letters:
+    return Letters()
+
+
 def grams(code: np.ndarray, begin: int, end: int) -> np.ndarray:
     """The sequence of ``ORDER`` characters that ends at each place from ``begin`` to before ``end``."""
     out = np.zeros(end - begin, np.uint64)
@@ -152,7 +158,7 @@ class Model:
 
     def __init__(self, counted: dict[str, tuple[np.ndarray, np.ndarray, int, int]]):
         self.languages = sorted(counted)
-        self.letters = Letters()
+        self.letters = letters()
         self.parts = [KneserNey(*counted[x]) for x in self.languages]
         known = np.unique(np.concatenate([counted[x][0] for x in self.languages]))
         self.table = SortedHashes(known)
@@ -213,7 +219,7 @@ class Model:
 
 def count_grams(rows: DataFrame) -> DataFrame:
     """``lang, gram, n``: all character sequences of all rows ``lang, text``, combined in the tasks before the shuffle."""
-    made = shipped(rows.sparkSession, Letters())
+    made = shipped(rows.sparkSession, letters())
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
@@ -250,6 +256,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
                 yield from out()
         yield from out()
 
+    short_batches(rows.sparkSession)
     counted = rows.select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
