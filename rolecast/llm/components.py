@@ -23,7 +23,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = edges.select(F.col("low").alias("u"), F.col("high").alias("v")).unionByName(
             edges.select(F.col("high").alias("u"), F.col("low").alias("v"))
         )
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # stored, so that a join partition of a node with very many links can be split
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("low"), F.col("v").alias("high")).distinct()
         # and then itself and its smaller neighbours
         up = large.groupBy("high").agg(F.min("low").alias("m"))
