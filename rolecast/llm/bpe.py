@@ -223,17 +223,22 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        parts, owner, ids = [], [], []
+        parts, owner, ids = [], [], []  # id -1: text to encode, else a special token
+
+        def put(text: str, special: int = -1) -> None:
+            parts.append(text)
+            owner.append(i)
+            ids.append(special)
+
         for i, text in enumerate(texts):
             at = 0
-            if self.special is not None:
-                for m in self.special.finditer(text):
-                    if m.start() > at:
-                        parts.append(text[at : m.start()]), owner.append(i), ids.append(-1)
-                    parts.append(""), owner.append(i), ids.append(self.vocabulary.special[m.group()])
-                    at = m.end()
+            for m in self.special.finditer(text) if self.special is not None else ():
+                if m.start() > at:
+                    put(text[at : m.start()])
+                put("", self.vocabulary.special[m.group()])
+                at = m.end()
             if at < len(text):
-                parts.append(text[at:] if at else text), owner.append(i), ids.append(-1)
+                put(text[at:])
         found: list[list[np.ndarray]] = [[] for _ in texts]
         begin = 0
         while begin < len(parts):
@@ -352,7 +357,7 @@ class Encoder:
                 on = sizes[rows] > i
                 rows, node, state = rows[on], node[on], state[on]
         label_size = np.fromiter(map(len, self.vocabulary.labels), np.int64, self.vocabulary.size)
-        found, who, at = [], np.arange(n), sizes.copy()
+        who, at = np.arange(n), sizes.copy()
         pieces: list[tuple[np.ndarray, np.ndarray]] = []
         while len(who):
             token = last[who, at[who]]
@@ -364,8 +369,7 @@ class Encoder:
         order = np.argsort(owner, kind="stable")
         bounds = np.searchsorted(owner[order], np.arange(n + 1))
         tokens = tokens[order]
-        found = [tokens[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        return found
+        return [tokens[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
     def _long_word(self, word: bytes) -> np.ndarray:
         trie, automaton = self.trie, self.automaton

@@ -8,7 +8,7 @@ an empty result.
 from __future__ import annotations
 
 from itertools import combinations
-from math import ceil, log2
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +73,7 @@ def fingerprint(text: str, width: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(majority([xxhash.xxh64_digest(s, SEED) for s in shingles(text, width)], 8), "big")
 
 
-def check_bits(text: str, width: int) -> bytes:
+def check_fingerprint(text: str, width: int) -> bytes:
     """128 bits from the XXH3 of the shingles."""
     import xxhash
 
@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS, check_width: int |
     def rows(part):
         found = texts(part.column(1))
         fps = [fingerprint(t, width) for t in found]
-        more = [check_bits(t, check_width) for t in found] if check_width else [b""] * len(found)
+        more = [check_fingerprint(t, check_width) for t in found] if check_width else [b""] * len(found)
         return {
             "doc_id": part.column(0),
             "tag": part.column(2),
