@@ -21,7 +21,7 @@ from rolecast.session import materialize
 CAPACITY = 1024
 END_ID = 2
 #: Slices of one length for each shuffle partition, so that no task numbers all pieces of a frequent length.
-SLICES_PER_PARTITION = 4
+SLICES_PER_PARTITION = 1
 
 
 def token_pieces(
