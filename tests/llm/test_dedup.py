@@ -150,6 +150,48 @@ def test_check_bits_part_what_the_radius_joins(spark):
     assert {r.doc_id: r.component_id for r in sure} == {1: 1, 2: 1, 3: 3}
 
 
+def near_pairs(rows, least=0.8):
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    ids = sorted(sets)
+    near = lambda a, b: len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])
+    return {(a, b) for a in ids for b in ids if a < b and a // 10 == b // 10 and near(a, b)}
+
+
+@pytest.mark.parametrize("kind", ["block", "scattered"])
+def test_near_copies_by_their_similarity(spark, kind):
+    random.seed(11)
+    rows = []
+    for g in range(150):
+        base = [f"w{random.randrange(10**6)}" for _ in range(random.choice([60, 200, 400]))]
+        n = len(base)
+        edited = base.copy()
+        if kind == "block":  # from 0.85 down to below 0.8
+            size = int(n * random.uniform(0.07, 0.125))
+            at = random.randrange(n - size)
+            edited[at : at + size] = [f"x{random.randrange(10**6)}" for _ in range(size)]
+        else:
+            for _ in range(max(1, round(n * random.uniform(0.016, 0.024)))):
+                edited[random.randrange(n)] = f"x{random.randrange(10**6)}"
+        rows += [(10 * g, " ".join(base)), (10 * g + 1, " ".join(edited))]
+    wanted = near_pairs(rows)
+    assert 30 < len(wanted) < 140
+    found = {}
+    for r in simhash.like_copies(frame(spark, rows)).collect():
+        found.setdefault(r.component, []).append(r.doc_id)
+    assert {tuple(sorted(g)) for g in found.values() if len(g) > 1} == wanted
+
+
+def test_like_copies_of_odd_rows(spark):
+    docs = frame(spark)
+    found = simhash.like_copies(docs)
+    assert found.count() == len(ODD)
+    assert simhash.one_of_each(docs, found).where("text = '' or text is null").count() <= 1
+    assert simhash.like_copies(docs.limit(0)).count() == 0
+
+
 def test_one_of_each_group_stays(spark):
     docs = frame(spark)
     kept = simhash.one_of_each(docs, simhash.near_duplicates(docs))
