@@ -41,6 +41,18 @@ INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby s samp small span"
     " strike strong sub sup time tt u var wbr".split()
 )
+#: Elements that never have content.
+VOID = set("area base br col embed hr img input link meta param source track wbr basefont frame keygen".split())
+#: Elements that end an open element of these kinds by beginning, up to one of the kinds that hold them.
+ENDS = {x: {"li"} for x in ("li",)} | {x: {"dt", "dd"} for x in ("dt", "dd")} | {x: {"option"} for x in ("option", "optgroup")}
+ENDS |= {"tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+ENDS |= {x: {"thead", "tbody", "tfoot", "tr", "td", "th"} for x in ("thead", "tbody", "tfoot")}
+ENDS |= {
+    x: {"p"}
+    for x in "p address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
+    " header hr main menu nav ol pre section table ul".split()
+}
+HOLDS = set("ul ol menu dl table select datalist body article main section div aside nav footer header form button".split())
 #: Elements that text is written in.
 WRITING = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd figure figcaption".split())
 #: Weights without labelled pages: the classic balance of words and tags, and one for the tags of written text.
@@ -51,7 +63,8 @@ LEAST = 0.05
 _TAG = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{'|'.join(RAW)})\b{_TAG}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?:svg|math)(?=[\s/>]){_TAG}(?<=/)>|<(?:{'|'.join(RAW)})(?=[\s/>]){_TAG}(?<=[\"'\s]/)>"
+    rf"|<(?P<raw>{'|'.join(RAW)})(?=[\s/>]){_TAG}>.*?(?:</(?P=raw)\s*>|\Z)"
     rf"|<(?P<close>/?)(?P<name>[a-z][^\s/<>]*)(?P<rest>{_TAG})>"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|<[a-z/][^<>]*\Z",
@@ -93,7 +106,14 @@ class Page:
         self.spans: list[tuple[int, int]] = []  # tokens of content elements that lie in no other
         self.pieces: list[tuple[int, int, str]] = []  # token, block, text of pieces that may be content
         block = at = link = 0
-        apart, depth = "", 0  # the furniture element that is open, and how many of its name
+        apart, depth = "", 0  # the furniture element that is open, and how many elements hold it
+        held: list[str] = []  # the open elements
+        number: Counter = Counter()  # how many of each name they are
+
+        def end(size: int) -> None:
+            while len(held) > size:
+                number[held.pop()] -= 1
+
         content: list[tuple[str, int]] = []
 
         def text(until: int) -> None:
@@ -117,19 +137,30 @@ class Page:
                     self.sizes.append(1)
                 continue
             closing, rest, was_apart = bool(m["close"]), m["rest"], apart
-            if apart:
-                if closing and name == apart:
-                    depth -= 1
-                    if not depth:
-                        apart = ""
-                elif not closing and name in CONTENT and not content:
-                    apart = ""  # furniture that was never closed ends where the content begins
-                elif not closing and name == apart and not rest.endswith("/"):
-                    depth += 1
-            elif not closing and not rest.endswith("/") and set_apart(name, rest, bool(content)):
-                apart, depth = name, 1
+            empty = name in VOID or rest.endswith("/")
+            if closing:
+                if number[name]:
+                    i = len(held) - 1 - held[::-1].index(name)
+                    if name not in INLINE or all(x in INLINE for x in held[i + 1 :]):
+                        end(i)  # a misplaced </b> ends no block
+            elif name in ENDS and any(number[x] for x in ENDS[name]):
+                for i in range(len(held) - 1, -1, -1):
+                    if held[i] in ENDS[name]:
+                        end(i)
+                        if name != "tr" and name not in ("thead", "tbody", "tfoot"):
+                            break
+                    elif held[i] in HOLDS:
+                        break
+            if apart and (len(held) <= depth or not closing and name in CONTENT and not content):
+                apart = ""  # furniture that was never closed ends with its parent, or where the content begins
+                was_apart = "" if not closing else was_apart
+            if not apart and not closing and not empty and set_apart(name, rest, bool(content)):
+                apart, depth = name, len(held)
                 self.kinds.append("apart")
                 self.sizes.append(1)
+            if not closing and not empty:
+                held.append(name)
+                number[name] += 1
             if name in CONTENT and not apart:
                 if closing:
                     if content and content[-1][0] == name:

@@ -110,6 +110,29 @@ def test_main_text(spark):
     assert html_text.extract(pages(spark, []), html_text.fit(pages(spark, []))).count() == 0
 
 
+@pytest.mark.parametrize(
+    "odd",
+    [
+        '<img class="social-icon" src=x>',
+        '<hr class="footer-line">',
+        '<p><input class="search"></p>',
+        '<p class="notice">gone',
+        '<ul><li class="share">gone<li>Kept</ul>',
+        '<div><span class="share">gone</div>',
+        '<table><tr><td class="ad">gone<td>Kept</table>',
+        "<svg-icon></svg-icon>",
+        '<svg class="x" d="1"/>',
+        "<object-card></object-card>",
+    ],
+)
+def test_the_rest_of_a_page_stays(odd):
+    words = "Many words that are the text of the page. " * 5
+    for page in (f"<body><article><p>{words}</p>{odd}<p>Behind it. {words}</p></article>", f"<body><p>{words}</p>{odd}<p>Behind it. {words}</p>"):
+        text = html_text.Page(page).main_text(html_text.Weights({}))
+        assert "Behind it." in text and "gone" not in text
+        assert ("Kept" in odd) == ("Kept" in text)
+
+
 def test_without_labelled_pages(spark):
     found = html_text.extract(pages(spark, [PAGE]), html_text.fit(pages(spark, [PAGE]))).first()
     assert found.text == WANTED
