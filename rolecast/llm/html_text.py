@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from rolecast.llm.common import arrow_map, shipped, short_batches, slices, texts
 
 #: Elements whose content is no text at all.
-RAW = "script style noscript template iframe svg math object canvas title textarea select".split()
-#: Elements that are never part of an article, and words of a class, id or role that say the same.
+RAW = "script style noscript template iframe svg object canvas title textarea select annotation-xml annotation".split()
+#: Elements that are never part of an article, and words that say the same as a whole class, id or role.
 APART = set("nav aside form footer menu dialog button head".split())
 APART_NAMES = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside nav navbar"
@@ -30,6 +30,18 @@ APART_NAMES = set(
     " responses replies discussion disqus search pagination pager widget rail toolbar topbar copyright contentinfo"
     " complementary dialog".split()
 )
+#: Words that beside one of those leave a name what it says; beside any other, as in related-work, it names something else.
+BESIDE = set(
+    "area articles bar block blocks box button buttons column container content end form global group icon icons inline item"
+    " items left link links list main message page panel post posts primary reader right row section secondary site slot"
+    " sticky stories top unit user wrap wrapper".split()
+)
+#: Words that are also topics: an id is often the slug of a heading.
+TOPICS = set(
+    "search share sharing social related trending comment discussion responses replies respond notice notices alert ad ads"
+    " advertising copyright consent promotion sponsor login signup navigation".split()
+)
+HEADINGS = set("h1 h2 h3 h4 h5 h6 section p blockquote pre figure dl dt dd li".split())
 #: Names of page headers; others, as entry-header, belong to an article.
 HEADER_NAMES = {"header", "site-header", "top-header", "global-header"}
 #: Beside such a word a name tells what the page has or lacks, as in no-sidebar.
@@ -39,7 +51,8 @@ CONTENT = {"article", "main"}
 #: Elements that do not end a block.
 INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby s samp small span"
-    " strike strong sub sup time tt u var wbr".split()
+    " strike strong sub sup time tt u var wbr"
+    " math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace semantics".split()
 )
 #: Elements that never have content.
 VOID = set("area base br col embed hr img input link meta param source track wbr basefont frame keygen".split())
@@ -63,15 +76,15 @@ LEAST = 0.05
 _TAG = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?:svg|math)(?=[\s/>]){_TAG}(?<=/)>|<(?:{'|'.join(RAW)})(?=[\s/>]){_TAG}(?<=[\"'\s]/)>"
+    rf"|<svg(?=[\s/>]){_TAG}(?<=/)>|<(?:{'|'.join(RAW)})(?=[\s/>]){_TAG}(?<=[\"'\s]/)>"
     rf"|<(?P<raw>{'|'.join(RAW)})(?=[\s/>]){_TAG}>.*?(?:</(?P=raw)\s*>|\Z)"
     rf"|<(?P<close>/?)(?P<name>[a-z][^\s/<>]*)(?P<rest>{_TAG})>"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|<[a-z/][^<>]*\Z",
     re.S | re.I,
 )
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
@@ -81,15 +94,19 @@ def set_apart(name: str, rest: str, inside: bool) -> bool:
         return True
     if not rest or name in CONTENT and not inside or name in ("body", "html"):
         return False
-    if _HIDDEN.search(rest):
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(rest):
+        found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    if "hidden" in found or found.get("aria-hidden") == "true" or _UNSEEN.search(found.get("style", "")):
         return True
-    for m in _NAMED.finditer(rest):
-        for named in "".join(m.groups("")).lower().split():
-            if named in HEADER_NAMES and not inside:
-                return True
-            parts = set(_PARTS.split(named))
-            if not APART_NAMES.isdisjoint(parts) and NEGATIONS.isdisjoint(parts):
-                return True
+    # an id inside the content, or of a block of text, is the place of a link
+    by_id = [] if inside or name in HEADINGS else [x for x in found.get("id", "").split() if x not in TOPICS]
+    for named in [*found.get("class", "").split(), *found.get("role", "").split(), *by_id]:
+        if named in HEADER_NAMES and not inside:
+            return True
+        parts = {x for x in _PARTS.split(named) if x}
+        if not APART_NAMES.isdisjoint(parts) and parts <= APART_NAMES | BESIDE and NEGATIONS.isdisjoint(parts):
+            return True
     return False
 
 

@@ -133,6 +133,26 @@ def test_the_rest_of_a_page_stays(odd):
         assert ("Kept" in odd) == ("Kept" in text)
 
 
+@pytest.mark.parametrize(
+    "block",
+    [
+        '<h2 id="related-work">{}</h2>',
+        '<h2 id="how-to-share-data">{}</h2>',
+        '<section id="discussion"><p>{}</p></section>',
+        '<section id="social-impact"><p>{}</p></section>',
+        '<div class="search-engines">{}</div>',
+        '<p><a title="a hidden gem">{}</a></p>',
+        '<div class="row hidden md-block">{}</div>',
+        "<p><math><mi>{}</mi></math></p>",
+    ],
+)
+def test_blocks_of_an_article_stay(block):
+    words = "Many words that are the text of the page. " * 5
+    inner = f"<p>{words}</p>{block.format('This is kept.')}<p>{words}</p>"
+    for page in (f"<article>{inner}</article>", f"<body>{inner}</body>"):
+        assert "This is kept." in html_text.Page(page).main_text(html_text.Weights({}))
+
+
 def test_without_labelled_pages(spark):
     found = html_text.extract(pages(spark, [PAGE]), html_text.fit(pages(spark, [PAGE]))).first()
     assert found.text == WANTED
