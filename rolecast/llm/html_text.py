@@ -73,6 +73,14 @@ WORD, TAG, WRITING_TAG = 1.0, -3.25, -0.3
 #: Learned weights stay this far from zero, words above and tags below.
 LEAST = 0.05
 
+#: The names that are a kind of tag of their own, and the kind of all others.
+KNOWN = VOID | INLINE | WRITING | CONTENT | APART | HOLDS | set(RAW) | set(ENDS)
+KNOWN |= set(
+    "html body address applet area audio caption center colgroup datalist dir fieldset frameset hgroup legend map meter"
+    " noframes optgroup option output picture progress rp rt slot summary tbody td tfoot th thead video".split()
+)
+OTHER = "<other>"
+
 _TAG = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -110,6 +118,11 @@ def set_apart(name: str, rest: str, inside: bool) -> bool:
     return False
 
 
+def tag_kind(name: str) -> str:
+    """The kind of a tag; all names that are not HTML's or MathML's are one kind, so that kinds do not grow with pages."""
+    return f"<{name}>" if name in KNOWN else OTHER
+
+
 class Page:
     """A page as a sequence of words and tags: ``kinds[i]`` with ``sizes[i]`` words, 1 for a tag; and its blocks.
 
@@ -150,7 +163,7 @@ class Page:
             name = (m["name"] or m["raw"] or "").lower()
             if not m["name"]:
                 if name and not apart:
-                    self.kinds.append(f"<{name}>")
+                    self.kinds.append(tag_kind(name))
                     self.sizes.append(1)
                 continue
             closing, rest, was_apart = bool(m["close"]), m["rest"], apart
@@ -194,7 +207,7 @@ class Page:
                 block += 1
                 link = 0
             if not apart and not was_apart:
-                self.kinds.append(f"<{name}>")
+                self.kinds.append(tag_kind(name))
                 self.sizes.append(1)
         text(len(source))
         if content:
@@ -284,7 +297,7 @@ def fit(pages: DataFrame) -> Weights:
 
     short_batches(pages.sparkSession)
     counted = pages.select("html").mapInArrow(run, "kind string, within boolean, n long")
-    counted = counted.groupBy("kind", "within").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "kind").limit(10_000)
+    counted = counted.groupBy("kind", "within").agg(F.sum("n").alias("n"))
     return Weights({(r.kind, r.within): r.n for r in counted.collect()})
 
 

@@ -153,6 +153,14 @@ def test_blocks_of_an_article_stay(block):
         assert "This is kept." in html_text.Page(page).main_text(html_text.Weights({}))
 
 
+def test_every_count_of_made_up_tags_is_kept(spark):
+    sources = ["<article>" + "".join(f"<x-{i}-{k}>word</x-{i}-{k}>" for k in range(600)) + "</article><p>out</p>" for i in range(20)]
+    weights = html_text.fit(pages(spark, sources))
+    kinds = {k for k in weights.known if k[0] == "<"}
+    assert kinds == {"<other>", "<article>", "<p>"}
+    assert weights.known["<other>"] == -html_text.LEAST  # all of them were inside
+
+
 def test_without_labelled_pages(spark):
     found = html_text.extract(pages(spark, [PAGE]), html_text.fit(pages(spark, [PAGE]))).first()
     assert found.text == WANTED
