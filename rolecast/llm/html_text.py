@@ -134,6 +134,7 @@ class Page:
         self.kinds: list[str] = []
         self.sizes: list[int] = []
         self.spans: list[tuple[int, int]] = []  # tokens of content elements that lie in no other
+        self.inner: list[tuple[int, int]] = []  # and of all content elements
         self.pieces: list[tuple[int, int, str]] = []  # token, block, text of pieces that may be content
         block = at = link = 0
         apart, depth = "", 0  # the furniture element that is open, and how many elements hold it
@@ -195,6 +196,7 @@ class Page:
                 if closing:
                     if content and content[-1][0] == name:
                         first = content.pop()[1]
+                        self.inner.append((first, len(self.kinds)))
                         if not content:
                             self.spans.append((first, len(self.kinds)))
                 else:
@@ -212,6 +214,7 @@ class Page:
         text(len(source))
         if content:
             self.spans.append((content[0][1], len(self.kinds)))
+            self.inner += [(first, len(self.kinds)) for _, first in content]
 
     def best_run(self, weight) -> tuple[int, int]:
         """The run of tokens with the largest sum, by one scan; of equal ones the first."""
@@ -227,8 +230,8 @@ class Page:
     def main_text(self, weight) -> str:
         """Text of the best run, without furniture inside it.
 
-        If most of the run lies in one content element and is most of it, the
-        element's own bounds are taken.
+        If most of the run lies in a content element and is most of it, the
+        smallest such element's own bounds are taken.
         """
         low, high = self.best_run(weight)
         before = [0, *accumulate(n if k in ("w", "link") else 0 for k, n in zip(self.kinds, self.sizes, strict=True))]
@@ -236,7 +239,7 @@ class Page:
         def words(a: int, b: int) -> int:
             return before[b] - before[a]
 
-        for a, b in self.spans:
+        for a, b in sorted(self.inner, key=lambda x: x[1] - x[0]):
             both = words(max(a, low), min(b, high)) if max(a, low) < min(b, high) else 0
             if both and 2 * both >= words(low, high) and 2 * both >= words(a, b):
                 low, high = a, b

@@ -161,6 +161,12 @@ def test_every_count_of_made_up_tags_is_kept(spark):
     assert weights.known["<other>"] == -html_text.LEAST  # all of them were inside
 
 
+def test_the_innermost_content_bounds_the_text():
+    words = ("Words of the text. " * 30).strip()
+    page = f"<main><div class='col-3'><a>links here</a> <a>more links</a></div><article><h1>T</h1><p>{words}</p></article></main>"
+    assert html_text.Page(page).main_text(html_text.Weights({})) == f"T\n{words}"
+
+
 def test_without_labelled_pages(spark):
     found = html_text.extract(pages(spark, [PAGE]), html_text.fit(pages(spark, [PAGE]))).first()
     assert found.text == WANTED
