@@ -52,9 +52,11 @@ def parse_pages(pages: DataFrame, alternate: bool = False) -> DataFrame:
     )
 
 
-def once(pages: DataFrame) -> DataFrame:
-    """Landed pages without repeats of a page number; of copies that with the smallest hash of its payload stays.
+def once(pages: DataFrame, alternate: bool = False) -> DataFrame:
+    """Landed pages without repeats of a page number.
 
+    Of copies a readable one stays, of those one with the most items, and of
+    those that with the smallest hash of its payload.
     Only numbers move unless there are repeats, and then only the repeated pages.
     """
     keys = ["source", "page_no"]
@@ -64,8 +66,15 @@ def once(pages: DataFrame) -> DataFrame:
     others = lookup_join(pages, repeated, keys, spread_by="page_no", how="left_anti")
     again = lookup_join(pages, repeated, keys, spread_by="page_no", how="left_semi")
     rest = [c for c in pages.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.struct(F.xxhash64("payload"), "payload")).alias("_row")
-    return others.unionByName(again.groupBy(*keys).agg(first).select(*keys, "_row.*").select(*pages.columns))
+    pages.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    doc = parse_whole("payload")
+    items = F.expr(alternate_items(doc) if alternate else posting_items(doc))
+    rank = again.select(
+        "*", F.expr(doc).isNull().alias("_broken"), (-F.coalesce(F.size(items), F.lit(0))).alias("_fewer")
+    )
+    order = F.struct("_broken", "_fewer", F.xxhash64("payload"), "payload")
+    first = F.min_by(F.struct(*rest), order).alias("_row")
+    return others.unionByName(rank.groupBy(*keys).agg(first).select(*keys, "_row.*").select(*pages.columns))
 
 
 def unreadable_pages(parsed: DataFrame) -> DataFrame:

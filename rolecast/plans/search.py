@@ -92,7 +92,7 @@ def scan(landed: Landed, max_pages: int | None = None, page_size: int = PAGE_SIZ
     """
     found = []
     for part in by_kind(landed):
-        pages = parse_pages(once(part.pages), part.alternate)
+        pages = parse_pages(once(part.pages, part.alternate), part.alternate)
         cut = cut_at_total(pages, max_pages) if part.alternate else cut_at_short_page(pages, page_size, max_pages)
         items = with_site(summaries(cut), site_table(part.sites), spread_by="page_no")
         found.append(alternate_postings(items) if part.alternate else summary_postings(items))

@@ -222,3 +222,16 @@ def test_details_are_reduced_before_they_are_read(spark):
         below.append(line)
     assert below and not any(word in line for line in below for word in ("regexp", "parse_json", "lambda", "AS _p"))
     assert any("AS ld_title" in line for line in plan[:at])
+
+
+@pytest.mark.parametrize("alternate", [False, True])
+def test_of_copies_the_readable_one_stays(spark, alternate):
+    name = "positions" if alternate else "jobPostings"
+    rows, wanted = [], {}
+    for i in range(1, 31):
+        good = json.dumps({name: [{"title": f"t{i}"}, {"title": "u"}]})
+        wanted[i] = good
+        rows += [("s", i, good)] + [("s", i, bad) for bad in (f'{{"{name}": [', None, "", "null", json.dumps({name: []}))]
+    found = paging.once(spark.createDataFrame(rows, LIST_PAGE), alternate)
+    assert {r.page_no: r.payload for r in found.collect()} == wanted
+    assert found.count() == len(wanted)
