@@ -22,8 +22,6 @@ UNKNOWN = "und"
 ORDER = 4
 PAD = ORDER - 1
 BLANK = 32
-#: Most character sequences that a language's model keeps; beyond, the rarest go. Counts cover all rows.
-MODEL_GRAMS = 400_000
 #: Labelled rows for each language that scores and rejection are calibrated on instead of being counted, at most
 #: this share of them, and the length of their short cuts.
 CALIBRATION_ROWS = 400
@@ -126,7 +124,7 @@ def discount(counts: np.ndarray, ones: int | None = None, twos: int | None = Non
 class KneserNey:
     """One language's model. The longest sequences have their counts, shorter ones the number of their continuations."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, ones: int, twos: int):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, ones: int | None = None, twos: int | None = None):
         self.levels = []
         for order in range(ORDER, 0, -1):
             if order < ORDER:
@@ -156,7 +154,7 @@ class KneserNey:
 class Model:
     """All languages: the logarithms of every known sequence in one table, and the calibration."""
 
-    def __init__(self, counted: dict[str, tuple[np.ndarray, np.ndarray, int, int]]):
+    def __init__(self, counted: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.languages = sorted(counted)
         self.letters = letters()
         self.parts = [KneserNey(*counted[x]) for x in self.languages]
@@ -261,13 +259,13 @@ def count_grams(rows: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(labelled: DataFrame, model_grams: int = MODEL_GRAMS, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
+def fit(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
     """A model from all ``lang, text`` rows; None if there are none.
 
     Sequences are counted over all rows but those of the calibration, which are
     chosen by the hash of their text, about ``calibration_rows`` for a language.
-    At most ``model_grams`` sequences of a language, the most frequent, reach
-    the driver.
+    All of them reach the driver, one language after the other, so the model
+    grows with the different sequences of the input.
     """
     labelled = labelled.where("lang is not null and text is not null").select("lang", "text")
     sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
@@ -277,26 +275,12 @@ def fit(labelled: DataFrame, model_grams: int = MODEL_GRAMS, calibration_rows: i
         share = F.when(F.col("lang") == lang, int(part * 10_000_000)).otherwise(share)
     apart = F.pmod(F.xxhash64("text"), F.lit(10_000_000)) < share
     counted = materialize(count_grams(labelled.where(~apart)))
-    steps = F.floor(F.log2("n") * 16).cast("int").alias("step")
-    freedom = counted.groupBy("lang", steps).agg(F.count("*").alias("kinds"), F.min("n").alias("least")).collect()
-    cuts, ones, twos = {}, {}, {}
-    for lang in {r.lang for r in freedom}:
-        mine = sorted((r for r in freedom if r.lang == lang), key=lambda r: -r.step)
-        room, cuts[lang] = model_grams, mine[0].least
-        for r in mine:
-            room -= r.kinds
-            if room < 0:
-                break
-            cuts[lang] = r.least
-        ones[lang] = sum(r.kinds for r in mine if r.least == 1)
-        twos[lang] = sum(r.kinds for r in mine if r.least == 2)
-    if not cuts:
-        return None
     found = {}
-    for lang, cut in cuts.items():
-        rows = counted.where((F.col("lang") == lang) & (F.col("n") >= cut)).select("gram", "n").toArrow()
-        keys = rows.column(0).to_numpy().view(np.uint64)
-        found[lang] = keys, rows.column(1).to_numpy(), ones[lang], twos[lang]
+    for lang in sorted(r.lang for r in counted.select("lang").distinct().collect()):
+        rows = counted.where(F.col("lang") == lang).select("gram", "n").toArrow()
+        found[lang] = rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
+    if not found:
+        return None
     model = Model(found)
     drawn = labelled.where(apart & F.col("lang").isin(model.languages)).limit(2 * calibration_rows * len(sizes))
     model.calibrate([(r.text, r.lang) for r in drawn.collect()])

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -285,3 +286,12 @@ def test_quality_without_labels(spark):
     assert not model.fitted
     assert quality.accepted(docs, model).count() == sum(not plain_base(t)[5] for _, t in ODD)
     assert quality.assess(frame(spark, []), model).count() == 0
+
+
+def test_all_sequences_are_kept(spark):
+    random.seed(2)
+    rows = [(i, "".join(chr(random.randrange(0x4E00, 0x9F00)) for _ in range(5_000))) for i in range(100)]
+    learned = spark.createDataFrame([(t, "zh") for _, t in rows], "text string, lang string")
+    model = langid.fit(learned, calibration_rows=0)
+    wanted = {("   " + t)[k : k + 4] for _, t in rows for k in range(len(t))}
+    assert len(model.parts[0].levels[0][0].hashes) == len(wanted) > 400_000
