@@ -31,3 +31,21 @@ select doc_id, count(*) as n_lines,
            as kept_sha256
 from keyed left join often using (line_key) group by doc_id
 """
+
+ORACLES["op12_ranked_search"] = f"""
+with term_of as (
+    select doc_id, unnest(regexp_extract_all({FOLDED}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) as term from documents),
+asked as (
+    select item_id, unnest(regexp_extract_all({FOLDED}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) as term from benchmark),
+tf as (select doc_id, term, count(*) as tf from term_of group by all),
+n as (select doc_id, sum(tf)::bigint as n from tf group by doc_id),
+whole as (select count(*)::bigint as docs, sum(n)::bigint as terms from n),
+w as (
+    select term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::bigint as w
+    from tf, whole group by term),
+scored as (
+    select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::bigint as score
+    from asked join w using (term) join tf using (term) join n using (doc_id), whole group by item_id, doc_id)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+from scored where score > 0 qualify rank <= 10
+"""

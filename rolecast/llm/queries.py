@@ -17,6 +17,7 @@ from rolecast.llm import (
     line_dedup,
     packing,
     quality,
+    ranked_search,
     simhash,
     token_count,
 )
@@ -102,3 +103,8 @@ def op8_quality(spark, folder):
     docs = documents(spark, folder)
     model = quality.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     return quality.assess(docs, model)
+
+
+@query
+def op12_ranked_search(spark, folder):
+    return ranked_search.search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
