@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import pickle
 import string
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -57,6 +58,23 @@ def shipped(spark: SparkSession, value):
     return get
 
 
+@contextmanager
+def lent(spark: SparkSession, value) -> Iterator[Callable]:
+    """Like :func:`shipped` for results that are stored inside the block; nothing of the value stays anywhere after it."""
+    packed = spark.sparkContext.broadcast({"packed": cloudpickle.dumps(value)})
+
+    def get():
+        held = packed.value
+        if "value" not in held:
+            held["value"] = pickle.loads(held.pop("packed"))
+        return held["value"]
+
+    try:
+        yield get
+    finally:
+        packed.destroy()
+
+
 def texts(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 

@@ -49,3 +49,24 @@ scored as (
 select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
 from scored where score > 0 qualify rank <= 10
 """
+
+ORACLES["op13_hard_negatives"] = """
+with q as (
+    select vec_id, if(vec_id % 7 = 0, (label + 1) % 10, label) as label,
+           list_transform(embedding, lambda x: floor(256 * x::double)) as v
+    from embeddings
+    where label is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+    select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score
+    from q a join q b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+positives as (
+    select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id,
+       row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank,
+       vec_id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10
+"""

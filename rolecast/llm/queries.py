@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from rolecast.llm import (
     bpe,
+    chosen_path,
     exact_dedup,
+    hard_negatives,
     html_text,
     langid,
     licenses,
@@ -108,3 +110,15 @@ def op8_quality(spark, folder):
 @query
 def op12_ranked_search(spark, folder):
     return ranked_search.search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+@query
+def op13_hard_negatives(spark, folder):
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op11_chosen_path(spark, folder):
+    return chosen_path.near_duplicates(documents(spark, folder))
