@@ -226,7 +226,9 @@ def mine(
             continue
         place = {i: at for at, i in enumerate(ids.tolist())}
         at, positive, score = (np.array(x) for x in zip(*[(place[r.anchor_id], r.vec_id, r.score) for r in chosen], strict=True))
-        asked = (ids, labels, points, at, positive, score, -(-least * score // 100), most * score // 100)
+        whole = score.astype(object)  # the products may not fit
+        window = (x.astype(np.int64) for x in (-(-least * whole // 100), most * whole // 100))
+        asked = (ids, labels, points, at, positive, score, *window)
         far_ones = searched(tiles, asked, False, negatives, exact)
         best = top_per_group(far_ones, ["anchor_id", "positive_id"], [F.desc("score")], negatives, unique=["vec_id"], rank="rank")
         found = found.unionByName(
