@@ -1,7 +1,7 @@
 """Exact duplicates by a content sort, with DataFrame operations only.
 
-Null text counts as empty. Null ids rank below all others. Of rows that share
-both text and id exactly one is kept. An empty table gives an empty result.
+Null text counts as empty. A null id is kept only where a text has no other. Of
+rows that share both text and id exactly one is kept, so every text keeps one row. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -74,7 +74,8 @@ def exact_duplicates(
     largest = {"largest": True, "smallest": False}[keep]
     pick = F.max if largest else F.min
     dealt = content_buckets(docs, id_column, text_column).repartition("bucket")
-    order = F.col("rank").desc() if largest else F.col("rank").asc()
+    # in both modes a known id goes before a null one
+    order = F.col("rank").desc() if largest else F.col("doc_id").asc_nulls_last()
     run = Window.partitionBy("bucket", "head", "hash", "norm").orderBy(order)
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     runs = dealt.select(
