@@ -10,17 +10,16 @@ Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolecast.llm.common import SLICE_BYTES, arrow_map, short_batches
+from rolecast.llm.common import arrow_map
 from rolecast.llm.components import components
-from rolecast.llm.simhash import join_labels
+from rolecast.llm.linking import SMALL, candidate_groups, compared, confirmed, grown, marks, shingle_sets
 from rolecast.session import materialize
 
 WIDTH, PERCENT = 4, 80
@@ -28,18 +27,12 @@ WIDTH, PERCENT = 4, 80
 TOKENS, BLOCK = 64, 4
 #: A pair is compared by its sets if so many tokens agree: at the least similarity fewer do in 2 of 100,000 pairs.
 AGREE = 38
-#: Documents of a node that are compared one with another; a larger node branches.
-SMALL = 512
 #: Share of the pairs at the least similarity that all trees together may miss, at any depth.
 MISS = 0.001
 #: Trees of the first pass; the others see only nodes that it has not connected.
 FIRST_TREES = 2
 #: After so many levels a node that is still large is compared in blocks.
 LEVELS = 24
-#: Texts to be compared are found by a broadcast of at most so many rows of numbers.
-BROADCAST_ROWS = 250_000
-#: Rows that a task takes at a time, and words whose hash it remembers.
-HELD_ROWS, WORDS = 1 << 14, 200_000
 
 
 def trees(least: float, miss: float = MISS) -> int:
@@ -59,80 +52,45 @@ def trees(least: float, miss: float = MISS) -> int:
 # --- sets ---------------------------------------------------------------------------
 
 
-class _Words(dict):
-    """Hashes of words; forgets all when there are too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def shingle_set(text: str, words: _Words, width: int = WIDTH) -> np.ndarray:
-    """Sorted hashes of the different shingles of a text with A-Z lower-cased; of all words if they are fewer."""
-    found = text.encode().lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
-    width = min(width, len(found))
-    out = np.full(len(found) - width + 1, width, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(width):
-            out = out * _MIX + hashes[k : k + len(out)]
-        out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(out)
-
-
 def _family() -> tuple[np.ndarray, np.ndarray]:
     made = np.random.default_rng(11).integers(0, 2**64, (2, TOKENS), np.uint64, endpoint=False)
-    return made[0] | np.uint64(1), made[1]
+    return made[0][:, None] | np.uint64(1), made[1][:, None]
+
+
+TIMES, PLUS = _family()
 
 
 def minwise(hashes: np.ndarray) -> np.ndarray:
-    """The upper half of the least value of the set under each of TOKENS orders."""
-    times, plus = _family()
+    """TOKENS elements of the set, each the least under an order of its own, named by the lower half of its value there."""
     least = np.full(TOKENS, 2**64 - 1, np.uint64)
     with np.errstate(over="ignore"):
         for start in range(0, len(hashes), 1_024):
-            x = hashes[start : start + 1_024, None] * times + plus
-            x ^= x >> np.uint64(32)
-            x *= _MIX
-            np.minimum(least, x.min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-
-def marks() -> tuple[Column, Column]:
-    """128 bits that tell texts apart."""
-    return F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2")
+            x = TIMES * hashes[None, start : start + 1_024]
+            x += PLUS
+            np.minimum(least, x.min(axis=1), out=least)
+    return least.astype(np.uint32).view(np.int32)
 
 
 def sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``doc_id, t1, t2, n, key, sig``: for each row the size of its set, a hash of it, and its minwise tokens."""
-
-    words = _Words()
+    """``doc_id, t1, t2, n, key, sig, low``: for each row the size of its set, a hash of it, its minwise tokens, and a byte of each."""
 
     def rows(part):
         import xxhash
 
-        found = [shingle_set(t or "", words, width) for t in part.column(1).to_pylist()]
+        found = shingle_sets(part.column(1), width)
+        tokens = [minwise(x) if len(x) else None for x in found]
         return {
             "doc_id": part.column(0),
             "t1": part.column(2),
             "t2": part.column(3),
             "n": [len(x) for x in found],
             "key": [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in found],
-            "sig": [minwise(x) if len(x) else None for x in found],
+            "sig": tokens,
+            "low": [None if x is None else x.astype(np.uint8).tobytes() for x in tokens],
         }
 
     read = docs.select(F.col("doc_id").cast("long"), "text", *marks())
-    return arrow_map(read, rows, "doc_id long, t1 long, t2 long, n long, key binary, sig array<int>")
+    return arrow_map(read, rows, "doc_id long, t1 long, t2 long, n long, key binary, sig array<int>, low binary")
 
 
 # --- trees --------------------------------------------------------------------------
@@ -154,179 +112,41 @@ def children(rows: DataFrame, level: int) -> DataFrame:
     return rows.select("tree", F.explode(F.expr(both)).alias("path"), "id", "root")
 
 
-def runs(batches, hold: int, weigh=lambda batch: batch.num_rows) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches``, which are sorted by their first column, in pieces that no value of it is cut by."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        if sum(map(weigh, held)) < hold:
-            continue
-        whole = pa.concat_batches(held)
-        key = whole.column(0).to_numpy()
-        ended = np.flatnonzero(key != key[-1])
-        cut = int(ended[-1]) + 1 if len(ended) else 0
-        if cut:
-            yield whole.slice(0, cut)
-        held = [whole.slice(cut)]
-    if held:
-        yield pa.concat_batches(held)
-
-
-def candidate_groups(members: DataFrame, nodes: DataFrame, agree: int = AGREE) -> DataFrame:
-    """``cluster, id, root``: documents of a small node that may be near each other and are not connected yet.
-
-    ``members`` has ``node, id, root``. All pairs of a node are compared by their
-    tokens; a cluster is what the pairs that agree connect, and is named after
-    its members, so that the same cluster of several nodes is one.
-    """
-    schema = pa.schema([("cluster", pa.int64()), ("id", pa.int64()), ("root", pa.int64())])
-
-    def run(batches):
-        for part in runs(batches, HELD_ROWS):
-            node, ids, root = (part.column(i).to_numpy() for i in range(3))
-            sig = part.column(3).flatten().to_numpy().reshape(len(node), TOKENS)
-            label, at, step = np.arange(len(node)), np.arange(len(node)), 0
-            linked = np.zeros(len(node), bool)
-            while True:
-                step += 1
-                at = at[at + step < len(node)]
-                at = at[node[at] == node[at + step]]
-                if not len(at):
-                    break
-                for a in np.array_split(at, -(-len(at) // HELD_ROWS)):
-                    a = a[root[a] != root[a + step]]
-                    a = a[(sig[a] == sig[a + step]).sum(axis=1) >= agree]
-                    linked[a] = linked[a + step] = True
-                    label = join_labels(label, a, a + step)
-            kept = np.flatnonzero(linked)
-            with np.errstate(over="ignore"):
-                mixed = (ids[kept].astype(np.uint64) + np.uint64(1)) * _MIX
-                mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-                mixed ^= mixed >> np.uint64(30)
-                name = np.zeros(len(node), np.uint64)
-                np.add.at(name, label[kept], mixed)
-            columns = (name[label[kept]].view(np.int64), ids[kept], root[kept])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
-
-    short_batches(nodes.sparkSession)
-    joined = members.join(nodes.select("id", "sig"), "id").select("node", "id", "root", "sig")
-    dealt = joined.repartition("node").sortWithinPartitions("node")
-    found = dealt.mapInArrow(run, "cluster long, id long, root long")
-    return found.groupBy("cluster", "id").agg(F.min("root").alias("root"))
-
-
-def true_links(found: list[np.ndarray], label: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Places of sets whose similarity is at least ``percent``; one link for each two labels that come together."""
-    sizes = np.array([len(x) for x in found])
-    values, inverse, often = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(found)), sizes)[np.argsort(inverse, kind="stable")]
-    start = np.cumsum(often) - often
-    ends = np.cumsum(sizes)
-    links = []
-    for i in range(len(found)):
-        if (label == label[0]).all():
-            break
-        mine = inverse[ends[i] - sizes[i] : ends[i]]
-        mine = mine[often[mine] > 1]
-        count = often[mine]
-        at = np.repeat(start[mine] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        both = np.bincount(owner[at], minlength=len(found))
-        near = (100 * both >= percent * (sizes + sizes[i] - both)) & (label != label[i])
-        for j in np.flatnonzero(near).tolist():
-            if label[j] != label[i]:
-                links.append((i, j))
-                label[label == label[j]] = label[i]
-    return links
-
-
-def confirmed(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, percent: int, width: int) -> DataFrame:
-    """``a, b``: links inside the clusters by the whole sets, enough to connect what all such links connect."""
-    clusters = materialize(clusters)
-    texts = nodes.select("id", F.col("doc_id").alias("of"), F.col("t1").alias("h1"), F.col("t2").alias("h2"))
-    wanted = materialize(clusters.join(texts, "id"))
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    read = docs.select(F.col("doc_id").cast("long"), "text", *marks())
-    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2"))
-    held = read.join(few, same).select("cluster", "id", "root", "text")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    words = _Words()
-
-    def run(batches):
-        for part in runs(batches, SLICE_BYTES, lambda batch: batch.nbytes):
-            cluster, ids, root = (part.column(i).to_numpy() for i in range(3))
-            edges = [0, *(np.flatnonzero(np.diff(cluster)) + 1).tolist(), len(cluster)]
-            made, column = [], part.column(3)
-            for a, b in zip(edges, edges[1:], strict=False):
-                own, first = np.unique(ids[a:b], return_index=True)
-                sets_here = [shingle_set(column[a + i].as_py(), words, width) for i in first.tolist()]
-                label = np.unique(root[a:b][first], return_inverse=True)[1]
-                made += [(own[i], own[j]) for i, j in true_links(sets_here, label, percent)]
-            ends = np.array(made, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], schema=schema)
-
-    short_batches(docs.sparkSession)
-    dealt = held.repartition("cluster").sortWithinPartitions("cluster")
-    return materialize(dealt.mapInArrow(run, "a long, b long"))
-
-
-def grown(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
-    """``id, sig, root``: the documents with what the links connect them to."""
-    if links is None:
-        return nodes.select("id", "sig", F.col("id").alias("root"))
-    roots = components(links).withColumnRenamed("node", "id")
-    return materialize(nodes.select("id", "sig").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
-
-
-def small_nodes(large: DataFrame, small: int) -> DataFrame:
-    """``node, id, root``: a large node's documents in nodes of usual size, each with the node's first document.
-
-    A group of near copies is connected by this, however large; what it leaves
-    apart goes on to the next level.
-    """
-    n = F.ceil(F.col("n") / (small - 1)).alias("parts")
-    rows = large.select("path", "id", "root", "head", F.pmod(F.xxhash64("id"), n).alias("part"))
-    heads = large.where("id = head").select("path", "id", "root", F.explode(F.sequence(F.lit(0), n - 1)).alias("part"))
-    every = rows.where("id <> head").select("path", "id", "root", "part").unionByName(heads)
-    return every.select(F.xxhash64("path", "part").alias("node"), "id", "root")
+def tokens_of(columns: list[pa.Array]) -> np.ndarray:
+    """A byte of each token: two that differ agree in it once in 256 times."""
+    return np.frombuffer(b"".join(columns[0].to_pylist()), np.uint8).reshape(-1, TOKENS)
 
 
-def all_blocks(large: DataFrame, small: int) -> DataFrame:
-    """``node, id, root``: every two documents of a large node in a node of at most usual size."""
-    parts = F.ceil(F.col("n") / (small // 4)).alias("parts")
-    rows = large.select("path", "id", "root", parts).withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
-    both = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return both.select(F.xxhash64("path", F.least("part", "other"), F.greatest("part", "other")).alias("node"), "id", "root")
+def alike(sig: np.ndarray, a: np.ndarray, b: np.ndarray, agree: int) -> np.ndarray:
+    """Whether at least ``agree`` tokens of the documents a and b are the same."""
+    pieces = [(sig[x] == sig[y]).sum(axis=1) >= agree for x, y in zip(*(np.split(z, range(4_096, len(z), 4_096)) for z in (a, b)), strict=True)]
+    return np.concatenate(pieces)
 
 
 def near_links(
     docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, width: int = WIDTH, small: int = SMALL, agree: int = AGREE, levels: int = LEVELS
 ) -> DataFrame:
-    """``a, b``: links between ``nodes`` (``id, sig, doc_id, t1, t2``) with the components of all links."""
+    """``a, b``: links between ``nodes`` (``id, sig, low, doc_id, t1, t2``) with the components of all links."""
+
+    def candidates(members):
+        return candidate_groups(members, nodes, ["low"], tokens_of, lambda sig, a, b: alike(sig, a, b, agree))
+
+    def confirm(clusters):
+        return confirmed(docs, nodes, clusters, percent, width)
+
     links = None
     every = list(range(trees(percent / 100)))
     for some in (every[:FIRST_TREES], every[FIRST_TREES:]):
-        known = grown(nodes, links)
+        known = grown(nodes, links, "sig")
         roots = known.withColumn("tree", F.explode(F.array(*map(F.lit, some)))).withColumn("path", F.xxhash64("tree"))
         rows = children(roots, 0)
         for level in range(1, levels + 1):
-            rows = materialize(rows)
-            sizes = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("id").alias("head"), F.min("root").alias("low"), F.max("root").alias("high"))
-            mixed = materialize(sizes.where("low <> high").select("path", "n", "head"))
-            members = rows.join(mixed.where(F.col("n") <= small).select("path"), "path").select(F.col("path").alias("node"), "id", "root")
-            branching = mixed.where(F.col("n") > small)
-            last = branching.isEmpty()
-            if not last:
-                large = rows.join(branching, "path")
-                more = all_blocks(large, small) if level == levels else small_nodes(large, small)
-                members = members.unionByName(more)
-            found = confirmed(docs, nodes, candidate_groups(members, nodes, agree), percent, width)
-            links = found if links is None else links.unionByName(found)
-            if last:
+            found = compared(rows, candidates, confirm, small, whole=level == levels)
+            links = found.links if links is None else links.unionByName(found.links)
+            if level == levels or found.large.isEmpty():
                 break
-            known = grown(nodes, links)
-            below = rows.drop("root").join(branching.select("path"), "path").join(known, "id")
+            known = grown(nodes, links, "sig")
+            below = found.rows.drop("root").join(found.large.select("path"), "path").join(known, "id")
             rows = children(below, level)
     return links
 
@@ -341,7 +161,7 @@ def near_duplicates(
     whole sets. ``component_id`` is the smallest id reachable.
     """
     stored = materialize(sets(docs, width))
-    first = F.min_by(F.struct("doc_id", "t1", "t2", "sig"), F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2"))
+    first = F.min_by(F.struct("doc_id", "t1", "t2", "sig", "low"), F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2"))
     nodes = stored.where("key is not null").groupBy("key").agg(first.alias("_row"), F.min("doc_id").alias("least"))
     nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("id"), "key", "least", "_row.*"))
     roots = materialize(components(near_links(docs, nodes, percent, width, small, agree, levels)))

@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolecast.llm.common import arrow_map, short_batches, texts
+from rolecast.llm.common import arrow_map, texts
 from rolecast.llm.components import components
+from rolecast.llm.linking import SMALL, candidate_groups, compared, confirmed, grown, join_labels, marks, shingle_sets
 from rolecast.session import materialize
 
 SHINGLE_WORDS = 3
@@ -30,16 +31,16 @@ SHARD_ROWS = 4_096
 HELD_ROWS = 1 << 16
 #: Tree visits held at a time in a task.
 VISITS = 1 << 19
-#: Texts to be compared are found by a broadcast of at most so many numbers.
-BROADCAST_ROWS = 100_000
 
-#: Texts are near copies if the Jaccard similarity of their sets of five-word shingles is at least this.
-LIKE_WIDTH, LIKE_LEAST = 5, 0.8
+#: Texts are near copies if the Jaccard similarity of their sets of five-word shingles is at least so many hundredths.
+LIKE_WIDTH, LIKE_PERCENT = 5, 80
 #: Share of the pairs at exactly that similarity that no band of their fingerprints may bring together.
 LIKE_MISS = 0.001
 #: A bit of the fingerprints of two such sets differs with this probability at most: acos(2s / (1 + s)) / pi = 0.151
 #: for large sets, 3/16 for one of four shingles and one of five. It depends on the sets only, not on where they differ.
 LIKE_DIFFERS = 3 / 16
+#: Bands that are looked at first.
+FIRST_BANDS = 4
 #: Of 128 further bits so many may differ before a pair is compared: 24 do on average at most, with a deviation of 4.4.
 LIKE_CHECK_BITS = 42
 
@@ -217,17 +218,6 @@ class ShardTrees:
                 stack.append((np.repeat(q, count), self.child[start + np.arange(total)]))
 
 
-def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """``label[i]``: the smallest index connected with i, once the links a-b are added to the labels."""
-    while True:
-        la, lb = label[a], label[b]
-        if (la == lb).all():
-            return label
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-        while (label[label] != label).any():
-            label = label[label]
-
-
 def shard_links(shard: np.ndarray, node: np.ndarray, radius: int, check_bits: int | None):
     """For each node that is linked inside its shard: its place, and that of the first of its component there."""
     words = node.view(">u8").astype(np.uint64)
@@ -322,13 +312,6 @@ def like_bands(rows: int, usual: int = USUAL_ROWS) -> tuple[int, int]:
     return bits, ceil(log(LIKE_MISS) / log(1 - (1 - LIKE_DIFFERS) ** bits))
 
 
-def shingle_set(text: str, width: int = LIKE_WIDTH) -> np.ndarray:
-    """The different shingles as sorted hashes."""
-    import xxhash
-
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, width)], np.uint64))
-
-
 def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
     """``64 * words`` bits as 0 and 1: each is 1 if more than half of the shingles have it in their hash."""
     with np.errstate(over="ignore"):
@@ -343,100 +326,75 @@ def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
     return (2 * ones > len(hashes)).astype(np.uint8)
 
 
-def like_nodes(docs: DataFrame, bits: int, bands: int) -> DataFrame:
-    """``doc_id, tag, node, c1, c2, keys``: a hash of the text and of its set, the check bits, and the bands' keys."""
+def like_rows(docs: DataFrame, bits: int, bands: int) -> DataFrame:
+    """``doc_id, t1, t2, key, c1, c2, keys``: for each row a hash of its set, the check bits, and the bands' keys."""
     weights = 1 << np.arange(bits, dtype=np.int64)
 
     def rows(part):
         import xxhash
 
-        node, checks, keys = [], [], []
-        for text in texts(part.column(1)):
-            hashes = shingle_set(text)
+        key, checks, keys = [], [], []
+        for hashes in shingle_sets(part.column(1), LIKE_WIDTH):
             found = wide_fingerprint(hashes, 2 + -(-bits * bands // 64))
-            node.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+            key.append(xxhash.xxh3_128_digest(hashes.tobytes()))
             checks.append(np.packbits(found[:128]))
             keys.append((np.arange(bands) << 32) + found[128 : 128 + bits * bands].reshape(bands, bits) @ weights)
         checks = np.array(checks, np.uint8).reshape(-1, 16).view(np.int64)
         return {
             "doc_id": part.column(0),
-            "tag": part.column(2),
-            "node": np.array(node, np.uint64).view(np.int64),
+            "t1": part.column(2),
+            "t2": part.column(3),
+            "key": key,
             "c1": np.ascontiguousarray(checks[:, 0]),
             "c2": np.ascontiguousarray(checks[:, 1]),
             "keys": [k.tolist() for k in keys],
         }
 
-    read = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tag"))
-    return arrow_map(read, rows, "doc_id long, tag long, node long, c1 long, c2 long, keys array<long>")
-
-
-def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs of nodes ``a, b`` whose sets have a Jaccard similarity of ``least`` or more, by the texts themselves."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "tag"), "node")
-    wanted = materialize(wanted)
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    found = docs.select(F.xxhash64("text").alias("tag"), "text").join(few, "tag").groupBy("node").agg(F.first("text").alias("text"))
-    schema = "node long, hashes binary"
-    held = materialize(
-        arrow_map(
-            found,
-            lambda part: {"node": part.column(0), "hashes": [shingle_set(t).tobytes() for t in texts(part.column(1))]},
-            schema,
-        )
-    )
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    read = docs.select(F.col("doc_id").cast("long"), "text", *marks())
+    return arrow_map(read, rows, "doc_id long, t1 long, t2 long, key binary, c1 long, c2 long, keys array<long>")
 
-    def run(batches):
-        for batch in batches:
-            stay = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                stay.append(both >= least * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=out).filter(pa.array(stay, pa.bool_()))
-
-    short_batches(docs.sparkSession)
-    joined = pairs.join(held.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-    joined = joined.join(held.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    return materialize(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
-
-
-def like_copies(docs: DataFrame, least: float = LIKE_LEAST) -> DataFrame:
-    """``doc_id, tag, component`` for each row: texts are linked if their shingle sets have a similarity of ``least``.
-
-    Pairs that agree in a band of bits and in most of the check bits are compared
-    by their sets, so no pair below ``least`` is linked; LIKE_MISS is the share of
-    those at LIKE_LEAST that is lost, and above it is less. Pairs that are already
-    connected are not compared. Texts with the same set are one node.
+
+def check_words(columns: list[pa.Array]) -> np.ndarray:
+    return np.stack([c.to_numpy().view(np.uint64) for c in columns], axis=1)
+
+
+def like_copies(docs: DataFrame, percent: int = LIKE_PERCENT, small: int = SMALL) -> DataFrame:
+    """``doc_id, tag, component`` for each row: texts are linked if their shingle sets have a similarity of ``percent``.
+
+    Texts that share a band are compared by the check bits, and those that
+    differ in few of them by their sets, so no pair below ``percent`` is linked;
+    LIKE_MISS is the share of those at LIKE_PERCENT that is lost, and above it is
+    less. The first bands connect most copies; the others see only bands that
+    hold texts not connected yet. Texts with the same set are one node.
     """
     bits, bands = like_bands(docs.count())
-    stored = materialize(like_nodes(docs, bits, bands))
-    # the rest of a row follows from its node
-    nodes = materialize(stored.groupBy("node", "c1", "c2", "keys").agg(F.min("tag").alias("tag")))
-    rows = nodes.select("node", "c1", "c2", F.explode("keys").alias("key"))
-
-    def near(x: str, y: str) -> Column:
-        differ = [F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in ("c1", "c2")]
-        return differ[0] + differ[1] <= LIKE_CHECK_BITS
-
-    def ends(x: str, y: str) -> tuple[Column, Column]:
-        return F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b")
-
-    # with the first of its band only, which connects a large group of copies without all of its pairs
-    heads = materialize(rows.groupBy("key").agg(F.min(F.struct("node", "c1", "c2")).alias("y")).select("key", "y.*"))
-    met = rows.alias("x").join(heads.alias("y"), "key").where((F.col("x.node") != F.col("y.node")) & near("x", "y"))
-    tried = materialize(met.select(*ends("x", "y")).distinct())
-    linked = alike(docs, nodes, tried, least)
-    roots = materialize(components(linked))
-    known = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = materialize(known.select("node", "root", "c1", "c2", "keys")).select("node", "root", "c1", "c2", F.explode("keys").alias("key"))
-    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    met = rows.alias("x").join(rows.alias("y"), "key").where(apart & near("x", "y")).select(*ends("x", "y")).distinct()
-    more = alike(docs, nodes, materialize(met.join(tried, ["a", "b"], "left_anti")), least)
-    roots = materialize(components(linked.unionByName(more)))
-    named = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
-    return stored.select("doc_id", "tag", "node").join(materialize(named), "node").select("doc_id", "tag", "component")
+    stored = materialize(like_rows(docs, bits, bands))
+    first = F.min_by(F.struct("doc_id", "t1", "t2", "c1", "c2", "keys"), F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2"))
+    nodes = stored.groupBy("key").agg(first.alias("_row"))
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("id"), "key", "_row.*"))
+
+    def near(checks, a, b):
+        return np.bitwise_count(checks[a] ^ checks[b]).sum(axis=1, dtype=np.int64) <= LIKE_CHECK_BITS
+
+    def candidates(members):
+        return candidate_groups(members, nodes, ["c1", "c2"], check_words, near)
+
+    def confirm(clusters):
+        return confirmed(docs, nodes, clusters, percent, LIKE_WIDTH)
+
+    links = None
+    for start, number in ((0, FIRST_BANDS), (FIRST_BANDS, bands - FIRST_BANDS)):
+        known = grown(nodes, links, "keys")
+        rows = known.select("id", "root", F.explode(F.slice("keys", start + 1, number)).alias("path"))
+        found = compared(rows, candidates, confirm, small)
+        links = found.links if links is None else links.unionByName(found.links)
+        if not found.large.isEmpty():
+            # what its first document and its part have not connected
+            rest = found.rows.drop("root").join(found.large.select("path"), "path").join(grown(nodes, links), "id")
+            links = links.unionByName(compared(rest, candidates, confirm, small, whole=True).links)
+    roots = components(links).withColumnRenamed("node", "id")
+    named = nodes.select("id", "key").join(roots, "id", "left").select("key", F.coalesce("root", "id").alias("component"))
+    return stored.select("doc_id", F.col("t1").alias("tag"), "key").join(materialize(named), "key").select("doc_id", "tag", "component")
 
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:

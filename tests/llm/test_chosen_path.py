@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rolecast.llm import chosen_path
+from rolecast.llm import chosen_path, linking
 from tests.llm.cases import ODD, fold, frame
 
 
@@ -68,7 +68,7 @@ def test_words_in_a_row_that_are_fewer_than_a_shingle(spark):
     assert order(chosen_path.near_duplicates(frame(spark, rows)).collect()) == order(plain_components(rows))
 
 
-@pytest.mark.parametrize("small", [8, 512])
+@pytest.mark.parametrize("small", [12, 4096])
 def test_links_of_edited_copies(spark, small):
     rng = random.Random(small)
     rows = []
@@ -81,7 +81,7 @@ def test_links_of_edited_copies(spark, small):
         chain = chain[5:] + [f"d{i}-{k}" for k in range(5)]
     passage = " ".join(f"shared{i}" for i in range(60))
     rows += [(60_000 + i, passage + " " + " ".join(f"own{i}-{k}" for k in range(rng.choice([20, 60, 200])))) for i in range(60)]
-    got = chosen_path.near_duplicates(frame(spark, rows), small=small).collect()
+    got = chosen_path.near_duplicates(frame(spark, rows), small=small, levels=3).collect()
     assert order(got) == order(plain_components(rows))
 
 
@@ -104,25 +104,20 @@ def test_recall_at_the_least_similarity(spark):
 
 
 @pytest.mark.parametrize("share", [0.03, 0.13])
-def test_pairs_compared_grow_with_the_group(spark, share):
-    """One group of near copies, or of texts that are just too far from each other, larger than a node may be."""
-    made = []
-    for n in (100, 200, 400):
-        rng = random.Random(n)
-        base = [f"w{i}" for i in range(150)]
-        rows = [(i, " ".join(edited(base, share, rng))) for i in range(n)]
-        docs = frame(spark, rows, False)
-        got = chosen_path.near_duplicates(docs, small=32).collect()
-        want = plain_components(rows)
-        same = sum(a == b for a, b in zip(order(got), order(want), strict=True))
-        assert same >= 0.97 * n
-        made.append(n)
+def test_a_group_that_is_larger_than_a_node(spark, share):
+    """Near copies, or texts that are just too far from each other: the trees part them, the blocks take the rest."""
+    rng = random.Random(share)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(edited(base, share, rng))) for i in range(300)]
+    got = chosen_path.near_duplicates(frame(spark, rows, False), small=64, levels=3).collect()
+    same = sum(a == b for a, b in zip(order(got), order(plain_components(rows)), strict=True))
+    assert same >= 0.97 * 300
 
 
 def test_no_pair_of_a_block_is_left_out(spark):
     rows = [(p, i, i, 300, 0) for p in (1, 2) for i in range(300)]
     large = spark.createDataFrame(rows, "path long, id long, root long, n long, head long")
-    nodes = chosen_path.all_blocks(large, 32)
+    nodes = linking.all_blocks(large, 32)
     assert nodes.groupBy("node").count().agg(F.max("count")).first()[0] <= 32 + 24
     met = nodes.alias("x").join(nodes.alias("y"), "node").where("x.id < y.id").select("x.id", F.col("y.id").alias("o")).distinct()
     assert met.count() == 300 * 299 // 2
