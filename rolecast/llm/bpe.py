@@ -24,8 +24,8 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 LETTER, NUMBER, OTHER, BLANK = 1, 2, 3, 4
 #: Longer words, in bytes, are encoded one by one, in time in proportion to their length.
 LONG_WORD = 48
-#: Words that a task remembers.
-CACHE_WORDS = 300_000
+#: Characters of different words that a task remembers; longer words than LONG_WORD are not remembered.
+CACHE_CHARS = 6_000_000
 #: Characters worked on at a time.
 CHUNK = 1 << 19
 
@@ -196,6 +196,56 @@ def word_starts(points: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return start
 
 
+class Spellings:
+    """Numbers for words, found by a hash and compared letter by letter.
+
+    The hashes are in two sorted runs, of which the short one takes what is new.
+    """
+
+    def __init__(self):
+        self.runs = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2)]
+        self.points = np.zeros(0, np.uint32)
+        self.starts = np.zeros(1, np.int64)
+
+    def find(self, keys: np.ndarray, points: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each word (``sizes`` points from ``at``), -1 for those that are not known; whose hash is taken."""
+        number = np.full(len(keys), -1, np.int64)
+        for hashes, numbers in self.runs:
+            if len(hashes):
+                place = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
+                hit = hashes[place] == keys
+                number[hit] = numbers[place[hit]]
+        known, taken = np.flatnonzero(number >= 0), number >= 0
+        begin = self.starts[number[known]]
+        odd = self.starts[number[known] + 1] - begin != sizes[known]
+        number[known[odd]] = -1
+        known, begin = known[~odd], begin[~odd]
+        n = sizes[known]
+        if n.sum():
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            same = points[np.repeat(at[known], n) + step] == self.points[np.repeat(begin, n) + step]
+            number[known[~np.logical_and.reduceat(same, np.cumsum(n) - n)]] = -1
+        return number, taken & (number < 0)
+
+    def add(self, keys: np.ndarray, taken: np.ndarray, points: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember words under the next numbers, in order; one whose hash is taken is never found."""
+        base = len(self.starts) - 1
+        step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.points = np.concatenate([self.points, points[np.repeat(at, sizes) + step]])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        fresh, numbers = keys[~taken], base + np.flatnonzero(~taken)
+        long, short = self.runs
+        short = tuple(np.concatenate(x) for x in zip(short, (fresh, numbers), strict=True))
+        if len(short[0]) > len(long[0]) // 8:
+            long, short = tuple(np.concatenate(x) for x in zip(long, short, strict=True)), tuple(x[:0] for x in short)
+            order = np.argsort(long[0], kind="stable")
+            long = tuple(x[order] for x in long)
+        else:
+            order = np.argsort(short[0], kind="stable")
+            short = tuple(x[order] for x in short)
+        self.runs = [long, short]
+
+
 class Encoder:
     """Encodes and decodes texts; made once from a tokenizer file and broadcast."""
 
@@ -216,7 +266,7 @@ class Encoder:
         self._reset()
 
     def _reset(self):
-        self._known: dict[str, int] = {}
+        self._known = Spellings()
         self._ids = np.zeros(0, np.int32)
         self._offsets = np.zeros(1, np.int64)
         self._powers = None
@@ -266,21 +316,20 @@ class Encoder:
         sizes = np.diff(starts, append=len(points))
         real = kinds[starts] != 0
         starts, sizes = starts[real], sizes[real]
-        inverse, first = self._distinct(points, kinds, starts, sizes)
-        words = [text[s : s + n] for s, n in zip(starts[first].tolist(), sizes[first].tolist(), strict=True)]
-        number = self._numbers(words)[inverse]
-        lengths = self._offsets[number + 1] - self._offsets[number]
+        inverse, first, keys = self._distinct(points, kinds, starts, sizes)
+        begin, lengths, store = self._places(text, points, starts[first], sizes[first], keys)
+        begin, lengths = begin[inverse], lengths[inverse]
         ends = np.cumsum(lengths)
-        shift = np.repeat((self._offsets[number] - ends + lengths).astype(np.int32), lengths)
-        flat = self._ids[shift + np.arange(len(shift), dtype=np.int32)]
+        shift = np.repeat((begin - ends + lengths).astype(np.int32), lengths)
+        flat = store[shift + np.arange(len(shift), dtype=np.int32)]
         edges = np.searchsorted(starts, gaps)
         bounds = np.concatenate([[0], ends])[edges]
         return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def _distinct(self, points: np.ndarray, kinds: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
-        """For each word the number of its spelling, and where each spelling occurs first."""
+        """For each word the number of its spelling; where each spelling occurs first; and its hash."""
         if not len(starts):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         if self._powers is None or len(self._powers[0]) < len(points) + 1:
             step = np.full(max(len(points) + 1, CHUNK + 2), 0x9E3779B97F4A7C15, np.uint64)
             back = np.full(len(step), pow(0x9E3779B97F4A7C15, -1, 2**64), np.uint64)
@@ -291,7 +340,7 @@ class Encoder:
         sums = np.zeros(len(points) + 1, np.uint64)
         np.cumsum(mixed * self._powers[0][: len(points)], out=sums[1:])
         value = (sums[starts + sizes] - sums[starts]) * self._powers[1][starts] * np.uint64(2) + sizes.astype(np.uint64)
-        _, first, inverse = np.unique(value, return_index=True, return_inverse=True)
+        keys, first, inverse = np.unique(value, return_index=True, return_inverse=True)
         # equal sums must be equal words
         away = np.repeat((starts[first][inverse] - starts).astype(np.int32), sizes)
         places = np.flatnonzero(kinds).astype(np.int32)
@@ -301,24 +350,38 @@ class Encoder:
             spelt = [points[s : s + n].tobytes() for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
             inverse = np.array([seen.setdefault(x, len(seen)) for x in spelt])
             first = np.unique(inverse, return_index=True)[1]
-        return inverse, first
+            keys = value[first]
+        return inverse, first, keys
 
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        if len(self._known) + len(words) > CACHE_WORDS:
+    def _places(self, text: str, points: np.ndarray, at: np.ndarray, sizes: np.ndarray, keys: np.ndarray):
+        """Where the ids of each word begin in an array of ids, how many they are, and the array."""
+        if len(self._known.points) > CACHE_CHARS:
             powers = self._powers
             self._reset()
             self._powers = powers
-        known = self._known
-        new = [w for w in words if w not in known]
-        if new:
-            coded = [w.encode("utf-8", "surrogatepass") for w in new]
-            ids = self.encode_words(coded)
-            base = len(known)
-            known.update(zip(new, range(base, base + len(new)), strict=True))
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            self._ids = np.concatenate([self._ids, *ids])
-            self._offsets = np.concatenate([self._offsets, self._offsets[-1] + np.cumsum(lengths)])
-        return np.fromiter((known[w] for w in words), np.int64, len(words))
+        number, taken = self._known.find(keys, points, at, sizes)
+        new = np.flatnonzero(number < 0)
+        kept = sizes[new] <= LONG_WORD
+        # those that are remembered first
+        new = np.concatenate([new[kept], new[~kept]])
+        kept = int(kept.sum())
+        ids = self.encode_words([text[s : s + n].encode("utf-8", "surrogatepass") for s, n in zip(at[new].tolist(), sizes[new].tolist(), strict=True)])
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        if kept:
+            self._known.add(keys[new[:kept]], taken[new[:kept]], points, at[new[:kept]], sizes[new[:kept]])
+            number[new[:kept]] = len(self._offsets) - 1 + np.arange(kept)
+            self._ids = np.concatenate([self._ids, *ids[:kept]])
+            self._offsets = np.concatenate([self._offsets, self._offsets[-1] + np.cumsum(lengths[:kept])])
+        begin, many = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        known = np.flatnonzero(number >= 0)
+        begin[known] = self._offsets[number[known]]
+        many[known] = self._offsets[number[known] + 1] - begin[known]
+        store, rest = self._ids, new[kept:]
+        if len(rest):
+            store = np.concatenate([store, *ids[kept:]])
+            many[rest] = lengths[kept:]
+            begin[rest] = len(self._ids) + np.cumsum(many[rest]) - many[rest]
+        return begin, many, store
 
     def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word: the one path of the automaton that spells it."""

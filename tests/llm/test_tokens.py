@@ -40,7 +40,7 @@ def test_ids_equal_the_library(library, coder):
 
 
 def test_a_small_cache_changes_nothing(library, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_WORDS", 50)
+    monkeypatch.setattr(bpe, "CACHE_CHARS", 250)
     monkeypatch.setattr(bpe, "CHUNK", 100)
     coder = bpe.encoder(BPE)
     texts = random_texts(300)
