@@ -18,8 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolecast.llm.common import arrow_map
-from rolecast.llm.components import components
-from rolecast.llm.linking import SMALL, candidate_groups, compared, confirmed, grown, marks, shingle_sets
+from rolecast.llm.linking import SMALL, candidate_groups, compared, confirmed, grown, joined_roots, marks, shingle_sets
 from rolecast.session import materialize
 
 WIDTH, PERCENT = 4, 80
@@ -123,10 +122,10 @@ def alike(sig: np.ndarray, a: np.ndarray, b: np.ndarray, agree: int) -> np.ndarr
     return np.concatenate(pieces)
 
 
-def near_links(
+def near_roots(
     docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, width: int = WIDTH, small: int = SMALL, agree: int = AGREE, levels: int = LEVELS
-) -> DataFrame:
-    """``a, b``: links between ``nodes`` (``id, sig, low, doc_id, t1, t2``) with the components of all links."""
+) -> DataFrame | None:
+    """``node, root`` of the ``nodes`` (``id, sig, low, doc_id, t1, t2``) that are linked; None if none is."""
 
     def candidates(members):
         return candidate_groups(members, nodes, ["low"], tokens_of, lambda sig, a, b: alike(sig, a, b, agree))
@@ -134,21 +133,20 @@ def near_links(
     def confirm(clusters):
         return confirmed(docs, nodes, clusters, percent, width)
 
-    links = None
+    roots = None
     every = list(range(trees(percent / 100)))
     for some in (every[:FIRST_TREES], every[FIRST_TREES:]):
-        known = grown(nodes, links, "sig")
-        roots = known.withColumn("tree", F.explode(F.array(*map(F.lit, some)))).withColumn("path", F.xxhash64("tree"))
-        rows = children(roots, 0)
+        known = grown(nodes, roots, "sig")
+        known = known.withColumn("tree", F.explode(F.array(*map(F.lit, some)))).withColumn("path", F.xxhash64("tree"))
+        rows = children(known, 0)
         for level in range(1, levels + 1):
             found = compared(rows, candidates, confirm, small, whole=level == levels)
-            links = found.links if links is None else links.unionByName(found.links)
+            roots = joined_roots(roots, found.links)
             if level == levels or found.large.isEmpty():
                 break
-            known = grown(nodes, links, "sig")
-            below = found.rows.drop("root").join(found.large.select("path"), "path").join(known, "id")
+            below = found.rows.drop("root").join(found.large.select("path"), "path").join(grown(nodes, roots, "sig"), "id")
             rows = children(below, level)
-    return links
+    return roots
 
 
 def near_duplicates(
@@ -164,9 +162,7 @@ def near_duplicates(
     first = F.min_by(F.struct("doc_id", "t1", "t2", "sig", "low"), F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2"))
     nodes = stored.where("key is not null").groupBy("key").agg(first.alias("_row"), F.min("doc_id").alias("least"))
     nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("id"), "key", "least", "_row.*"))
-    roots = materialize(components(near_links(docs, nodes, percent, width, small, agree, levels)))
-    member = nodes.select("id", "key", "least").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    member = member.withColumn("root", F.coalesce("root", "id"))
+    member = grown(nodes, near_roots(docs, nodes, percent, width, small, agree, levels), "key", "least")
     low = member.groupBy("root").agg(F.min("least").alias("component_id"))
     # both sides are read from files, so that a partition with very many copies of a set can be split
     named = materialize(member.join(low, "root").select("key", "component_id"))

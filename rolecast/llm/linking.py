@@ -21,7 +21,7 @@ from rolecast.session import materialize
 
 #: Documents of a group that are compared one with another; a larger group is taken in parts.
 SMALL = 4_096
-#: Texts to be compared are found by a broadcast of at most so many rows of numbers.
+#: Tables of numbers up to so many rows are broadcast: roots, and the texts to be compared.
 BROADCAST_ROWS = 250_000
 #: Rows that a task takes at a time, and bytes whose words it hashes at a time.
 HELD_ROWS, PIECE_BYTES = 1 << 14, 1 << 18
@@ -211,7 +211,7 @@ def confirmed(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, percent: i
     clusters = materialize(clusters)
     texts = nodes.select("id", F.col("doc_id").alias("of"), F.col("t1").alias("h1"), F.col("t2").alias("h2"))
     wanted = materialize(clusters.join(texts, "id"))
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    few = small_side(wanted)
     read = docs.select(F.col("doc_id").cast("long"), "text", *marks())
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2"))
     held = read.join(few, same).select("cluster", "id", "root", "text")
@@ -235,13 +235,39 @@ def confirmed(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, percent: i
     return materialize(dealt.mapInArrow(run, "a long, b long"))
 
 
-def grown(nodes: DataFrame, links: DataFrame | None, *columns: str) -> DataFrame:
-    """``id, root`` and ``columns``: the documents with what the links connect them to."""
+def small_side(stored: DataFrame) -> DataFrame:
+    """A stored table of a few numbers a row, sent to all tasks if it has at most BROADCAST_ROWS."""
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
+def joined_roots(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """``node, root``, stored, after more links (``a, b``); None as long as there was no link.
+
+    Only what the links connect is looked at again: they are taken as links
+    between roots.
+    """
+    if links.isEmpty():
+        return roots
+    if roots is None:
+        return materialize(components(links))
+    ends = links
+    for end in ("a", "b"):
+        known = roots.select(F.col("node").alias(end), F.col("root").alias("_root"))
+        ends = ends.join(known, end, "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+    above = materialize(components(ends))
+    higher = above.select(F.col("node").alias("root"), F.col("root").alias("_root"))
+    old = roots.join(higher, "root", "left").select("node", F.coalesce("_root", "root").alias("root"))
+    new = above.join(roots.select("node"), "node", "left_anti").select("node", "root")
+    return materialize(old.unionByName(new))
+
+
+def grown(nodes: DataFrame, roots: DataFrame | None, *columns: str) -> DataFrame:
+    """``id, root`` and ``columns``: the documents with what they are connected to."""
     rows = nodes.select("id", *columns)
-    if links is None:
+    if roots is None:
         return rows.withColumn("root", F.col("id"))
-    roots = components(links).withColumnRenamed("node", "id")
-    return materialize(rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    known = small_side(roots.select(F.col("node").alias("id"), "root"))
+    return rows.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
 def small_nodes(large: DataFrame, small: int) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from rolecast.llm.common import arrow_map, texts
 from rolecast.llm.components import components
-from rolecast.llm.linking import SMALL, candidate_groups, compared, confirmed, grown, join_labels, marks, shingle_sets
+from rolecast.llm.linking import SMALL, candidate_groups, compared, confirmed, grown, join_labels, joined_roots, marks, shingle_sets
 from rolecast.session import materialize
 
 SHINGLE_WORDS = 3
@@ -382,18 +382,17 @@ def like_copies(docs: DataFrame, percent: int = LIKE_PERCENT, small: int = SMALL
     def confirm(clusters):
         return confirmed(docs, nodes, clusters, percent, LIKE_WIDTH)
 
-    links = None
+    roots = None
     for start, number in ((0, FIRST_BANDS), (FIRST_BANDS, bands - FIRST_BANDS)):
-        known = grown(nodes, links, "keys")
+        known = grown(nodes, roots, "keys")
         rows = known.select("id", "root", F.explode(F.slice("keys", start + 1, number)).alias("path"))
         found = compared(rows, candidates, confirm, small)
-        links = found.links if links is None else links.unionByName(found.links)
+        roots = joined_roots(roots, found.links)
         if not found.large.isEmpty():
             # what its first document and its part have not connected
-            rest = found.rows.drop("root").join(found.large.select("path"), "path").join(grown(nodes, links), "id")
-            links = links.unionByName(compared(rest, candidates, confirm, small, whole=True).links)
-    roots = components(links).withColumnRenamed("node", "id")
-    named = nodes.select("id", "key").join(roots, "id", "left").select("key", F.coalesce("root", "id").alias("component"))
+            rest = found.rows.drop("root").join(found.large.select("path"), "path").join(grown(nodes, roots), "id")
+            roots = joined_roots(roots, compared(rest, candidates, confirm, small, whole=True).links)
+    named = grown(nodes, roots, "key").select("key", F.col("root").alias("component"))
     return stored.select("doc_id", F.col("t1").alias("tag"), "key").join(materialize(named), "key").select("doc_id", "tag", "component")
 
 
