@@ -1,0 +1,85 @@
+"""Which terms of a large table occur in which texts, by walking phrases from their first word.
+
+Terms whose parts are plain words form a trie that is kept as hashed rows: its
+first level is the first words with the length of the longest phrase from each,
+its leaves are the whole phrases. A text's words are looked at once. Only where a
+phrase can begin are the next words put together, and only as many as can matter,
+so a term is met exactly where its whole phrase stands and no text is searched
+again. Other terms (with signs inside) are tested by their pattern where one of
+their words occurs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rolecast.functions.sql import bind, each, quoted, those
+from rolecast.functions.text import WORD
+from rolecast.operators.joins import lookup_join
+
+BLANK = r"\s\x1c-\x1f\x85\p{Z}"
+#: A sign that no phrase reaches across, as a word of its own.
+STOP = "\x01"
+GAP = rf"[{BLANK}\-/]+"
+SIGN = WORD.replace("[", "[^").replace("]", rf"{BLANK}\-/]+")
+
+
+def _words(text: str) -> str:
+    """The words of a folded text in order, with STOP where signs part them (SQL text)."""
+    marked = f"regexp_replace({text}, {quoted(SIGN)}, ' {STOP} ')"
+    return those(f"split({marked}, {quoted(GAP)})", lambda w: f"{w} <> ''")
+
+
+def starts(texts: DataFrame, longest: int) -> DataFrame:
+    """``_row, word, rest, place, n_title``: every word of a text with the words that follow it.
+
+    The title's words come first in ``_both``; ``n_title`` is how many they are.
+    """
+    places = bind(
+        _words("_both"),
+        lambda ws: f"transform({ws}, (w, i) -> named_struct('word', w, 'rest', slice({ws}, i + 2, {longest - 1}), 'place', i))",
+    )
+    found = f"filter({places}, p -> p.word <> '{STOP}')"
+    none = f"named_struct('word', '', 'rest', cast(array() as array<string>), 'place', 0)"
+    # the blank word stands for terms without any word; every text has it
+    rows = texts.select("_row", F.expr(f"size({_words('_title')})").alias("n_title"), F.explode(F.expr(f"concat({found}, array({none}))")).alias("_p"))
+    return rows.select("_row", "n_title", "_p.*")
+
+
+def phrase_hits(texts: DataFrame, terms: DataFrame, joined_words: bool) -> DataFrame:
+    """``_row, term, in_title``: the terms that occur in each text of ``texts`` (``_row, _title, _both``).
+
+    ``terms`` has ``term``, its ``words``, whether it is one ``plain`` word, and its
+    ``pattern``. With ``joined_words`` blanks, ``-`` and ``/`` between words stand
+    for each other, so terms of several words are phrases; else only plain words are.
+    """
+    parts = F.split("term", r"[ \-/]+")
+    whole = F.forall(parts, lambda p: p.rlike(f"^{WORD}+$")) if joined_words else F.col("plain")
+    terms = terms.withColumn("_phrase", whole & (F.size("words") > 0)).withColumn("_key", F.array_join("words", " "))
+    phrases = terms.where("_phrase").select(F.col("_key").alias("phrase"), "term", F.size("words").alias("n_words"))
+    odd = terms.where("not _phrase").select(F.coalesce(F.get(F.array_sort("words", longer), F.lit(0)), F.lit("")).alias("word"), "term")
+    roots = terms.where("_phrase").groupBy(F.get("words", F.lit(0)).alias("word")).agg(F.max(F.size("words")).alias("reach"))
+    known = roots.select("word", "reach", F.lit(None).cast("string").alias("odd")).unionByName(
+        odd.select("word", F.lit(None).cast("int").alias("reach"), F.col("term").alias("odd"))
+    )
+    longest = terms.where("_phrase").agg(F.max(F.size("words"))).first()[0] or 1
+    met = lookup_join(starts(texts, longest), known, ["word"], spread_by="_row", how="inner")
+    lengths = F.explode(F.expr("sequence(1, least(reach, size(rest) + 1))")).alias("n")
+    walked = met.where("reach is not null").select("_row", "n_title", "place", "word", "rest", lengths)
+    phrase = F.array_join(F.concat(F.array("word"), F.slice("rest", F.lit(1), F.col("n") - 1)), " ")
+    walked = walked.select("_row", phrase.alias("phrase"), (F.col("place") + F.col("n") <= F.col("n_title")).alias("in_title"))
+    found = lookup_join(walked, phrases.select("phrase", "term"), ["phrase"], spread_by="_row", how="inner").select("_row", "term", "in_title")
+    candidates = met.where("odd is not null").select("_row", F.col("odd").alias("term")).distinct()
+    tested = (
+        lookup_join(candidates, terms.where("not _phrase").select("term", "pattern"), ["term"], spread_by="_row", how="inner")
+        .join(texts.select("_row", "_title", "_both"), "_row")
+        .where(F.expr("_both rlike pattern"))
+        .select("_row", "term", F.expr("_title rlike pattern").alias("in_title"))
+    )
+    return found.groupBy("_row", "term").agg(F.bool_or("in_title").alias("in_title")).unionByName(tested)
+
+
+def longer(a, b):
+    """Longer words first: they are rarer."""
+    return F.when(F.length(a) == F.length(b), F.when(a < b, -1).when(a > b, 1).otherwise(0)).otherwise(F.length(b) - F.length(a))

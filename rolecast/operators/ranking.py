@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from rolecast.functions.text import WORD, fold_case, literal_json, or_empty
 from rolecast.operators.joins import lookup_join
 from rolecast.operators.limits import top_per_group
+from rolecast.operators.phrases import BLANK as _BLANK
+from rolecast.operators.phrases import phrase_hits
 from rolecast.operators.profiles import BUCKETS, Profiles, bucket_order
 from rolecast.session import materialize
 
@@ -25,8 +27,6 @@ INLINE_TERMS = 2_000
 PACK = 1_000
 NOT_WORD = WORD.replace("[", "[^") + "+"
 
-# whitespace as in rolecast.functions.text, with the other separators
-_BLANK = r"\s\x1c-\x1f\x85\p{Z}"
 LOOSE, STRICT, LITERAL = "loose", "strict", "literal"
 
 
@@ -217,50 +217,26 @@ def _rank_inline(postings: DataFrame, profiles: list[dict], terms: list[dict], r
     return _finish(scored.withColumn("profile", F.col("_p.profile")), postings.columns, rules)
 
 
-def _rank_joined(postings: DataFrame, tables: Profiles, rules: RankRules) -> DataFrame:
-    """The same for profile tables of any size.
+def numbered_texts(postings: DataFrame, rules: RankRules) -> DataFrame:
+    """The postings with folded texts and a number of their own, stored.
+
+    The number tells rows with the same ``ingest_seq`` apart and spreads frequent
+    words and terms.
+    """
+    return materialize(_texts(postings, rules).withColumn("_row", F.monotonically_increasing_id()))
+
+
+def grouped_hits(texts: DataFrame, tables: Profiles, rules: RankRules) -> DataFrame:
+    """``_row, profile, _hits``: the terms that were met, in the order of the profile.
 
-    A term is a candidate where all its words occur; terms that are more than
-    one word are then tested on the text. The folded texts are stored once with
-    a number of their own, which tells rows with the same ``ingest_seq`` apart
-    and spreads frequent words and terms. Weights are added in the order of the
-    profile, as in the other way.
+    Weights are added in this order, as when the terms are constants of the plan.
     """
-    texts = materialize(_texts(postings, rules).withColumn("_row", F.monotonically_increasing_id()))
-    compiled = compiled_terms(tables, rules)
+    # read from files, as it is looked at several times
+    compiled = materialize(compiled_terms(tables, rules))
     distinct_terms = compiled.groupBy("term").agg(
         F.first("words").alias("words"), F.first("plain").alias("plain"), F.first("pattern").alias("pattern")
     )
-    no_words = F.array(F.lit(""))
-    by_word = distinct_terms.select(
-        "term",
-        F.explode(F.when(F.size("words") == 0, no_words).otherwise(F.array_distinct("words"))).alias("word"),
-        F.greatest(F.size(F.array_distinct("words")), F.lit(1)).alias("n_words"),
-    )
-    # the blank word stands for terms without any word; every text has it
-    title_words = F.array_union(F.split("_title", NOT_WORD), no_words)
-    tokens = texts.select(
-        "_row",
-        F.explode(F.array_union(F.split("_both", NOT_WORD), no_words)).alias("word"),
-        title_words.alias("_title_words"),
-    ).select("_row", "word", F.array_contains("_title_words", F.col("word")).alias("in_title"))
-    candidates = (
-        lookup_join(tokens, by_word, ["word"], spread_by="_row", how="inner")
-        .groupBy("_row", "term", "n_words")
-        .agg(F.count("*").alias("n"), F.count_if("in_title").alias("n_title"))
-        .where(F.col("n") == F.col("n_words"))
-        .select("_row", "term", (F.col("n_title") == F.col("n_words")).alias("in_title"))
-    )
-    known = lookup_join(
-        candidates, distinct_terms.select("term", "plain", "pattern"), ["term"], spread_by="_row", how="inner"
-    )
-    tested = (
-        known.where(~F.col("plain"))
-        .join(texts.select("_row", "_title", "_both"), "_row")
-        .where(F.expr("_both rlike pattern"))
-        .select("_row", "term", F.expr("in_title and _title rlike pattern").alias("in_title"))
-    )
-    hits = known.where("plain").select("_row", "term", "in_title").unionByName(tested)
+    hits = phrase_hits(texts, distinct_terms, rules.separators == LOOSE)
     per_profile = lookup_join(
         hits,
         compiled.select("profile", "bucket", "term", "weight", "ord", "boosted", "label", "title_label"),
@@ -270,13 +246,12 @@ def _rank_joined(postings: DataFrame, tables: Profiles, rules: RankRules) -> Dat
     ).withColumn("in_title", F.col("in_title") & (F.col("bucket") != "neg"))
     place = bucket_order(F.col("bucket")).alias("place")
     hit = F.struct(place, "ord", "bucket", "in_title", "weight", "boosted", "label", "title_label")
-    grouped = per_profile.groupBy("_row", "profile").agg(F.array_sort(F.collect_list(hit)).alias("_hits"))
-    pairs = _paired(texts.drop("_title", "_both"), tables.profiles)
-    joined = (
-        pairs.withColumn("profile", F.col("_p.profile"))
-        .join(grouped, ["_row", "profile"], "left")
-        .withColumn("_hits", F.coalesce("_hits", F.expr("filter(array(" + _NO_HIT + "), h -> false)")))
-    )
+    return per_profile.groupBy("_row", "profile").agg(F.array_sort(F.collect_list(hit)).alias("_hits"))
+
+
+def scored_hits(joined: DataFrame) -> DataFrame:
+    """Adds ``score`` and ``matches`` to rows with ``_hits``, ``_length`` and ``_p``; null hits are none."""
+    joined = joined.withColumn("_hits", F.coalesce("_hits", F.expr("filter(array(" + _NO_HIT + "), h -> false)")))
     total = F.expr(
         "aggregate(filter(_hits, h -> h.in_title), 0D, (s, h) -> s + h.boosted)"
         " + aggregate(_hits, 0D, (s, h) -> s + h.weight)"
@@ -289,8 +264,16 @@ def _rank_joined(postings: DataFrame, tables: Profiles, rules: RankRules) -> Dat
         )
 
     matches = F.expr(f"named_struct('core', {labels('core')}, 'nice', {labels('nice')}, 'neg', {labels('neg')})")
-    scored = joined.withColumn("score", total + _bonus()).withColumn("matches", matches)
-    return _finish(scored, postings.columns, rules)
+    return joined.withColumn("score", total + _bonus()).withColumn("matches", matches)
+
+
+def _rank_joined(postings: DataFrame, tables: Profiles, rules: RankRules) -> DataFrame:
+    """The same for profile tables of any size."""
+    texts = numbered_texts(postings, rules)
+    grouped = grouped_hits(texts, tables, rules)
+    pairs = _paired(texts.drop("_title", "_both"), tables.profiles)
+    joined = pairs.withColumn("profile", F.col("_p.profile")).join(grouped, ["_row", "profile"], "left")
+    return _finish(scored_hits(joined), postings.columns, rules)
 
 
 def _paired(texts: DataFrame, profiles: DataFrame) -> DataFrame:
