@@ -79,7 +79,14 @@ def hot_key_join(
 
 
 def one_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of every key, combined inside each map task before the shuffle."""
-    rest = [c for c in df.columns if c not in (key, order)]
-    kept = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_row"))
-    return kept.select(key, "_row.*")
+    """The first row of every key by ``order``, without that column; nulls in it come last.
+
+    The rows are written once. Which of them are first is found on the keys
+    alone; wide columns are read for these rows only and in no aggregate.
+    """
+    stored = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
+    place = F.struct(F.col(order).isNull(), order, "_row")
+    first = materialize(stored.groupBy(key).agg(F.min_by("_row", place).alias("_row"), F.count("*").alias("_n")))
+    if first.where("_n > 1").isEmpty():
+        return stored.drop(order, "_row")
+    return stored.join(first.select("_row"), "_row", "left_semi").drop(order, "_row")
