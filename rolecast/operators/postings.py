@@ -42,7 +42,12 @@ ALTERNATE_PAGES = "https://explore.jobs.netflix.net/careers"
 
 
 def site_table(sites: DataFrame) -> DataFrame:
-    """``source`` (the public address) and ``source_ord`` to the parts of the site."""
+    """``source`` (the public address) and ``source_ord`` to the parts of the site.
+
+    Sites that have their parts already (see :func:`rolecast.plans.forms.site_arguments`) stay as they are.
+    """
+    if "base_url" in sites.columns:
+        return sites
     info = infer_site(F.col("source"))
     return sites.withColumn("_s", info).select("source", "source_ord", "_s.*")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rolecast.functions.urls import infer_site
 from rolecast.operators import facets as facet_ops
+from rolecast.operators import narrowing
 from rolecast.operators.filters import browser_match
 from rolecast.operators.joins import lookup_join
 from rolecast.operators.limits import limit_per_group, scan_counts
@@ -39,6 +40,7 @@ from rolecast.operators.profiles import Profiles, override_weights
 from rolecast.operators.ranking import RankRules, rank, top
 from rolecast.plans.older import flat_records
 from rolecast.session import materialize
+from rolecast.sources.details import DetailStore
 
 PAGE_SIZE = 20
 
@@ -50,13 +52,14 @@ class Landed(NamedTuple):
     site, and a list may hold sites of both kinds. ``details`` are the detail
     pages (``url``, ``html``), of an alternate listing alone its detail payloads
     (``job_id``, ``payload``), which ``alternate_details`` holds in a mixed list.
+    Either may be a :class:`rolecast.sources.details.DetailStore`.
     """
 
     sites: DataFrame
     pages: DataFrame
-    details: DataFrame | None
+    details: DataFrame | DetailStore | None
     alternate: bool | None = False
-    alternate_details: DataFrame | None = None
+    alternate_details: DataFrame | DetailStore | None = None
 
 
 class Found(NamedTuple):
@@ -66,7 +69,8 @@ class Found(NamedTuple):
 
 def split_sites(sites: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sites with the usual listing, and those with the alternate one (by tenant and site name)."""
-    parts = sites.withColumn("_s", infer_site(F.col("source")))
+    own = F.struct("tenant", "site") if "base_url" in sites.columns else infer_site(F.col("source"))
+    parts = sites.withColumn("_s", own)
     alternate = F.coalesce((F.col("_s.tenant") == "netflix") & (F.col("_s.site") == ALTERNATE_SOURCE), F.lit(False))
     return parts.where(~alternate).drop("_s"), parts.where(alternate).drop("_s")
 
@@ -116,14 +120,18 @@ def by_site(postings: DataFrame) -> DataFrame:
 def fill(landed: Landed, postings: DataFrame) -> DataFrame:
     """Postings with what their details say, each kind from its own; without landed details they stay."""
     if landed.alternate is None:
-        other = F.col("source") == ALTERNATE_SOURCE
-        usual = landed._replace(alternate=False)
-        return fill(usual, postings.where(~other)).unionByName(
-            fill(landed._replace(alternate=True, details=landed.alternate_details), postings.where(other))
-        )
-    if landed.details is None:
+        # by the site itself: another employer's site may have the same name
+        other = split_sites(landed.sites)[1].select("source_ord").distinct()
+        rows = postings.withColumn("source_ord", site_ordinal(F.col("ingest_seq")))
+        kinds = [lookup_join(rows, other, ["source_ord"], "url", how).drop("source_ord") for how in ("left_anti", "left_semi")]
+        usual, alternate = landed._replace(alternate=False), landed._replace(alternate=True, details=landed.alternate_details)
+        return fill(usual, kinds[0]).unionByName(fill(alternate, kinds[1]))
+    details = landed.details
+    if details is None:
         return postings.select(*POSTING_COLUMNS)
-    return hydrate_missing(postings, landed.details) if landed.alternate else hydrate(postings, landed.details)
+    if isinstance(details, DetailStore):
+        details = details.lookup(postings.where("description_text = ''") if landed.alternate else postings)
+    return hydrate_missing(postings, details) if landed.alternate else hydrate(postings, details)
 
 
 def discover(
@@ -152,11 +160,20 @@ def discover_filtered(
     with_details: bool = True,
     text: str = "",
     members: DataFrame | None = None,
+    location_matches: int = 1,
 ) -> Found:
-    """Filter on the list pages first, keep the first ``max_jobs`` matches, then read details."""
+    """Filter on the list pages first, keep the first ``max_jobs`` matches, then read details.
+
+    With ``members`` the facets of the site addresses and the options that the
+    ``locations`` resolve to, one after the other, choose the postings of the scan.
+    """
     scanned = scan(landed, max_pages, page_size, text)
     if members is not None:
-        scanned = chosen_by_facets(landed, scanned, members)
+        index = narrowing.facet_index(members)
+        asked = [q for q in locations if q.strip()]
+        chosen = resolve_in_turn(landed, index, asked, location_matches).facets
+        rows = materialize(scanned.withColumn("source_ord", site_ordinal(F.col("ingest_seq"))))
+        scanned = narrowing.carrying(index, rows, chosen).drop("source_ord")
     # written once: matches, counts and the detail join all start from the scan
     postings = materialize(by_site(scanned))
     match = browser_match(locations, titles)
@@ -165,15 +182,36 @@ def discover_filtered(
     return Found(fill(landed, kept) if with_details else kept, counts)
 
 
+def landed_options(landed: Landed) -> DataFrame:
+    """Facet options of every usual site, a repeated page counted once; the alternate listing has none."""
+    found = [
+        facet_ops.facet_options(facet_pages(once(part.pages.where(F.col("page_no") == 1))))
+        for part in by_kind(landed)
+        if not part.alternate
+    ]
+    if not found:
+        return facet_ops.facet_options(facet_pages(landed.pages)).where("false")
+    return found[0]
+
+
 def resolve(landed: Landed, queries: Sequence[str], max_matches: int = 1, strict: bool = False) -> DataFrame:
-    """Facet rows for location queries on every site; the alternate listing has none.
+    """Facet rows for location queries on every site, each against the same options.
 
     ``strict`` scores options as published, with the bonuses for all of them.
     """
-    options = facet_ops.facet_options(facet_pages(landed.pages))
-    if landed.alternate:
-        options = options.where("false")
-    return facet_ops.resolve_locations(options, queries, max_matches, strict)
+    return facet_ops.resolve_locations(landed_options(landed), queries, max_matches, strict)
+
+
+def resolve_in_turn(
+    landed: Landed, index: narrowing.FacetIndex, queries: Sequence[str], max_matches: int = 1, strict: bool = False
+) -> narrowing.Resolved:
+    """Options, misses and facets for location queries that narrow one after the other, from the address's facets on.
+
+    This is also the answer when only the locations are asked for.
+    """
+    sites = landed.sites.select("source", "source_ord")
+    options = materialize(landed_options(landed).join(sites, "source"))
+    return narrowing.resolve_in_turn(options, index, address_facets(landed.sites).join(sites, "source"), queries, max_matches, strict)
 
 
 def runtime_facets(base: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -263,13 +301,17 @@ def browser_search(
     with_details: bool = True,
     text: str = "",
     members: DataFrame | None = None,
+    location_matches: int = 1,
 ) -> Found:
     """Browser chain: with any filter, details are read for matching postings only.
 
-    With ``members`` the facets of the site addresses choose the postings first.
+    With ``members`` the facets of the site addresses, and the options that the
+    locations resolve to in turn, choose the postings first.
     """
     if [q for q in locations if q.strip()] or titles or members is not None:
-        found = discover_filtered(landed, locations, titles, max_pages, page_size, max_jobs, with_details, text, members)
+        found = discover_filtered(
+            landed, locations, titles, max_pages, page_size, max_jobs, with_details, text, members, location_matches
+        )
     else:
         # counted before any detail is read
         listed = materialize(discover(landed, max_pages, page_size, max_jobs, False, text))
@@ -285,4 +327,5 @@ def older_records(landed: Landed, n_pages: int = 29, max_jobs: int = 200) -> Dat
     items = with_site(summaries(pages), site_table(landed.sites), spread_by="page_no")
     postings = by_site(summary_postings(items))
     postings = limit_per_group(postings, ["site_ord"], "ingest_seq", max_jobs)
-    return flat_records(postings, landed.details)
+    details = landed.details.lookup(materialize(postings)) if isinstance(landed.details, DetailStore) else landed.details
+    return flat_records(postings, details)
