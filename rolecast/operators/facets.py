@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolecast.functions.payload import (
@@ -23,11 +24,12 @@ from rolecast.functions.payload import (
 from rolecast.functions.sql import bind, quoted, those
 from rolecast.functions.places import is_location_facet, option_score
 from rolecast.operators.limits import top_per_group
+from rolecast.session import materialize, shared_folder
 
 # facet keys that one number of bits stands for
 FACETS_PER_NUMBER = 62
-# levels of a facet tree that are unrolled first; twice as many while any tree is deeper
-LEVELS = 8
+# levels of a facet tree that are unrolled inside the row; deeper trees are walked level by level
+LEVELS = 4
 
 # The names a payload may use for the parts of a facet.
 FACET_KEYS = ("$.facetParameter", "$.facetKey", "$.parameter", "$.name")
@@ -84,32 +86,68 @@ def _next_level(nodes: str) -> str:
     return f"cast(flatten(transform({nodes}, node -> {children})) as {_NODE})"
 
 
+_PARTS = ("facet_key", "value", "label", "count", "path")
+
+
+def _named(node: Column) -> Column:
+    return (node["facet_key"] != "") & (node["value"] != "") & (node["label"] != "")
+
+
 def facet_options(pages: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Flatten the facet trees of ``pages`` (``source``, ``doc``) to one row per option.
 
-    A tree is part of one payload, so its levels are unrolled inside the row and
-    nothing is shuffled. One pass finds out whether any tree is deeper than
-    ``levels``; then twice as many are unrolled. ``seq`` is the position in a
-    depth-first walk.
+    A tree is part of one payload, so its first ``levels`` are unrolled inside the
+    row and nothing is shuffled. Pages with a deeper tree are walked level by
+    level, so the plan is the same at any depth. On a stream a deeper tree is an
+    error; :func:`rolecast.streaming.ingest.stream_facets` takes any depth.
+    ``seq`` is the position in a depth-first walk.
     """
-    while True:
-        rows = pages.withColumn("_l0", F.expr(_first_level("doc")))
-        for depth in range(1, levels):
-            rows = rows.withColumn(f"_l{depth}", F.expr(_next_level(f"_l{depth - 1}")))
-        deeper = F.expr(f"exists(_l{levels - 1}, n -> exists(n.below, b -> {is_object('b')}))")
-        if pages.isStreaming or rows.where(deeper).isEmpty():
-            break
-        levels *= 2
+    rows = pages.withColumn("_l0", F.expr(_first_level("doc")))
+    for depth in range(1, levels):
+        rows = rows.withColumn(f"_l{depth}", F.expr(_next_level(f"_l{depth - 1}")))
+    deeper = F.expr(f"exists(_l{levels - 1}, n -> exists(n.below, b -> {is_object('b')}))")
     nodes = F.concat(*[F.col(f"_l{d}") for d in range(levels)])
-    nodes = F.filter(nodes, lambda n: (n["facet_key"] != "") & (n["value"] != "") & (n["label"] != ""))
+    if pages.isStreaming:
+        fault = F.raise_error(F.lit(f"a facet tree has more than {levels} levels: flatten it inside foreachBatch"))
+        nodes = F.when(deeper, fault.cast(_NODE)).otherwise(nodes)
+        return _numbered(rows.withColumn("_nodes", nodes))
+    deep = rows.where(deeper).select("source", "doc")
+    if deep.isEmpty():
+        return _numbered(rows.withColumn("_nodes", nodes))
+    return _numbered(rows.where(~deeper).withColumn("_nodes", nodes)).unionByName(_walked(deep))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
     light = F.transform(
-        nodes,
-        lambda n: F.struct(n["place"].alias("place"), *[n[c].alias(c) for c in ("facet_key", "value", "label", "count", "path")]),
+        F.filter("_nodes", _named), lambda n: F.struct(n["place"].alias("place"), *[n[c].alias(c) for c in _PARTS])
     )
     return rows.select("source", F.posexplode(F.array_sort(light)).alias("seq", "_n")).select(
-        "source", F.col("seq").cast("bigint").alias("seq"),
-        *[F.col(f"_n.{c}").alias(c) for c in ("facet_key", "value", "label", "count", "path")],
-    )
+        "source", F.col("seq").cast("bigint").alias("seq"), *[F.col(f"_n.{c}").alias(c) for c in _PARTS]
+    )
+
+
+def _walked(pages: DataFrame) -> DataFrame:
+    """The options of trees of any depth: the nodes of a level, stored, give those of the next, until there are none."""
+    spark = pages.sparkSession
+    whole = materialize(pages.withColumn("_page", F.monotonically_increasing_id()))
+    front = whole.select("source", "_page", F.explode(F.expr(_first_level("doc"))).alias("_n"))
+    path = f"{shared_folder(spark)}/rolecast-facets-{uuid.uuid4().hex}"
+    level = 0
+    while True:
+        front = materialize(front)
+        if front.isEmpty():
+            break
+        flat = front.where(_named(F.col("_n"))).select("source", "_page", F.col("_n.place").alias("place"), *[F.col(f"_n.{c}").alias(c) for c in _PARTS])
+        # each level once, also when this is run again
+        flat.write.mode("overwrite").parquet(f"{path}/level={level}")
+        front = front.select("source", "_page", F.explode(F.expr(_next_level("array(_n)"))).alias("_n"))
+        level += 1
+    if not level:
+        return whole.select("source", F.lit(0).cast("bigint").alias("seq"), *[F.lit(None).cast("string").alias(c) for c in _PARTS]).where("false")
+    found = spark.read.schema(flat.schema).parquet(f"{path}/level=*")
+    # a page's options are those of one payload
+    order = Window.partitionBy("_page").orderBy("place")
+    return found.select("source", (F.row_number().over(order) - 1).cast("bigint").alias("seq"), *_PARTS)
 
 
 def search_options(

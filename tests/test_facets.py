@@ -51,13 +51,31 @@ def test_other_payload_shapes(spark):
     assert [(r.source, r.value) for r in got] == [("a", "BOS_ID"), ("a", "RTP_ID")]
 
 
-def test_deep_trees_are_unrolled_as_far_as_needed(spark):
+def chain(depth):
+    deep = {"id": str(depth), "descriptor": f"level {depth}"}
+    for i in range(depth - 1, -1, -1):
+        deep = {"id": str(i), "descriptor": f"level {i}", "children": [deep, {"id": f"{i}b", "descriptor": "" if i % 2 else "side"}]}
+    return {"facets": [{"facetParameter": "f", "values": [deep]}]}
+
+
+def flat_chain(depth):
+    """Ids in the order of the walk: down first, then the side branches from the deepest up."""
+    return [str(i) for i in range(depth + 1)] + [f"{i}b" for i in range(depth - 1, -1, -1) if not i % 2]
+
+
+def test_trees_of_any_depth_are_walked(spark):
     assert facets.facet_options(docs(spark, a=NESTED), levels=1).collect() == facets.facet_options(docs(spark, a=NESTED)).collect()
-    deep = {"id": "12", "descriptor": "level 12"}
-    for i in range(11, -1, -1):
-        deep = {"id": str(i), "descriptor": f"level {i}", "children": [deep]}
-    tree = {"facets": [{"facetParameter": "f", "values": [deep]}]}
-    assert [r.value for r in facets.facet_options(docs(spark, a=tree)).orderBy("seq").collect()] == [str(i) for i in range(13)]
+    rows = facets.facet_options(docs(spark, a=chain(12), b=NESTED, c=chain(40), d=chain(3))).orderBy("source", "seq").collect()
+    for name, depth in (("a", 12), ("c", 40), ("d", 3)):
+        own = [r for r in rows if r.source == name]
+        assert [r.value for r in own] == flat_chain(depth) and [r.seq for r in own] == list(range(len(own)))
+    assert [r.path for r in rows if r.source == "c" and r.value == "40"] == [["f", *[f"level {i}" for i in range(41)]]]
+    assert len([r for r in rows if r.source == "b"]) == 6
+
+
+def test_the_plan_does_not_grow_with_the_depth(spark):
+    sizes = [len(facets.facet_options(docs(spark, a=chain(n)))._jdf.queryExecution().optimizedPlan().toString().splitlines()) for n in (10, 30)]
+    assert sizes[0] == sizes[1]
 
 
 def test_seventy_facet_keys(spark):
