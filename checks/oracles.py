@@ -149,6 +149,32 @@ everything AS (SELECT doc_id, profile, round(coalesce(s, 0) + least(length(b) /
 placed AS (SELECT profile, row_number() OVER (PARTITION BY profile ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM everything)
 SELECT * FROM placed WHERE rank <= 5"""
 
+ORACLES["rank_pruned_profiles"] = ORACLES["rank_benchmark_profiles"]
+
+_SPACED = (
+    r"' ' || regexp_replace(regexp_replace({}, '[^\p{{L}}\p{{N}}_\s\x1c-\x1f\x85\p{{Z}}\-/]+', ' ' || chr(1) || ' ', 'g'), "
+    r"'[\s\x1c-\x1f\x85\p{{Z}}\-/]+', ' ', 'g') || ' '"
+)
+ORACLES["rank_customer_profiles"] = rf"""
+WITH docs AS (SELECT doc_id, {fold("split_part(text, chr(10), 1)")} AS t, {fold("text")} AS b FROM documents),
+spaced AS (SELECT doc_id, {_SPACED.format("t")} AS t, {_SPACED.format("t || chr(10) || b")} AS b FROM docs),
+words AS (SELECT doc_id AS id, string_split_regex(b, '[^\p{{L}}\p{{N}}_]+') AS w FROM docs),
+kinds AS (SELECT c_custkey AS c, coalesce(w[c_custkey % 13 + 1], '') AS first, coalesce(w[c_custkey % 13 + 2], '') AS second, coalesce(w[4], '') AS fourth
+          FROM customer JOIN words ON id = c_custkey % 150),
+terms AS (SELECT 'customer ' || c AS profile, 'core' AS bucket, trim(first || ' ' || second) AS term, 2.0::DOUBLE AS weight FROM kinds
+          UNION ALL SELECT 'customer ' || c, 'nice', first, 0.25 FROM kinds UNION ALL SELECT 'customer ' || c, 'neg', fourth, -0.5 FROM kinds),
+found AS (SELECT doc_id, term, contains(t, ' ' || term || ' ') AS in_title FROM spaced
+          JOIN (SELECT DISTINCT term FROM terms WHERE term <> '') ON contains(b, ' ' || term || ' ')),
+sums AS (SELECT profile, doc_id, sum(weight + if(in_title AND bucket <> 'neg', 1.25 * weight, 0)) AS s,
+                coalesce(max(CASE WHEN bucket = 'core' THEN if(in_title, term || '(+2.5); ', '') || term || '(+2.0)' END), '') AS core,
+                coalesce(max(CASE WHEN bucket = 'neg' THEN term || '(-0.5)' END), '') AS neg
+         FROM terms JOIN found USING (term) GROUP BY ALL),
+everything AS (SELECT profile, doc_id, coalesce(core, '') AS core, coalesce(neg, '') AS neg,
+                      round(coalesce(s, 0) + least(length(b) / (800.0::DOUBLE + c % 3 * 100), 1.0::DOUBLE), 3) AS score
+               FROM docs CROSS JOIN (SELECT 'customer ' || c AS profile, c FROM kinds) LEFT JOIN sums USING (profile, doc_id)),
+placed AS (SELECT profile, row_number() OVER (PARTITION BY profile ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score, core, neg FROM everything)
+SELECT * FROM placed WHERE rank <= 3"""
+
 ORACLES["length_bonus"] = (
     f"SELECT doc_id, round(least(length({fold('text')}) / 900.0::DOUBLE, 1.25::DOUBLE), 3) AS bonus FROM documents"
 )
@@ -397,6 +423,7 @@ WITH kept AS (SELECT source, doc_id, {_TITLE} AS title,
 SELECT source, doc_id, CASE WHEN kept.title = '' AND page_id % 7 <> 6 THEN regexp_extract(html, '<title>(.*?)</title>', 1) ELSE kept.title END AS title,
        CASE WHEN page_id % 7 <> 6 THEN '2024-01-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') END AS date_posted
 FROM kept LEFT JOIN pages ON doc_id = page_id WHERE n <= {MAX_JOBS}"""
+ORACLES["hydrate_from_store"] = ORACLES["filter_then_hydrate"]
 ORACLES["scan_counts"] = f"""
 WITH rows_ AS (SELECT source, doc_id, {_MATCH} AS hit FROM documents),
 numbered AS (SELECT *, count(*) FILTER (hit) OVER (PARTITION BY source ORDER BY doc_id) AS hits FROM rows_),
@@ -423,6 +450,17 @@ WITH {_PLACED} SELECT c_custkey FROM placed WHERE (contains(blob, 'nation 1') OR
    AND (contains(lower(c_mktsegment || ' and ' || c_name), 'building and customer') OR contains(lower(c_mktsegment), 'house'))"""
 ORACLES["free_text_search"] = "SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'with')"
 
+ORACLES["indexed_text_search"] = ORACLES["free_text_search"]
+ORACLES["indexed_word_search"] = r"""
+SELECT doc_id FROM documents WHERE list_has_all(string_split_regex(lower(text), '[\s\x0b\x1c-\x1f\x85\p{Z}]+'), ['with', 'that'])"""
+ORACLES["saved_searches"] = f"""
+WITH {_PLACED},
+asked AS (SELECT s_suppkey, {key("CASE s_suppkey % 4 WHEN 0 THEN n_name WHEN 1 THEN lower(r_name) WHEN 2 THEN 'U.S.' ELSE substring(n_name, 3, 2 + s_suppkey % 5) END")} AS q
+          FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT s_suppkey AS search_id, count(*) AS found FROM asked JOIN placed
+ON CASE WHEN q IN ('u s', 'america') THEN regexp_matches(blob, '(^| )(us|usa|u s|u s a|united states|united states of america|america)( |$)')
+        ELSE contains(blob, q) END AND q <> '' GROUP BY s_suppkey"""
+
 
 # --- facets ---------------------------------------------------------------------
 
@@ -564,6 +602,34 @@ FROM scored JOIN postings USING (doc_id) ORDER BY score DESC, source_ord, page_n
 ORACLES["browser_chain_facets"] = ORACLES["browser_chain"].replace(
     "(contains(location, 'en') OR contains(location, 'fr'))", "lang IN ('en', 'fr')"
 ).replace("WITH every AS (SELECT doc_id,", "WITH every AS (SELECT lang, doc_id,")
+_CITIES = """
+towns AS (SELECT *, 'https://' || source || '.example.com/Careers' AS site, 'c' || (doc_id * 7 % 11 % 5) AS city,
+                 count(*) FILTER (lang = 'en') OVER (PARTITION BY source) AS en FROM documents),
+cities AS (SELECT site, city, en, count(*) FILTER (en = 0 OR lang = 'en')::INT AS n, count(*)::INT AS landed FROM towns GROUP BY ALL),
+narrowed AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY n DESC, city DESC)::INT AS rank FROM cities WHERE n > 0),
+whole AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY landed DESC, city DESC)::INT AS rank FROM cities)"""
+_BONUS = "least({} / 1000.0::DOUBLE, 3.0::DOUBLE)"
+ORACLES["locations_in_turn"] = f"""
+WITH {_CITIES}
+SELECT DISTINCT site AS source, 'country en' AS query, 1::INT AS rank, 'locationHierarchy1' AS facet_key, 'en' AS value, 'Country en' AS label,
+       en::INT AS count, round(100 + {_BONUS.format("en")}, 3) AS score FROM towns WHERE en > 0
+UNION ALL SELECT site, 'city', rank, 'locationHierarchy2', city, 'City ' || city[2:], n, round(90 + {_BONUS.format("n")}, 3) FROM narrowed WHERE rank <= 2"""
+ORACLES["locations_unresolved"] = f"""
+WITH {_CITIES}
+SELECT DISTINCT site AS source, 'nowhere' AS query FROM towns UNION ALL SELECT DISTINCT site, 'country en' FROM towns WHERE en = 0"""
+ORACLES["resolve_repeated_pages"] = f"""
+WITH {_CITIES}
+SELECT DISTINCT site AS source, 'locationHierarchy1' AS facet_key, 'en' AS value, 0::BIGINT AS query_no, 1::BIGINT AS place FROM towns WHERE en > 0
+UNION ALL SELECT site, 'locationHierarchy2', city, 1, rank FROM whole WHERE rank <= 3"""
+ORACLES["browser_chain_locations"] = (
+    ORACLES["browser_chain"]
+    .replace("WITH every AS (SELECT doc_id,", f"WITH {_CITIES},\nevery AS (SELECT lang, site, city, doc_id,")
+    .replace("AS location FROM documents)", "AS location FROM towns)")
+    .replace(
+        "(contains(location, 'en') OR contains(location, 'fr'))",
+        "lang = 'en' AND (site, city) IN (SELECT (site, city) FROM narrowed WHERE rank = 1 AND en > 0)",
+    )
+)
 ORACLES["browser_counts"] = f"""
 WITH every AS (SELECT doc_id, {_SEQ}, source, {_TITLE} AS title, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'in ' || lang END AS location
                FROM documents),

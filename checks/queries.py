@@ -20,10 +20,10 @@ from checks.standins import (
     table,
 )
 from rolecast.functions import forms, payload, places, text, urls
-from rolecast.operators import facets, filters, limits, paging, postings, profiles, ranking
+from rolecast.operators import facets, filters, limits, narrowing, paging, postings, profiles, pruned, ranking, saved, textindex
 from rolecast.plans import older, search
 from rolecast.sinks import exports
-from rolecast.sources import presets
+from rolecast.sources import details, presets
 from rolecast.session import shared_folder
 from rolecast.sources.landed import read_list_pages, site_list, spread
 
@@ -120,9 +120,8 @@ def rank_legacy(spark, folder):
     return ranked.select(F.col("ingest_seq").alias("doc_id"), "profile", F.round("score", 6).alias("score"), joined("nice"))
 
 
-@query
-def rank_benchmark_profiles(spark, folder):
-    """Every benchmark item is a profile, each of its words a term: best documents per item."""
+def benchmark_profiles(spark: SparkSession, folder: str) -> profiles.Profiles:
+    """Every benchmark item is a profile, each of its words a term."""
     items = table(spark, folder, "benchmark")
     words = F.array_distinct(F.filter(F.split(text.fold_case(F.col("text")), ranking.NOT_WORD), lambda w: w != ""))
     name = F.concat(F.lit("item "), F.col("item_id").cast("string"))
@@ -132,11 +131,53 @@ def rank_benchmark_profiles(spark, folder):
     knobs = items.select(
         name.alias("profile"), F.lit(1.5).alias("title_boost"), F.lit(1.0).alias("length_cap"), F.lit(900.0).alias("length_divisor")
     )
-    ranked = ranking.rank(documents(spark, folder), profiles.Profiles(knobs, terms))
+    return profiles.Profiles(knobs, terms)
+
+
+@query
+def rank_benchmark_profiles(spark, folder):
+    """Best documents per benchmark item."""
+    ranked = ranking.rank(documents(spark, folder), benchmark_profiles(spark, folder))
     best = ranking.top_by_profile(ranked.select("ingest_seq", "profile", "score"), 5)
     return best.select("profile", "rank", F.col("ingest_seq").alias("doc_id"), "score")
 
 
+@query
+def rank_pruned_profiles(spark, folder):
+    """The same result, scoring only the pairs that can be among the best."""
+    best = pruned.top_profiles(documents(spark, folder), benchmark_profiles(spark, folder), 5).best
+    return best.select("profile", "rank", F.col("ingest_seq").alias("doc_id"), "score")
+
+
+def customer_profiles(spark: SparkSession, folder: str) -> profiles.Profiles:
+    """Every customer is a profile that looks for a word and a phrase of a document of their own, and shuns another."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.split(text.fold_case(F.col("text")), ranking.NOT_WORD).alias("w"))
+    kinds = table(spark, folder, "customer").select(F.col("c_custkey").alias("c"), F.pmod("c_custkey", F.lit(150)).alias("id")).join(docs, "id")
+    name = F.concat(F.lit("customer "), F.col("c").cast("string")).alias("profile")
+    some = F.coalesce(F.get("w", F.col("c") % 13), F.lit(""))
+    then = F.coalesce(F.get("w", F.col("c") % 13 + 1), F.lit(""))
+    shunned = F.coalesce(F.get("w", F.lit(3)), F.lit(""))
+    rows = F.inline(
+        F.array(
+            F.struct(F.lit("core").alias("bucket"), F.concat_ws(" ", some, then).alias("term"), F.lit(2.0).alias("weight"), F.lit(0).alias("ord")),
+            F.struct(F.lit("nice").alias("bucket"), some.alias("term"), F.lit(0.25).alias("weight"), F.lit(0).alias("ord")),
+            F.struct(F.lit("neg").alias("bucket"), shunned.alias("term"), F.lit(-0.5).alias("weight"), F.lit(0).alias("ord")),
+        )
+    )
+    terms = kinds.select(name, rows).where(F.trim("term") != "").withColumn("term", F.trim("term"))
+    knobs = kinds.select(
+        name, F.lit(1.25).alias("title_boost"), F.lit(1.0).alias("length_cap"), (F.lit(800.0) + F.col("c") % 3 * 100).alias("length_divisor")
+    )
+    return profiles.Profiles(knobs, terms)
+
+
+@query
+def rank_customer_profiles(spark, folder):
+    """A profile for each customer: the joined and pruned way, with phrases, negative weights and several bonuses."""
+    best = pruned.top_profiles(documents(spark, folder), customer_profiles(spark, folder), 3).best
+    return best.select("profile", "rank", F.col("ingest_seq").alias("doc_id"), "score", joined("core"), joined("neg"))
+
+
 @query
 def length_bonus(spark, folder):
     docs = table(spark, folder, "documents")
@@ -619,6 +660,17 @@ def filter_then_hydrate(spark, folder):
     return full.select("source", F.col("ingest_seq").alias("doc_id"), "title", "date_posted")
 
 
+@query
+def hydrate_from_store(spark, folder):
+    """Details that landed in files by address: only the folders of the kept postings are opened."""
+    docs = documents(spark, folder)
+    matched = filters.filter_by_both(docs, [], ["the that", "de"])
+    kept = limits.limit_per_group(matched, ["source"], "ingest_seq", MAX_JOBS)
+    store = details.land_details(json_ld_pages(spark, folder).select("url", "html"), f"{shared_folder(spark)}/details-{uuid.uuid4().hex}")
+    landed = search.Landed(sites(spark, folder), list_pages(spark, folder), store)
+    return search.fill(landed, kept).select("source", F.col("ingest_seq").alias("doc_id"), "title", "date_posted")
+
+
 @query
 def scan_counts(spark, folder):
     docs = documents(spark, folder)
@@ -663,6 +715,35 @@ def free_text_search(spark, folder):
     return paging.search_text(docs, "The WITH", "title", "description_text").select(F.col("ingest_seq").alias("doc_id"))
 
 
+@query
+def indexed_text_search(spark, folder):
+    """The same rows by an inverted index over all words of all documents."""
+    index = textindex.build_text_index(documents(spark, folder), "title", "description_text")
+    return textindex.index_search(index, "The WITH").select(F.col("ingest_seq").alias("doc_id"))
+
+
+@query
+def indexed_word_search(spark, folder):
+    """Whole words: two buckets of the index are read."""
+    index = textindex.build_text_index(documents(spark, folder), "title", "description_text")
+    return textindex.index_search(index, "with THAT", whole=True).select(F.col("ingest_seq").alias("doc_id"))
+
+
+@query
+def saved_searches(spark, folder):
+    """How many customers each supplier's saved place search finds."""
+    places_of = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    query_text = (
+        F.when(F.col("s_suppkey") % 4 == 0, F.col("n_name")).when(F.col("s_suppkey") % 4 == 1, F.lower("r_name"))
+        .when(F.col("s_suppkey") % 4 == 2, F.lit("U.S.")).otherwise(F.expr("substring(n_name, 3, 2 + s_suppkey % 5)"))
+    )
+    searches = table(spark, folder, "supplier").join(places_of, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("s_suppkey").alias("search_id"), query_text.alias("query")
+    )
+    placed = placed_customers(spark, folder).select("ingest_seq", filters.place_blob().alias("place"))
+    return saved.saved_matches(placed, searches).groupBy("search_id").agg(F.count("*").alias("found"))
+
+
 # --- facets ---------------------------------------------------------------------
 
 
@@ -846,6 +927,65 @@ def search_chain_facets(spark, folder):
     return ranked.select("source", "req_id", "title", "url", "score")
 
 
+LOCATIONS = ["country en", "city"]
+
+
+def _places_landed(spark, folder) -> tuple[search.Landed, DataFrame]:
+    """List pages whose first one has location facets, landed twice, and which posting carries what."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "lang")
+    address = F.concat(F.lit("https://"), "source", F.lit(".example.com/Careers")).alias("source")
+    city = F.concat(F.lit("c"), (F.col("doc_id") * 7 % 11 % 5).cast("string"))
+    carried = docs.select(
+        address, "doc_id", F.explode(F.create_map(F.lit("locationHierarchy1"), "lang", F.lit("locationHierarchy2"), city)).alias("facet_key", "value")
+    ).where("value is not null")
+    named = F.when(F.col("facet_key") == "locationHierarchy1", F.concat(F.lit("Country "), "value")).otherwise(F.concat(F.lit("City "), F.substring("value", 2, 9)))
+    option = F.struct(named.alias("descriptor"), F.col("value").alias("id"), F.col("n").alias("count"))
+    counts = carried.groupBy("source", "facet_key", "value").agg(F.count("*").cast("int").alias("n"))
+    facet = counts.groupBy("source", "facet_key").agg(F.array_sort(F.collect_list(option)).alias("values"))
+    trees = facet.groupBy("source").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("facet_key").alias("facetParameter"), F.lit("Locations").alias("descriptor"), "values"))).alias("facets")
+    )
+    pages = list_pages(spark, folder).join(trees, "source", "left")
+    whole = F.concat(F.expr("substring(payload, 1, length(payload) - 1)"), F.lit(',"facets":'), F.to_json("facets"), F.lit("}"))
+    pages = pages.select("source", "page_no", F.when((F.col("page_no") == 1) & F.col("facets").isNotNull(), whole).otherwise(F.col("payload")).alias("payload"))
+    landed = search.Landed(sites(spark, folder), pages.unionByName(pages.where("page_no = 1")), None)
+    url = F.concat(F.regexp_replace("source", "/Careers$", "/en-US/Careers/job/Doc_JR"), F.col("doc_id").cast("string")).alias("url")
+    members = carried.join(landed.sites, "source").select("source_ord", url, "facet_key", "value")
+    return landed, members
+
+
+@query
+def locations_in_turn(spark, folder):
+    """Options for one location after the other, the second among what the first has left."""
+    landed, members = _places_landed(spark, folder)
+    found = search.resolve_in_turn(landed, narrowing.facet_index(members), [*LOCATIONS, "nowhere"], 2)
+    return found.matches.select("source", "query", "rank", "facet_key", "value", "label", "count", "score")
+
+
+@query
+def locations_unresolved(spark, folder):
+    landed, members = _places_landed(spark, folder)
+    return search.resolve_in_turn(landed, narrowing.facet_index(members), [*LOCATIONS, "nowhere"], 2).misses
+
+
+@query
+def resolve_repeated_pages(spark, folder):
+    """Facet pages that landed twice give every option once."""
+    landed, _ = _places_landed(spark, folder)
+    found = search.resolve(landed, LOCATIONS, 3)
+    return found.select("source", "facet_key", "value", F.col("ord.a").alias("query_no"), F.col("ord.b").alias("place"))
+
+
+@query
+def browser_chain_locations(spark, folder):
+    """The browser chain with locations resolved in turn and passed to the scan."""
+    landed, members = _places_landed(spark, folder)
+    found = search.browser_search(
+        landed, demo_profiles(spark, "demo"), LOCATIONS + ["en"], ["the", "de"], max_pages=9, page_size=1, max_jobs=6, members=members
+    )
+    return found.postings.select("ingest_seq.*", "req_id", "location", "score")
+
+
 @query
 def browser_chain(spark, folder):
     landed = search.Landed(sites(spark, folder), list_pages(spark, folder), None)
