@@ -35,10 +35,38 @@ NOTICES = {
     "cc0 1 0": "cc0-1.0",
     "dedicated to the public domain": "public-domain",
     "proprietary and confidential": "proprietary",
+    "licensed under the apache license": "apache-2.0",
+    "apache software license": "apache",
+    "released under the mit license": "mit",
+    "boost software license": "bsl-1.0",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software": "bsl-1.0",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "isc license": "isc",
+    "zlib license": "zlib",
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable": "zlib",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "do what the fuck you want to public license": "wtfpl",
+    "european union public licence": "eupl",
+    "common development and distribution license": "cddl",
+    "artistic license": "artistic",
+    "python software foundation license": "psf",
+    "sil open font license": "ofl",
+    "open database license": "odbl",
+    "gnu free documentation license": "gfdl",
+    "server side public license": "sspl",
+    "business source license": "busl",
+    "elastic license": "elastic",
+    "creative commons zero": "cc0",
+    "no rights reserved": "public-domain",
+    "cc by 4 0": "cc-by-4.0",
+    "cc by nc sa": "cc-by-nc-sa",
+    "cc by nc nd": "cc-by-nc-nd",
 }
-#: The words of an identifier tag; a licence expression follows it on the same line.
-TAG = "spdx license identifier"
-TAG_LINE = re.compile(r"spdx-license-identifier\s*:\s*([^\n\r]*)", re.I)
+#: The words of the tags that a licence expression follows on the same line.
+TAGS = ("spdx license identifier", "license", "licence")
+TAG_LINE = re.compile(r"(?:spdx-license-identifier|(?<![\w-])licen[sc]e)[\"']?\s*[:=]\s*[\"']?([^\n\r]*)", re.I)
+#: Licence names that have neither digit nor hyphen.
+PLAIN_NAMES = set("mit isc zlib unlicense apache gpl lgpl agpl bsd mpl epl wtfpl postgresql python psf ruby perl vim x11 curl ncsa openssl artistic beerware proprietary".split())
 #: How freely a licence lets its text be used, by the beginning of its identifier; the longest that fits counts.
 FREEDOM = {
     "mit": 1.0,
@@ -60,6 +88,18 @@ FREEDOM = {
     "agpl": 0.2,
     "reserved": 0.0,
     "proprietary": 0.0,
+    "bsl-1.0": 1.0,
+    "wtfpl": 1.0,
+    "ofl": 0.9,
+    "psf": 1.0,
+    "artistic": 0.8,
+    "cddl": 0.6,
+    "eupl": 0.4,
+    "odbl": 0.5,
+    "gfdl": 0.3,
+    "sspl": 0.1,
+    "busl": 0.1,
+    "elastic": 0.1,
 }
 UNKNOWN_FREEDOM = 0.4
 #: An exception lifts a licence this part of the way to full freedom.
@@ -68,7 +108,7 @@ EXCEPTION_LIFT = 0.5
 CERTAINTY = {"base": 0.6, "notice": 0.7, "tag": 0.95}
 
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-TOKEN = re.compile(r"\(|\)|[a-z0-9.+:-]+")
+TOKEN = re.compile(r"\(|\)|[a-z0-9._+:-]+")
 #: Everything but digits, lower-case letters and bytes of other characters parts words.
 _TABLE = bytes(b if b in set(b"0123456789" + string.ascii_lowercase.encode()) or b >= 0x80 else 32 for b in range(256))
 
@@ -78,10 +118,11 @@ def freedom(identifier: str) -> float:
     return FREEDOM[max(fits, key=len)] if fits else UNKNOWN_FREEDOM
 
 
-def postfix(expression: str) -> list[str] | None:
-    """The expression's tokens with operators after their operands, by a shunting yard; None if it is not well formed."""
+def postfix(expression: str | list[str]) -> list[str] | None:
+    """The tokens of an expression, or of its text, with operators after their operands, by a shunting yard; None if it is not well formed."""
+    tokens = TOKEN.findall(expression.lower()) if isinstance(expression, str) else expression
     out, stack, operand = [], [], True  # operand: one has to come next
-    for token in TOKEN.findall(expression.lower()):
+    for token in tokens:
         if token == "(":
             if not operand:
                 return None
@@ -111,7 +152,36 @@ def postfix(expression: str) -> list[str] | None:
     return out + stack[::-1]
 
 
-def evaluate(expression: str) -> tuple[list[str], float] | None:
+def names_licence(token: str) -> bool:
+    """Whether a token can be a licence or an exception: a known name, or one with a digit or a hyphen, as all others have."""
+    bare = token.removesuffix("+")
+    return bare in PLAIN_NAMES or re.fullmatch(r"[a-z](?=.*[0-9-])[a-z0-9._:+-]*", bare) is not None
+
+
+def expression_tokens(text: str) -> list[str]:
+    """The tokens of the longest well-formed expression that a line begins with; none if there is no such.
+
+    It ends before the first word that cannot be a licence. A full stop at the
+    end of a name is the sentence's, and an opening bracket that is never closed
+    is left out.
+    """
+    tokens: list[str] = []
+    for token in TOKEN.findall(text.lower()):
+        token = token.rstrip(".:") if token not in "()" else token
+        if not token or token not in PRECEDENCE and token not in "()" and not names_licence(token):
+            break
+        tokens.append(token)
+    while tokens:
+        for size in range(len(tokens), 0, -1):
+            if postfix(tokens[:size]) is not None:
+                return tokens[:size]
+        if tokens[0] != "(":
+            break
+        tokens = tokens[1:]
+    return []
+
+
+def evaluate(expression: str | list[str]) -> tuple[list[str], float] | None:
     """The licences of an expression, and how freely its text may be used: the freest of ``or``, the least of ``and``.
 
     What stands after ``with`` is an exception, not a licence; it must follow a single licence.
@@ -139,22 +209,25 @@ def tagged(text: str) -> list[tuple[str, list[str], float]]:
     """The well-formed expressions after identifier tags, in normal spelling, with their licences and freedom."""
     out = []
     for m in TAG_LINE.finditer(text):
-        line = re.split(r"\*/|-->|#\}|[\"'`,;<>]", m.group(1))[0].strip()
-        found = evaluate(line)
+        tokens = expression_tokens(re.split(r"\*/|-->|#\}|[\"'`,;<>]", m.group(1))[0])
+        found = evaluate(tokens)
+        while tokens and found is None:  # a wrong use of "with"
+            tokens = tokens[:-1]
+            found = evaluate(tokens)
         if found:
-            out.append((" ".join(TOKEN.findall(line.lower())).replace("( ", "(").replace(" )", ")"), *found))
+            out.append((" ".join(tokens).replace("( ", "(").replace(" )", ")"), *found))
     return out
 
 
 class Scanner:
     """One automaton of all phrases, each between blanks."""
 
-    def __init__(self, base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES, tag: str = TAG):
+    def __init__(self, base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES, tags: tuple[str, ...] = TAGS):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
         kinds: dict[str, list[tuple[str, str]]] = {}
-        for kind, phrases in (("notice", notices), ("base", base), ("tag", {tag: ""})):
+        for kind, phrases in (("notice", notices), ("base", base), ("tag", dict.fromkeys(tags, ""))):
             for phrase, label in phrases.items():
                 kinds.setdefault(" " + phrase + " ", []).append((kind, label))
         for phrase, found in kinds.items():
