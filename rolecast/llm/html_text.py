@@ -1,5 +1,8 @@
 """Main text of web pages: the best contiguous run of words against tags.
 
+The run's own bounds are the article's, with the headlines right before it. Page
+furniture counts as one bad token as a whole and is left out where the run goes
+over it; an element that has most words of the page is none, whatever its name.
 A null or empty page has an empty text. Rows with the same id are separate rows.
 Without a labelled page fixed weights are used. An empty table gives an empty
 result.
@@ -10,7 +13,6 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,25 +25,30 @@ from rolecast.llm.common import arrow_map, shipped, short_batches, slices, texts
 RAW = "script style noscript template iframe svg object canvas title textarea select annotation-xml annotation".split()
 #: Elements that are never part of an article, and words that say the same as a whole class, id or role.
 APART = set("nav aside form footer menu dialog button head".split())
+#: An element with more than this share of a page's words is no furniture; some kinds are nothing else.
+MOST, ALWAYS = 0.8, set("button head".split())
 APART_NAMES = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside nav navbar"
     " navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent notice notices alert popup modal"
     " newsletter subscribe signup login share sharing social related recommended trending comment comments respond"
-    " responses replies discussion disqus search pagination pager widget rail toolbar topbar copyright contentinfo"
-    " complementary dialog".split()
+    " responses replies discussion disqus search pagination pager widget widgets rail toolbar topbar copyright contentinfo"
+    " complementary dialog adsbygoogle gdpr ccpa outbrain taboola".split()
 )
 #: Words that beside one of those leave a name what it says; beside any other, as in related-work, it names something else.
 BESIDE = set(
-    "area articles bar block blocks box button buttons column container content end form global group icon icons inline item"
+    "area articles bar body block blocks box button buttons column container content cta end form global group icon icons inline item"
     " items left link links list main message page panel post posts primary reader right row section secondary site slot"
-    " sticky stories top unit user wrap wrapper".split()
+    " sticky stories this thread top unit user wrap wrapper".split()
 )
 #: Words that are also topics: an id is often the slug of a heading.
 TOPICS = set(
     "search share sharing social related trending comment discussion responses replies respond notice notices alert ad ads"
     " advertising copyright consent promotion sponsor login signup navigation".split()
 )
-HEADINGS = set("h1 h2 h3 h4 h5 h6 section p blockquote pre figure dl dt dd li".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6 p blockquote pre figure dl dt dd li".split())
+HEADLINES = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Numbers beside a name, as in ad-300x250.
+_SIZE = re.compile(r"\d+(?:x\d+)?")
 #: Names of page headers; others, as entry-header, belong to an article.
 HEADER_NAMES = {"header", "site-header", "top-header", "global-header"}
 #: Beside such a word a name tells what the page has or lacks, as in no-sidebar.
@@ -67,7 +74,9 @@ ENDS |= {
 }
 HOLDS = set("ul ol menu dl table select datalist body article main section div aside nav footer header form button".split())
 #: Elements that text is written in.
-WRITING = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd figure figcaption".split())
+WRITING = set(
+    "p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd figure figcaption table caption colgroup thead tbody tfoot tr td th".split()
+)
 #: Weights without labelled pages: the classic balance of words and tags, and one for the tags of written text.
 WORD, TAG, WRITING_TAG = 1.0, -3.25, -0.3
 #: Learned weights stay this far from zero, words above and tags below.
@@ -107,12 +116,12 @@ def set_apart(name: str, rest: str, inside: bool) -> bool:
         found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
     if "hidden" in found or found.get("aria-hidden") == "true" or _UNSEEN.search(found.get("style", "")):
         return True
-    # an id inside the content, or of a block of text, is the place of a link
-    by_id = [] if inside or name in HEADINGS else [x for x in found.get("id", "").split() if x not in TOPICS]
+    # the id of a block of text is the place of a link, and so may be one that is also a topic
+    by_id = [] if name in HEADINGS else [x for x in found.get("id", "").split() if x not in TOPICS]
     for named in [*found.get("class", "").split(), *found.get("role", "").split(), *by_id]:
         if named in HEADER_NAMES and not inside:
             return True
-        parts = {x for x in _PARTS.split(named) if x}
+        parts = {x for x in _PARTS.split(named) if x and not _SIZE.fullmatch(x)}
         if not APART_NAMES.isdisjoint(parts) and parts <= APART_NAMES | BESIDE and NEGATIONS.isdisjoint(parts):
             return True
     return False
@@ -131,13 +140,26 @@ class Page:
     """
 
     def __init__(self, source: str):
+        spared: set[int] = set()
+        while True:
+            self._read(source, spared)
+            whole = sum(n for k, n in zip(self.kinds, self.sizes, strict=True) if k in ("w", "link"))
+            whole += sum(self.left_out.values())
+            much = {at for at, n in self.left_out.items() if n > MOST * whole}
+            if not much:
+                break
+            spared |= much
+
+    def _read(self, source: str, spared: set[int]) -> None:
+        """Cut the page into tokens; elements that begin at the places ``spared`` are no furniture."""
         self.kinds: list[str] = []
         self.sizes: list[int] = []
         self.spans: list[tuple[int, int]] = []  # tokens of content elements that lie in no other
-        self.inner: list[tuple[int, int]] = []  # and of all content elements
+        self.headlines: set[int] = set()  # tokens of words in headlines
+        self.left_out: dict[int, int] = {}  # words of a furniture element, by its place
         self.pieces: list[tuple[int, int, str]] = []  # token, block, text of pieces that may be content
         block = at = link = 0
-        apart, depth = "", 0  # the furniture element that is open, and how many elements hold it
+        apart, depth, place = "", 0, -1  # the furniture element that is open, how many elements hold it, where it begins
         held: list[str] = []  # the open elements
         number: Counter = Counter()  # how many of each name they are
 
@@ -149,11 +171,16 @@ class Page:
 
         def text(until: int) -> None:
             if until > at:
-                if apart:
+                if apart and place < 0:
                     return
                 piece = html.unescape(source[at:until])
                 n = len(piece.split())
+                if apart:
+                    self.left_out[place] = self.left_out.get(place, 0) + n
+                    return
                 if n:
+                    if not HEADLINES.isdisjoint(held):
+                        self.headlines.add(len(self.kinds))
                     self.kinds.append("link" if link else "w")
                     self.sizes.append(n)
                 self.pieces.append((len(self.kinds) - bool(n), block, piece))
@@ -185,8 +212,9 @@ class Page:
             if apart and (len(held) <= depth or not closing and name in CONTENT and not content):
                 apart = ""  # furniture that was never closed ends with its parent, or where the content begins
                 was_apart = "" if not closing else was_apart
-            if not apart and not closing and not empty and set_apart(name, rest, bool(content)):
-                apart, depth = name, len(held)
+            said = not (name == "button" and number["p"])  # a button in a paragraph is a word of it
+            if not apart and not closing and not empty and m.start() not in spared and said and set_apart(name, rest, bool(content)):
+                apart, depth, place = name, len(held), -1 if name in ALWAYS else m.start()
                 self.kinds.append("apart")
                 self.sizes.append(1)
             if not closing and not empty:
@@ -196,7 +224,6 @@ class Page:
                 if closing:
                     if content and content[-1][0] == name:
                         first = content.pop()[1]
-                        self.inner.append((first, len(self.kinds)))
                         if not content:
                             self.spans.append((first, len(self.kinds)))
                 else:
@@ -205,7 +232,7 @@ class Page:
                 link = 0 if closing else 1
             if name == "br":
                 self.pieces.append((len(self.kinds), block, " "))
-            elif name not in INLINE:
+            elif name not in INLINE and (said or apart):
                 block += 1
                 link = 0
             if not apart and not was_apart:
@@ -214,7 +241,6 @@ class Page:
         text(len(source))
         if content:
             self.spans.append((content[0][1], len(self.kinds)))
-            self.inner += [(first, len(self.kinds)) for _, first in content]
 
     def best_run(self, weight) -> tuple[int, int]:
         """The run of tokens with the largest sum, by one scan; of equal ones the first."""
@@ -227,23 +253,19 @@ class Page:
                 best, found = run, (begin, i + 1)
         return found
 
-    def main_text(self, weight) -> str:
-        """Text of the best run, without furniture inside it.
+    def with_headlines(self, low: int) -> int:
+        """Where the headlines begin that only tags part from what begins at ``low``."""
+        for i in range(low - 1, -1, -1):
+            if i in self.headlines:
+                low = i
+            elif self.kinds[i][0] != "<":
+                break
+        return low
 
-        If most of the run lies in a content element and is most of it, the
-        smallest such element's own bounds are taken.
-        """
+    def main_text(self, weight) -> str:
+        """Text of the best run and its headlines, without furniture inside it."""
         low, high = self.best_run(weight)
-        before = [0, *accumulate(n if k in ("w", "link") else 0 for k, n in zip(self.kinds, self.sizes, strict=True))]
-
-        def words(a: int, b: int) -> int:
-            return before[b] - before[a]
-
-        for a, b in sorted(self.inner, key=lambda x: x[1] - x[0]):
-            both = words(max(a, low), min(b, high)) if max(a, low) < min(b, high) else 0
-            if both and 2 * both >= words(low, high) and 2 * both >= words(a, b):
-                low, high = a, b
-                break
+        low = self.with_headlines(low) if high > low else low
         blocks: dict[int, list[str]] = {}
         for token, block, piece in self.pieces:
             if low <= token < high:
@@ -272,7 +294,7 @@ class Weights:
 
     def __call__(self, kind: str) -> float:
         name = kind[1:-1]
-        return self.known.get(kind, -LEAST if name in INLINE or name == "br" else WRITING_TAG if name in WRITING else self.tag)
+        return self.known.get(kind, -LEAST if name in INLINE or name in ("br", "button") else WRITING_TAG if name in WRITING else self.tag)
 
 
 def fit(pages: DataFrame) -> Weights:

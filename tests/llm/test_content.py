@@ -168,6 +168,72 @@ def test_the_innermost_content_bounds_the_text():
     assert html_text.Page(page).main_text(html_text.Weights({})) == f"T\n{words}"
 
 
+FEW = " ".join(f"word{i}" for i in range(67))
+MORE = " ".join(f"term{i}" for i in range(68))
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    return html_text.fit(table(spark, "pages"))
+
+
+@pytest.mark.parametrize("fitted", [True, False])
+def test_nothing_of_an_article_is_lost(learned, fitted):
+    weights = learned if fitted else html_text.Weights({})
+    rows = "".join(f"<tr><td>cell {i}</td><td>value {i}</td></tr>" for i in range(40))
+    cells = [f"{kind} {i}" for i in range(40) for kind in ("cell", "value")]
+    both = f"<p>{FEW}</p><p>{MORE}</p>"
+    for page, want in [
+        (f"<body><main><article><p>{FEW}</p></article><article><p>{MORE}</p></article></main></body>", [FEW, MORE]),
+        (f"<body><article><p>{FEW}</p></article><article><p>{MORE}</p></article></body>", [FEW, MORE]),
+        (f"<body><article><p>{FEW}</p><table>{rows}</table><p>{MORE}</p></article></body>", [FEW, *cells, MORE]),
+        (f"<body><p>{FEW}</p><table>{rows}</table><p>{MORE}</p></body>", [FEW, *cells, MORE]),
+        (f'<body><nav>a b</nav><div class="page-search">{both}</div></body>', [FEW, MORE]),
+        (f'<body><div class="elementor widget">{both}</div></body>', [FEW, MORE]),
+        (f'<body><div class="widget-wrap">{both}</div></body>', [FEW, MORE]),
+        (f"<body><form>{both}<input></form><footer>x</footer></body>", [FEW, MORE]),
+        (f"<body><h1>T</h1><div><p>{FEW}</p></div></body>", ["T", FEW]),
+        (f"<article><p>Press the <button>Start</button> key. {FEW}</p></article>", [f"Press the Start key. {FEW}"]),
+    ]:
+        assert html_text.Page(page).main_text(weights).split("\n") == want, page[:80]
+
+
+@pytest.mark.parametrize(
+    "furniture",
+    [
+        "<section id=comments><p>gone one two three</p></section>", '<div id="disqus_thread">gone x y</div>', '<div class="comment-body">gone x y</div>',
+        '<div class="adsbygoogle">gone x</div>', '<div class="top-ad-300x250">gone a b</div>', '<div class="newsletter-signup-cta">gone x</div>',
+        '<div class="gdpr-bar">gone x</div>', '<div class="share-this-post">gone</div>', "<div id=sidebar>gone q</div>", "<form>gone <input></form>", "<aside>gone</aside>",
+    ],
+)
+def test_furniture_inside_the_text_goes(learned, furniture):
+    for weights in (learned, html_text.Weights({})):
+        for page in (f"<article><p>{FEW}</p>{furniture}<p>{MORE}</p></article>", f"<body><p>{FEW}</p>{furniture}<p>{MORE}</p></body>"):
+            assert html_text.Page(page).main_text(weights) == f"{FEW}\n{MORE}"
+
+
+def test_the_best_run_is_the_best_of_all_runs():
+    rng = random.Random(8)
+    for _ in range(300):
+        page = html_text.Page("")
+        n = rng.randrange(1, 14)
+        page.kinds = [rng.choice(["w", "<p>", "<div>", "link"]) for _ in range(n)]
+        page.sizes = [rng.randrange(1, 4) if k in ("w", "link") else 1 for k in page.kinds]
+        value = {"w": 1.0, "<p>": -0.5, "<div>": -2.0, "link": 0.25}
+        low, high = page.best_run(value.get)
+        every = [(sum(value[k] * s for k, s in zip(page.kinds[a:b], page.sizes[a:b], strict=True)), a, b) for a in range(n) for b in range(a + 1, n + 1)]
+        best = max(x[0] for x in every)
+        got = sum(value[k] * s for k, s in zip(page.kinds[low:high], page.sizes[low:high], strict=True))
+        assert got == pytest.approx(max(best, 0.0))
+
+
+def test_repeated_and_null_page_ids(spark):
+    rows = [(1, "u", f"<p>{FEW}</p>", None, None), (1, "v", f"<p>{MORE}</p>", None, None), (None, None, f"<p>{FEW}</p>", None, None)]
+    given = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    got = html_text.extract(given, html_text.Weights({})).collect()
+    assert sorted((r.page_id or 0, r.url or "", r.text) for r in got) == [(0, "", FEW), (1, "u", FEW), (1, "v", MORE)]
+
+
 def test_without_labelled_pages(spark):
     found = html_text.extract(pages(spark, [PAGE]), html_text.fit(pages(spark, [PAGE]))).first()
     assert found.text == WANTED
@@ -295,3 +361,41 @@ def test_all_sequences_are_kept(spark):
     model = langid.fit(learned, calibration_rows=0)
     wanted = {("   " + t)[k : k + 4] for _, t in rows for k in range(len(t))}
     assert len(model.parts[0].levels[0][0].hashes) == len(wanted) > 400_000
+
+
+@pytest.mark.parametrize(
+    ("line", "labels"),
+    [
+        ("SPDX-License-Identifier: MIT OR Apache-2.0 see below", "apache-2.0,mit"),
+        ("# spdx-license-identifier: MIT and see the file", "mit"),
+        ("SPDX-License-Identifier: (MIT", "mit"),
+        ("SPDX-License-Identifier: LicenseRef-foo_bar", "licenseref-foo_bar"),
+        ("SPDX-License-Identifier: DocumentRef-x:LicenseRef-y AND GPL-2.0+ */", "documentref-x:licenseref-y,gpl-2.0+"),
+        ("SPDX-License-Identifier: (MIT OR (ISC AND Zlib", "mit"),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0.", "gpl-2.0-only"),
+        ("SPDX-License-Identifier: MIT WITH (ISC OR Zlib)", "mit"),
+        ("License: MIT", "mit"),
+        ('"license": "BSD-3-Clause",', "bsd-3-clause"),
+        ("licence = Apache-2.0", "apache-2.0"),
+        ("The license: it is not said", ""),
+        ("SPDX-License-Identifier: none of these", ""),
+        ("SPDX-License-Identifier:", ""),
+        ("Distributed under the Boost Software License, Version 1.0.", "bsl-1.0"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+        ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ],
+)
+def test_tags_and_notices_give_what_is_well_formed(spark, line, labels):
+    found = licenses.Scanner().scan(f"text before\n{line}\ntext behind")
+    assert found[5] == labels and (found[6] > 0) == bool(labels)
+
+
+def test_tag_lines_of_a_table(spark, tmp_path):
+    rows = [(1, "a\n// SPDX-License-Identifier: MIT OR GPL-2.0-only\nb"), (2, None), (3, "License: CC0-1.0\nall rights reserved"), (4, "no licence here")]
+    frame(spark, rows, False).write.parquet(f"{tmp_path}/documents.parquet")
+    from rolecast.llm.queries import REGISTERED
+
+    got = {r.doc_id: r for r in REGISTERED["op1_licenses"](spark, str(tmp_path)).collect()}
+    assert [got[i].labels for i in (1, 2, 3, 4)] == ["gpl-2.0-only,mit", "", "cc0-1.0,reserved", ""]
+    assert got[1].expressions == "mit or gpl-2.0-only" and got[1].freedom == 1.0
+    assert got[3].base_labels == "reserved" and got[4].score == 0
