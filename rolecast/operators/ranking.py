@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from rolecast.functions.text import WORD, fold_case, literal_json, or_empty
 from rolecast.operators.joins import lookup_join
 from rolecast.operators.limits import top_per_group
-from rolecast.operators.phrases import BLANK as _BLANK
-from rolecast.operators.phrases import phrase_hits
 from rolecast.operators.profiles import BUCKETS, Profiles, bucket_order
 from rolecast.session import materialize
 
@@ -27,6 +25,8 @@ INLINE_TERMS = 2_000
 PACK = 1_000
 NOT_WORD = WORD.replace("[", "[^") + "+"
 
+# whitespace as in rolecast.functions.text, with the other separators
+_BLANK = r"\s\x1c-\x1f\x85\p{Z}"
 LOOSE, STRICT, LITERAL = "loose", "strict", "literal"
 
 
@@ -236,7 +236,37 @@ def grouped_hits(texts: DataFrame, tables: Profiles, rules: RankRules) -> DataFr
     distinct_terms = compiled.groupBy("term").agg(
         F.first("words").alias("words"), F.first("plain").alias("plain"), F.first("pattern").alias("pattern")
     )
-    hits = phrase_hits(texts, distinct_terms, rules.separators == LOOSE)
+    no_words = F.array(F.lit(""))
+    by_word = distinct_terms.select(
+        "term",
+        F.explode(F.when(F.size("words") == 0, no_words).otherwise(F.array_distinct("words"))).alias("word"),
+        F.greatest(F.size(F.array_distinct("words")), F.lit(1)).alias("n_words"),
+    )
+    # the blank word stands for terms without any word; every text has it
+    title_words = F.array_union(F.split("_title", NOT_WORD), no_words)
+    tokens = texts.select(
+        "_row",
+        F.explode(F.array_union(F.split("_both", NOT_WORD), no_words)).alias("word"),
+        title_words.alias("_title_words"),
+    ).select("_row", "word", F.array_contains("_title_words", F.col("word")).alias("in_title"))
+    # a term is a candidate where all its words occur; terms of more than one word are then tested on the text
+    candidates = (
+        lookup_join(tokens, by_word, ["word"], spread_by="_row", how="inner")
+        .groupBy("_row", "term", "n_words")
+        .agg(F.count("*").alias("n"), F.count_if("in_title").alias("n_title"))
+        .where(F.col("n") == F.col("n_words"))
+        .select("_row", "term", (F.col("n_title") == F.col("n_words")).alias("in_title"))
+    )
+    known = lookup_join(
+        candidates, distinct_terms.select("term", "plain", "pattern"), ["term"], spread_by="_row", how="inner"
+    )
+    tested = (
+        known.where(~F.col("plain"))
+        .join(texts.select("_row", "_title", "_both"), "_row")
+        .where(F.expr("_both rlike pattern"))
+        .select("_row", "term", F.expr("in_title and _title rlike pattern").alias("in_title"))
+    )
+    hits = known.where("plain").select("_row", "term", "in_title").unionByName(tested)
     per_profile = lookup_join(
         hits,
         compiled.select("profile", "bucket", "term", "weight", "ord", "boosted", "label", "title_label"),
