@@ -1,4 +1,4 @@
-"""Top-k by bounds and phrases by a trie, against scoring every pair."""
+"""Top-k by bounds, and phrases in the joined ranking, against scoring every pair."""
 
 import random
 
