@@ -35,21 +35,12 @@ def needles(searches: DataFrame) -> DataFrame:
     return rows.select("search_id", spaced.alias("needle")).where("needle <> ''").distinct()
 
 
-def saved_matches(places: DataFrame, searches: DataFrame, key: str = "ingest_seq") -> DataFrame:
-    """``search_id`` and ``key`` for every search and posting that match, each pair once.
-
-    ``places`` has the ``key`` and the reduced ``place`` text of a posting (see
-    :func:`rolecast.operators.filters.location_text`), ``searches`` has
-    ``search_id`` and ``query``. As in the filter by constants, a posting without
-    a place matches nothing; a blank search asks for nothing and is not listed.
-    """
-    asked = materialize(needles(searches))
+def met_needles(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """``_key, needle``: which needles occur in which texts (``_key, hay``)."""
     wanted = asked.select("needle").distinct()
-    hay = F.concat(F.lit(" "), "place", F.lit(" "))
-    texts = places.where("place <> ''").select(F.col(key).alias("_key"), hay.alias("hay"))
     sizes = sorted(r[0] for r in wanted.select(F.least(F.length("needle"), F.lit(GRAM))).distinct().collect())
     if not sizes:
-        return asked.join(places.select(F.col(key)), F.lit(False)).select("search_id", key)
+        return texts.join(wanted, F.lit(False)).select("_key", "needle")
     # names shorter than a gram are grams themselves
     held = texts.select("_key", "hay", F.explode(F.array_distinct(F.concat(*[grams("hay", s) for s in sizes]))).alias("gram"))
     often = held.groupBy("gram").agg(F.count("*").alias("often"))
@@ -60,6 +51,44 @@ def saved_matches(places: DataFrame, searches: DataFrame, key: str = "ingest_seq
     )
     chosen = known.where("not unheard").select("gram", "needle")
     near = lookup_join(held, chosen, ["gram"], spread_by="_key", how="inner")
-    met = near.where(F.contains("hay", F.col("needle"))).select("_key", "needle")
-    found = lookup_join(met, asked, ["needle"], spread_by="_key", how="inner")
+    return near.where(F.contains("hay", F.col("needle"))).select("_key", "needle")
+
+
+def saved_matches(places: DataFrame, searches: DataFrame, key: str = "ingest_seq") -> DataFrame:
+    """``search_id`` and ``key`` for every search and posting that match, each pair once.
+
+    ``places`` has the ``key`` and the reduced ``place`` text of a posting (see
+    :func:`rolecast.operators.filters.location_text`), ``searches`` has
+    ``search_id`` and ``query``. As in the filter by constants, a posting without
+    a place matches nothing; a blank search asks for nothing and is not listed.
+    """
+    asked = materialize(needles(searches))
+    hay = F.concat(F.lit(" "), "place", F.lit(" "))
+    texts = places.where("place <> ''").select(F.col(key).alias("_key"), hay.alias("hay"))
+    found = lookup_join(met_needles(texts, asked), asked, ["needle"], spread_by="_key", how="inner")
     return found.select("search_id", F.col("_key").alias(key)).distinct()
+
+
+def saved_counts(places: DataFrame, searches: DataFrame, key: str = "ingest_seq") -> DataFrame:
+    """``search_id, found``: how many postings :func:`saved_matches` lists for each search; those without any are left out.
+
+    Postings with one text, and searches with the same names, are taken together:
+    work and rows grow with the different texts and names, not with the matches.
+    """
+    hay = F.concat(F.lit(" "), "place", F.lit(" ")).alias("hay")
+    rows = materialize(places.where("place <> ''").select(F.struct(key).alias("_key"), hay).distinct())
+    per_key = rows.groupBy("_key").agg(F.count("*").alias("n"), F.min("hay").alias("hay"))
+    per_key = materialize(per_key)
+    single = materialize(per_key.where("n = 1").groupBy("hay").agg(F.count("*").alias("keys")))
+    names = needles(searches).groupBy("search_id").agg(F.array_sort(F.collect_set("needle")).alias("needles"))
+    names = materialize(names.select("search_id", F.to_json("needles").alias("kind"), "needles"))
+    asked = materialize(names.select("kind", "needles").distinct().select("kind", F.explode("needles").alias("needle")))
+    texts = rows.select("hay").distinct().select(F.col("hay").alias("_key"), "hay")
+    met = lookup_join(met_needles(texts, asked), asked, ["needle"], spread_by="_key", how="inner")
+    met = materialize(met.select("kind", F.col("_key").alias("hay")).distinct())
+    counts = met.join(single, "hay").select("kind", "keys")
+    # a posting with several texts counts once, whichever of them match
+    several = rows.join(per_key.where("n > 1").select("_key"), "_key", "left_semi")
+    others = met.join(several, "hay").select("kind", "_key").distinct().groupBy("kind").agg(F.count("*").alias("keys"))
+    found = counts.unionByName(others).groupBy("kind").agg(F.sum("keys").alias("found"))
+    return lookup_join(names.drop("needles"), found, ["kind"], spread_by="search_id", how="inner").select("search_id", "found")

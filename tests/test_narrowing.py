@@ -1,5 +1,6 @@
 """Facets that narrow in turn, the text index and saved searches, against plain sets."""
 
+import glob
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from rolecast.functions.places import any_place_matches
 from rolecast.operators import narrowing, paging, saved, textindex
 from rolecast.plans import search
+from rolecast.session import shared_folder
 from tests.test_details import files_read
 
 
@@ -178,3 +180,19 @@ def test_saved_searches_need_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert saved.saved_matches(places, searches.where("false")).count() == 0
     assert saved.saved_matches(places.where("false"), searches).count() == 0
+
+
+def test_saved_searches_are_counted_without_a_row_for_a_match(spark):
+    # postings that are listed twice, with one place or with two, and searches for the same names
+    listed = [*enumerate(PLACES * 40), *enumerate(PLACES), (3, "remote us"), (None, "london uk"), (None, "austin texas")]
+    places = spark.createDataFrame(listed, "ingest_seq bigint, place string")
+    searches = spark.createDataFrame([*enumerate(QUERIES * 30), (0, "Boston")], "search_id bigint, query string")
+    want = saved.saved_matches(places, searches).groupBy("search_id").agg(F.count("*").alias("found"))
+    want = sorted(tuple(r) for r in want.collect())
+    before = set(glob.glob(f"{shared_folder(spark)}/rolecast-*"))
+    got = sorted(tuple(r) for r in saved.saved_counts(places, searches).collect())
+    assert got == want
+    stored = [spark.read.parquet(p).count() for p in set(glob.glob(f"{shared_folder(spark)}/rolecast-*")) - before]
+    assert max(stored) <= max(len(listed), 30 * len(QUERIES)) < sum(n for _, n in got) / 10
+    assert saved.saved_counts(places, searches.where("false")).count() == 0
+    assert saved.saved_counts(places.where("false"), searches).count() == 0
