@@ -16,10 +16,11 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolecast.operators.joins import lookup_join
 from rolecast.session import materialize, shared_folder
 
 BUCKETS = 64
+#: Parts of a bucket that are written apart, so that a token of nearly all postings is no single task.
+SLICES = 8
 #: The blanks of Python's str.split, by which searched texts are cut into words.
 BLANKS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
 
@@ -44,7 +45,8 @@ def build_text_index(postings: DataFrame, *columns: str, key: str = "ingest_seq"
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
     order = ["bucket", "token", "posting"]
     path = f"{shared_folder(spark)}/rolecast-index-{uuid.uuid4().hex}"
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # by hash: a range would be drawn from a sample, for which all texts are cut into tokens once more
+    placed = rows.repartition("bucket", F.pmod(F.xxhash64("posting"), F.lit(SLICES))).sortWithinPartitions(*order)
     # without a dictionary, whole numbers are written as deltas by the second version of the format
     writer = placed.write.option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false")
     writer.partitionBy("bucket").parquet(path)
@@ -67,16 +69,12 @@ def index_search(index: TextIndex, text: str, whole: bool = False) -> DataFrame:
         found = index.words.where(test)
         # at most one number for each bucket
         buckets, postings = found.agg(F.collect_set("bucket"), F.coalesce(F.sum("postings"), F.lit(0))).first()
-        asked.append((postings, sorted(buckets), found.select("bucket", "token"), word))
+        asked.append((postings, sorted(buckets), test))
     if not asked:
         return index.words.sparkSession.read.parquet(index.path).select(name).distinct()
     held = []
-    for _, buckets, tokens, word in sorted(asked, key=lambda a: a[0]):
-        lists = index.lists(buckets)
-        if whole:
-            rows = lists.where(F.col("token") == word)  # reaches the file's statistics
-        else:
-            rows = lookup_join(lists, tokens, ["bucket", "token"], spread_by="posting", how="left_semi")
-        held.append(rows.select("posting"))
+    for _, buckets, test in sorted(asked, key=lambda a: a[0]):
+        # the lists hold the token itself; that of a whole word reaches the files' statistics
+        held.append(index.lists(buckets).where(test).select("posting"))
     rarest = held[0].distinct()
     return reduce(lambda a, b: a.join(b, "posting", "left_semi"), held[1:], rarest).select(name)

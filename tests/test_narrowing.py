@@ -196,3 +196,19 @@ def test_saved_searches_are_counted_without_a_row_for_a_match(spark):
     assert max(stored) <= max(len(listed), 30 * len(QUERIES)) < sum(n for _, n in got) / 10
     assert saved.saved_counts(places, searches.where("false")).count() == 0
     assert saved.saved_counts(places.where("false"), searches).count() == 0
+
+
+def test_an_index_is_built_in_one_look_at_the_texts_and_searched_without_its_vocabulary(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = posts(spark, [f"the{i} with{i} other{i}" for i in range(300)])
+    index = textindex.build_text_index(rows.mapInArrow(look, rows.schema), "title", "description_text", buckets=4)
+    assert seen.value == 300
+    found = textindex.index_search(index, "the")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 300
