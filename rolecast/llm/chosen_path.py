@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolecast.llm.common import arrow_map
-from rolecast.llm.linking import SMALL, candidate_groups, compared, confirmed, grown, joined_roots, marks, shingle_sets
+from rolecast.llm.linking import SMALL, candidate_groups, compared, confirmed, every_pair, grown, joined_roots, marks, shingle_sets
 from rolecast.session import materialize
 
 WIDTH, PERCENT = 4, 80
@@ -128,7 +128,7 @@ def near_roots(
     """``node, root`` of the ``nodes`` (``id, sig, low, doc_id, t1, t2``) that are linked; None if none is."""
 
     def candidates(members):
-        return candidate_groups(members, nodes, ["low"], tokens_of, lambda sig, a, b: alike(sig, a, b, agree))
+        return candidate_groups(members, nodes, ["low"], tokens_of, every_pair(lambda sig, a, b: alike(sig, a, b, agree)))
 
     def confirm(clusters):
         return confirmed(docs, nodes, clusters, percent, width)

@@ -139,32 +139,41 @@ def runs(batches, hold: int, weigh=lambda batch: batch.num_rows) -> Iterator[pa.
         yield pa.concat_batches(held)
 
 
-def candidate_groups(members: DataFrame, nodes: DataFrame, tokens: Sequence[str], read, near) -> DataFrame:
+def every_pair(near):
+    """Finds the pairs of documents of one group, not connected yet, for which ``near(held, a, b)`` holds: all are compared."""
+
+    def pairs(node, root, held):
+        at, step = np.arange(len(node)), 0
+        while True:
+            step += 1
+            at = at[at + step < len(node)]
+            at = at[node[at] == node[at + step]]
+            if not len(at):
+                break
+            a = at[root[at] != root[at + step]]
+            a = a[near(held, a, a + step)]
+            yield a, a + step
+
+    return pairs
+
+
+def candidate_groups(members: DataFrame, nodes: DataFrame, tokens: Sequence[str], read, pairs) -> DataFrame:
     """``cluster, id, root``: documents of a small group that may be near each other and are not connected yet.
 
     ``members`` has ``node, id, root``, ``nodes`` the ``tokens`` of each ``id``.
-    All pairs of a group are compared by ``near(read(columns of tokens), a, b)``.
-    A cluster is what the pairs that are near connect. It is named after its
-    members, so that the same cluster found in several groups is one.
+    ``pairs(node, root, read(columns of tokens))`` finds the pairs of a group
+    that are near, in pieces. A cluster is what they connect. It is named after
+    its members, so that the same cluster found in several groups is one.
     """
     schema = pa.schema([("cluster", pa.int64()), ("id", pa.int64()), ("root", pa.int64())])
 
     def run(batches):
         for part in runs(batches, HELD_ROWS):
             node, ids, root = (part.column(i).to_numpy() for i in range(3))
-            held = read(part.columns[3:])
-            label, at, step = np.arange(len(node)), np.arange(len(node)), 0
-            linked = np.zeros(len(node), bool)
-            while True:
-                step += 1
-                at = at[at + step < len(node)]
-                at = at[node[at] == node[at + step]]
-                if not len(at):
-                    break
-                a = at[root[at] != root[at + step]]
-                a = a[near(held, a, a + step)]
-                linked[a] = linked[a + step] = True
-                label = join_labels(label, a, a + step)
+            label, linked = np.arange(len(node)), np.zeros(len(node), bool)
+            for a, b in pairs(node, root, read(part.columns[3:])):
+                linked[a] = linked[b] = True
+                label = join_labels(label, a, b)
             kept = np.flatnonzero(linked)
             with np.errstate(over="ignore"):
                 mixed = (ids[kept].astype(np.uint64) + np.uint64(1)) * MIX

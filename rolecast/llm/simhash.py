@@ -30,7 +30,7 @@ SHARD_ROWS = 4_096
 #: Shard rows that a task takes at a time; a shard goes on until it ends.
 HELD_ROWS = 1 << 16
 #: Tree visits held at a time in a task.
-VISITS = 1 << 19
+VISITS = 1 << 16
 
 #: Texts are near copies if the Jaccard similarity of their sets of five-word shingles is at least so many hundredths.
 LIKE_WIDTH, LIKE_PERCENT = 5, 80
@@ -41,7 +41,8 @@ LIKE_MISS = 0.001
 LIKE_DIFFERS = 3 / 16
 #: Bands that are looked at first.
 FIRST_BANDS = 4
-#: Of 128 further bits so many may differ before a pair is compared: 24 do on average at most, with a deviation of 4.4.
+#: Radius of the BK-trees: of 128 further bits so many may differ in a pair that is compared; 24 do on average at most,
+#: with a deviation of 4.4.
 LIKE_CHECK_BITS = 42
 
 
@@ -168,19 +169,20 @@ def shards(nodes: DataFrame, radius: int, agreeing: int, limit: int = SHARD_ROWS
 class ShardTrees:
     """BK-trees of many shards in arrays: a child hangs from its parent by their Hamming distance.
 
-    ``shard`` numbers the shard of each fingerprint, in order. All trees are
-    built and followed together, one level at a time.
+    ``shard`` numbers the shard of each fingerprint, in order; ``words`` are the
+    fingerprints, an array for each 64 bits. All trees are built and followed
+    together, one level at a time.
     """
 
-    def __init__(self, shard: np.ndarray, fp: np.ndarray):
-        n = len(fp)
-        self.fp = fp
+    def __init__(self, shard: np.ndarray, *words: np.ndarray):
+        n = len(shard)
+        self.words, self.width = words, WORD_BITS * len(words) + 1
         self.root = np.searchsorted(shard, shard)  # the first of a shard is its root
         rest = np.flatnonzero(self.root != np.arange(n))
         at = self.root[rest]
-        keys, nodes = [], []
+        keys, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         while len(rest):
-            key = at * 65 + np.bitwise_count(fp[rest] ^ fp[at])
+            key = at * self.width + self.distance(rest, at)
             order = np.argsort(key, kind="stable")
             first = np.ones(len(order), bool)
             first[1:] = key[order][1:] != key[order][:-1]
@@ -190,28 +192,42 @@ class ShardTrees:
             parent = children[np.cumsum(first) - 1]  # the child that each goes on from
             below = ~first
             rest, at = rest[order][below], parent[below]
-        key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        order = np.argsort(key)
-        self.edge = key[order]
-        self.child = (np.concatenate(nodes) if nodes else np.zeros(0, np.int64))[order]
-
-    def within(self, radius: int, queries: np.ndarray):
-        """Pairs (query, node) with at most ``radius`` differing bits, each query in its own tree, in pieces."""
-        stack = [(queries, self.root[queries])]
+        key = np.concatenate(keys)
+        self.child = np.concatenate(nodes)[np.argsort(key)]
+        # the children of a node by their distance: where those of each distance begin
+        self.first = np.zeros(n * self.width + 1, np.int32)
+        np.cumsum(np.bincount(key, minlength=n * self.width), out=self.first[1:])
+
+    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(a), np.int64)
+        for word in self.words:
+            found += np.bitwise_count(word[a] ^ word[b])
+        return found
+
+    def within(self, radius: int):
+        """All pairs of a shard with at most ``radius`` differing bits, each once, in pieces.
+
+        Each fingerprint asks for those before it. What hangs below a node comes
+        after it, so nothing is followed beyond the asking one.
+        """
+        every = np.arange(len(self.root))
+        stack = [(every, self.root)]
         while stack:
             q, node = stack.pop()
             if len(q) > VISITS:
                 half = len(q) // 2
                 stack += [(q[:half], node[:half]), (q[half:], node[half:])]
                 continue
-            d = np.bitwise_count(self.fp[q] ^ self.fp[node]).astype(np.int64)
-            near = (d <= radius) & (q != node)
+            before = node < q
+            q, node = q[before], node[before]
+            d = self.distance(q, node)
+            near = d <= radius
             if near.any():
                 yield q[near], node[near]
             # follow only edges whose distance is within the radius of this one
-            lo = np.searchsorted(self.edge, node * 65 + np.maximum(d - radius, 0))
-            hi = np.searchsorted(self.edge, node * 65 + np.minimum(d + radius, 64), side="right")
-            count = hi - lo
+            edge = node * self.width
+            lo = self.first[edge + np.maximum(d - radius, 0)]
+            count = self.first[edge + np.minimum(d + radius, self.width - 1) + 1] - lo
             total = int(count.sum())
             if total:
                 start = np.repeat(lo - np.cumsum(count) + count, count)
@@ -222,7 +238,7 @@ def shard_links(shard: np.ndarray, node: np.ndarray, radius: int, check_bits: in
     """For each node that is linked inside its shard: its place, and that of the first of its component there."""
     words = node.view(">u8").astype(np.uint64)
     trees, label = ShardTrees(shard, np.ascontiguousarray(words[:, 0])), np.arange(len(node))
-    for a, b in trees.within(radius, np.arange(len(node))):
+    for a, b in trees.within(radius):
         if check_bits is not None:
             differ = np.bitwise_count(words[a, 1:] ^ words[b, 1:]).sum(axis=1, dtype=np.int64)
             a, b = a[differ <= check_bits], b[differ <= check_bits]
@@ -354,18 +370,26 @@ def like_rows(docs: DataFrame, bits: int, bands: int) -> DataFrame:
     return arrow_map(read, rows, "doc_id long, t1 long, t2 long, key binary, c1 long, c2 long, keys array<long>")
 
 
-def check_words(columns: list[pa.Array]) -> np.ndarray:
-    return np.stack([c.to_numpy().view(np.uint64) for c in columns], axis=1)
+def check_words(columns: list[pa.Array]) -> list[np.ndarray]:
+    return [c.to_numpy().view(np.uint64) for c in columns]
+
+
+def like_pairs(shard: np.ndarray, root: np.ndarray, checks: list[np.ndarray]):
+    """Pairs of one shard, not connected yet, that its BK-tree has within LIKE_CHECK_BITS of each other."""
+    for a, b in ShardTrees(shard, *checks).within(LIKE_CHECK_BITS):
+        apart = root[a] != root[b]
+        yield a[apart], b[apart]
 
 
 def like_copies(docs: DataFrame, percent: int = LIKE_PERCENT, small: int = SMALL) -> DataFrame:
     """``doc_id, tag, component`` for each row: texts are linked if their shingle sets have a similarity of ``percent``.
 
-    Texts that share a band are compared by the check bits, and those that
-    differ in few of them by their sets, so no pair below ``percent`` is linked;
-    LIKE_MISS is the share of those at LIKE_PERCENT that is lost, and above it is
-    less. The first bands connect most copies; the others see only bands that
-    hold texts not connected yet. Texts with the same set are one node.
+    A band of the fingerprint is a shard, as in :func:`links`. Its BK-tree gives
+    the texts whose check bits differ in few places, and those are compared by
+    their sets, so no pair below ``percent`` is linked; LIKE_MISS is the share of
+    those at LIKE_PERCENT that is lost, and above it is less. The first bands
+    connect most copies; the others see only bands that hold texts not connected
+    yet. Texts with the same set are one node.
     """
     bits, bands = like_bands(docs.count())
     stored = materialize(like_rows(docs, bits, bands))
@@ -373,11 +397,8 @@ def like_copies(docs: DataFrame, percent: int = LIKE_PERCENT, small: int = SMALL
     nodes = stored.groupBy("key").agg(first.alias("_row"))
     nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("id"), "key", "_row.*"))
 
-    def near(checks, a, b):
-        return np.bitwise_count(checks[a] ^ checks[b]).sum(axis=1, dtype=np.int64) <= LIKE_CHECK_BITS
-
     def candidates(members):
-        return candidate_groups(members, nodes, ["c1", "c2"], check_words, near)
+        return candidate_groups(members, nodes, ["c1", "c2"], check_words, like_pairs)
 
     def confirm(clusters):
         return confirmed(docs, nodes, clusters, percent, LIKE_WIDTH)

@@ -161,6 +161,35 @@ def test_check_bits_part_what_the_radius_joins(spark):
     assert {r.doc_id: r.component_id for r in sure} == {1: 1, 2: 1, 3: 3}
 
 
+@pytest.mark.parametrize(("words", "radius"), [(1, 2), (1, 9), (2, 42), (3, 60)])
+def test_trees_find_each_pair_of_a_shard_once(words, radius, monkeypatch):
+    monkeypatch.setattr(simhash, "VISITS", 500)
+    rng = np.random.default_rng(radius)
+    shard = np.sort(rng.integers(-5, 30, 700))
+    fps = rng.integers(0, 2**64, (700, words), np.uint64, endpoint=False)
+    fps[1::2] = fps[::2] ^ (fps[1::2] & rng.integers(0, 2**64, (350, words), np.uint64) & rng.integers(0, 2**64, (350, words), np.uint64))
+    fps[4::9] = fps[3::9][: len(fps[4::9])]  # and equal ones
+    differ = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2, dtype=np.int64)
+    a, b = np.nonzero((differ <= radius) & (shard[:, None] == shard[None]))
+    trees = simhash.ShardTrees(shard, *(np.ascontiguousarray(fps[:, i]) for i in range(words)))
+    got = [p for q, node in trees.within(radius) for p in zip(q.tolist(), node.tolist(), strict=True)]
+    assert sorted(got) == sorted((x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if x > y)
+    assert len(got) > 20
+    none = np.zeros(0, np.int64)
+    assert list(simhash.ShardTrees(none, none.view(np.uint64)).within(radius)) == []
+
+
+def test_like_copies_are_found_by_the_trees(spark, monkeypatch):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:100], "other", *words[101:]])), (3, " ".join(words).upper())]
+    classes = lambda: len({r.component for r in simhash.like_copies(frame(spark, rows)).collect()})
+    assert classes() == 1
+    monkeypatch.setattr(simhash.ShardTrees, "within", lambda self, radius: iter(()))
+    assert classes() == 2  # without them only what has the same set is one
+    monkeypatch.undo()
+    assert classes() == 1
+
+
 def near_pairs(rows, least=0.8):
     sets = {}
     for i, t in rows:
